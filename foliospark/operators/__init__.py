@@ -7,6 +7,7 @@ from foliospark.operators.fanout import (
     map_isolated,
     map_partitions_tagged,
     report_index,
+    slot_count,
     spread,
 )
 from foliospark.operators.overlay import overlay
@@ -22,5 +23,6 @@ __all__ = [
     "preview",
     "render_markdown",
     "report_index",
+    "slot_count",
     "spread",
 ]

@@ -22,22 +22,28 @@ ReportingRowFunction = Callable[[list, dict], "dict | None"]
 ReportingBatchFunction = Callable[[list, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
+def slot_count(spark: SparkSession) -> int:
+    """How many partitions ``spread`` deals out to by default.
+
+    One per core, or ``spark.sql.shuffle.partitions`` where that is more: this
+    setting is what keeps a shuffle partition of a large table within an
+    executor's memory.
+    """
+    return max(
+        spark.sparkContext.defaultParallelism,
+        int(spark.conf.get("spark.sql.shuffle.partitions")),
+    )
+
+
 def spread(df: DataFrame, n: int | None = None, cache: bool = False) -> DataFrame:
     """The rows dealt out evenly over ``n`` partitions.
 
     Dealing is round-robin, so no key, however frequent, makes one partition
-    larger than the others. ``n`` defaults to one partition per core, or to
-    ``spark.sql.shuffle.partitions`` where that is more: this setting is what
-    keeps a shuffle partition of a large table within an executor's memory.
+    larger than the others. ``n`` defaults to ``slot_count``.
 
     ``cache=True`` keeps the result for reuse; call ``unpersist()`` when done.
     """
-    if n is None:
-        n = max(
-            df.sparkSession.sparkContext.defaultParallelism,
-            int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")),
-        )
-    spread_out = df.repartition(n)
+    spread_out = df.repartition(slot_count(df.sparkSession) if n is None else n)
     return spread_out.persist() if cache else spread_out
 
 

@@ -21,20 +21,17 @@ def preview(df: DataFrame, n: int = 100) -> DataFrame:
 def render_markdown(df: DataFrame, n: int = 100) -> DataFrame:
     """The preview as a markdown table, one ``(line_no, line)`` row per line.
 
-    NULL is an empty cell. A frame without columns gives no lines.
+    NULL is an empty cell. A frame without columns gives no lines. ``line_no``
+    gives the order of the lines.
     """
     shown = preview(df, n)
     if not shown.columns:
         return df.sparkSession.createDataFrame([], "line_no bigint, line string")
     header = _table_line([_escaped(F.lit(name)) for name in shown.columns])
     rule = F.lit("|" + "---|" * len(shown.columns))
-    head = df.sparkSession.range(1).select(
-        F.explode(
-            F.array(
-                F.struct(F.lit(0).cast("bigint").alias("line_no"), header.alias("line")),
-                F.struct(F.lit(1).cast("bigint").alias("line_no"), rule.alias("line")),
-            )
-        ).alias("head")
+    head = df.sparkSession.range(0, 2, 1, 1).select(
+        F.col("id").alias("line_no"),
+        F.when(F.col("id") == 0, header).otherwise(rule).alias("line"),
     )
     cells = [F.coalesce(_escaped(shown[name]), F.lit("")) for name in shown.columns]
     # The window sees the n preview rows only, never the frame behind them.
@@ -42,7 +39,7 @@ def render_markdown(df: DataFrame, n: int = 100) -> DataFrame:
     body = shown.select(
         F.monotonically_increasing_id().alias("position"), _table_line(cells).alias("line")
     ).select((F.row_number().over(in_order) + 1).cast("bigint").alias("line_no"), "line")
-    return head.select("head.*").unionByName(body).orderBy("line_no")
+    return head.unionByName(body)
 
 
 def _distinct_names(columns: list[str]) -> list[str]:

@@ -32,7 +32,8 @@ def run_notebook(spark: SparkSession, cells: list[Cell], n: int = 100) -> DataFr
             try:
                 result = run()
                 if result is not None:
-                    lines = [row["line"] for row in render_markdown(result, n).collect()]
+                    shown = sorted(render_markdown(result, n).collect())
+                    lines = [row["line"] for row in shown]
             except Exception as e:
                 stopped = _STOP_WORD in str(e)
                 status, error = "shutdown" if stopped else "error", str(e)

@@ -14,6 +14,7 @@ from foliospark.operators import (
     map_isolated,
     map_partitions_tagged,
     report_index,
+    slot_count,
     spread,
 )
 from foliospark.queries.inputs import table
@@ -154,7 +155,7 @@ def map_partitions_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def partition_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every child has one report, its count is right, and no slot has two children."""
-    slots = spark.sparkContext.defaultParallelism
+    slots = slot_count(spark)
     tagged = revenue_by_partition(spark, sf_dir, "partition_reports", slots)
     children = tagged.groupBy("child_id").agg(
         F.count("*").alias("n_rows"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,19 +18,12 @@ _LAYER_SCHEMA = "scope string, depth int, key string, value string"
 
 def folder_levels(folder: str) -> list[str]:
     """``folder`` and the folders above it, the outermost first."""
-    scheme, separator, path = folder.partition("://")
-    if not separator:
-        scheme, path = "", folder
-    absolute = path.startswith("/")
-    steps = [step for step in path.split("/") if step]
-    start = scheme + separator
-    if absolute:
-        levels = [start + "/"]
-    else:
-        levels = []
-    for end in range(1, len(steps) + 1):
-        levels.append(start + ("/" if absolute else "") + "/".join(steps[:end]))
-    return levels
+    parts = urlsplit(folder)
+    start = f"{parts.scheme}://{parts.netloc}" if parts.scheme else ""
+    root = "/" if parts.path.startswith("/") else ""
+    steps = [step for step in parts.path.split("/") if step]
+    below = [start + root + "/".join(steps[:end]) for end in range(1, len(steps) + 1)]
+    return [start + root, *below] if root else below
 
 
 def settings_layers(spark: SparkSession, paths: list[str]) -> DataFrame:
