@@ -21,8 +21,7 @@ def json_to_doubles(col: Column | str) -> Column:
     Quoted numbers are accepted. An element that is no number, and a JSON null,
     give NULL for that element; text that is no JSON array gives NULL.
     """
-    parts = F.from_json(_column(col), "array<string>")
-    return F.transform(parts, lambda x: x.try_cast("double"))
+    return F.from_json(_column(col), "array<string>").try_cast("array<double>")
 
 
 def json_to_ints(col: Column | str) -> Column:
@@ -30,7 +29,7 @@ def json_to_ints(col: Column | str) -> Column:
 
     A number outside the 32-bit range gives NULL for that element.
     """
-    return F.transform(json_to_doubles(col), lambda x: x.try_cast("int"))
+    return json_to_doubles(col).try_cast("array<int>")
 
 
 def doubles_to_json(col: Column | str) -> Column:
@@ -104,7 +103,7 @@ def _sort_entries(entries_map: Column, orderable: bool = True) -> Column:
     entries = F.map_entries(entries_map)
     # Keys are unique, so ordering whole entries orders by key; only entries
     # whose values have no order (maps) need the slower comparator.
-    ordered = F.array_sort(entries) if orderable else F.array_sort(entries, _by_key)
+    ordered = F.sort_array(entries) if orderable else F.array_sort(entries, _by_key)
     return F.map_from_entries(ordered)
 
 

@@ -31,13 +31,11 @@ def json_ints(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", ints_to_json(numbers).alias("json")
     )
-    parsed = json_to_ints("json")
-    return text.select(
-        "*",
-        F.try_element_at(parsed, F.lit(1)).alias("line_number"),
-        F.try_element_at(parsed, F.lit(2)).alias("quantity"),
-        F.try_element_at(parsed, F.lit(3)).alias("month"),
-    )
+    # Kept as a column of its own, so that the text is parsed once.
+    parsed = text.withColumn("numbers", json_to_ints("json"))
+    names = ["line_number", "quantity", "month"]
+    parts = [F.get("numbers", F.lit(i)).alias(name) for i, name in enumerate(names)]
+    return parsed.select("l_orderkey", "l_partkey", "l_suppkey", "json", *parts)
 
 
 def json_ints_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:

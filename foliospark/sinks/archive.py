@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import posixpath
 import uuid
-from urllib.parse import urlsplit, urlunsplit
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +36,8 @@ def destination(
         path = parts.path.rstrip("/")
         if run_id and posixpath.basename(path).lower() == run_id.lower():
             path = posixpath.dirname(path)
-        return urlunsplit((parts.scheme, parts.netloc, path or "/", "", ""))
+        start = f"{parts.scheme}://{parts.netloc}" if parts.scheme else ""
+        return start + (path or "/")
     if base:
         if not (name and run_id):
             raise ValueError("publishing below a base needs a name and a run_id")

@@ -14,9 +14,9 @@ def save_layer(df: DataFrame, path: str, max_entries: int = 10_000) -> None:
     Every file holds one JSON object with its keys in order. A scope with up to
     ``max_entries`` settings is one object; a larger one is spread by key over as
     many objects as it needs, so no task ever holds a whole large scope. A key
-    given twice for a scope fails the write.
+    given twice for a scope fails the write. No scope (NULL) is the empty one.
     """
-    entries = df.select("scope", "key", "value")
+    entries = df.select(F.coalesce("scope", F.lit("")).alias("scope"), "key", "value")
     # Counting is pre-aggregated per task. Only scopes above the bound come out,
     # which for settings is mostly none; the join below is left to AQE, which
     # broadcasts a small side after measuring it and splits skewed partitions.

@@ -1,0 +1,248 @@
+import json
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from foliospark.operators import map_isolated, overlay
+from foliospark.shared_storage import fresh_folder, path_exists
+from foliospark.sinks import (
+    child_report,
+    destination,
+    materialize,
+    new_archive,
+    publish_fixed,
+    publish_run,
+    register_view,
+    save_layer,
+    save_table,
+    write_child_reports,
+)
+from foliospark.sources import (
+    folder_levels,
+    guid_source,
+    settings_layers,
+    slot_source,
+    typed_rows,
+    warehouse_table,
+)
+
+
+def test_guids(spark):
+    df = guid_source(spark)
+    assert df.schema["guid"].nullable is False
+    assert df.count() == 10_000 and df.distinct().count() == 10_000
+    register_view(df, "test_guids")
+    assert spark.table("test_guids").exceptAll(spark.table("test_guids")).count() == 0
+
+
+def test_typed_rows(spark):
+    df = typed_rows(spark, [("a", 1), ("b", None)], "name string, n int")
+    assert df.dtypes == [("name", "string"), ("n", "int")]
+    with pytest.raises(Exception, match="CANNOT_ACCEPT|can not accept|cannot accept"):
+        typed_rows(spark, [("a", "one")], "name string, n int")
+    wide = typed_rows(spark, df, "n bigint, name string")
+    assert wide.dtypes == [("n", "bigint"), ("name", "string")]
+
+
+def test_slots(spark):
+    assert slot_source(spark).count() == spark.sparkContext.defaultParallelism
+    placed = slot_source(spark, 5).select("id", F.spark_partition_id().alias("p")).collect()
+    assert sorted(tuple(r) for r in placed) == [(i, i) for i in range(5)]
+    assert slot_source(spark, 0).count() == 0
+
+
+def test_warehouse(spark, tmp_path):
+    path = str(tmp_path / "table")
+    name = f"test_warehouse_{os.getpid()}"
+    save_table(spark.range(5), name, path)
+    assert warehouse_table(spark, name).count() == 5
+    assert warehouse_table(spark, path).count() == 5
+    with pytest.raises(Exception, match="ALREADY_EXISTS"):
+        save_table(spark.range(5), name, path)
+    save_table(spark.range(3), name, path, mode="append")
+    assert warehouse_table(spark, name).count() == 8
+    spark.sql(f"DROP TABLE {name}")
+
+
+@pytest.mark.parametrize(
+    "kwargs, expected",
+    [
+        ({"archive": "s3://bucket/reports/abc/"}, "s3://bucket/reports/abc"),
+        ({"archive": "s3://bucket/reports/ABC/", "run_id": "abc"}, "s3://bucket/reports"),
+        ({"archive": "s3://bucket/abc", "run_id": "abc"}, "s3://bucket/"),
+        ({"archive": "s3://bucket/reports/", "run_id": "abc"}, "s3://bucket/reports"),
+        ({"archive": "/data/reports"}, "/data/reports"),
+        ({"archive": "hdfs:///reports/x"}, "hdfs:///reports/x"),
+        ({"archive": "s3://a/x", "base": "s3://b", "name": "n", "run_id": "r"}, "s3://a/x"),
+        ({"archive": "s3://null/x", "base": "s3://b", "name": "n", "run_id": "r"}, "s3://b/n/r"),
+        ({"archive": "s3:///x", "base": "s3://b/", "name": "n", "run_id": "r"}, "s3://b/n/r"),
+        ({"archive": "", "base": "/base", "name": "n", "run_id": "r"}, "/base/n/r"),
+        ({"base": "/base", "name": "n", "run_id": "r"}, "/base/n/r"),
+    ],
+)
+def test_destination(kwargs, expected):
+    assert destination(**kwargs) == expected
+
+
+@pytest.mark.parametrize("kwargs", [{}, {"archive": "s3://null/x"}, {"base": "/base"}])
+def test_no_destination(kwargs):
+    with pytest.raises(ValueError):
+        destination(**kwargs)
+
+
+def test_new_archives_differ():
+    first, second = new_archive("s3://bucket"), new_archive("s3://bucket/")
+    assert first != second and first.startswith("s3://bucket/reports/") and first.endswith("/")
+
+
+def test_publish_run(spark, tmp_path):
+    archive = str(tmp_path / "archive")
+    assert publish_run(spark.range(3), archive, "name", "run-1") == f"{archive}/run-1"
+    assert publish_run(spark.range(3), f"{archive}/RUN-2/", "name", "run-2") == f"{archive}/run-2"
+    own = publish_run(spark.range(3), None, "name", "run-3", base=archive)
+    assert own == f"{archive}/name/run-3"
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        publish_run(spark.range(3), archive, "name", "run-1")
+    with pytest.raises(ValueError):
+        publish_run(spark.range(3), None, "name", "run-1")
+
+
+def test_publish_fixed(spark, tmp_path):
+    archive = str(tmp_path / "archive")
+    publish_fixed(spark.range(3), archive, overwrite=False)
+    publish_fixed(spark.range(2), archive, overwrite=False)
+    assert spark.read.parquet(archive).count() == 5
+    publish_fixed(spark.range(2), archive, overwrite=True)
+    assert spark.read.parquet(archive).count() == 2
+
+
+def reported(spark, n):
+    def fn(report, row):
+        report.extend(["first", f"row {row['id']}"])
+        if row["id"] == 2:
+            raise ValueError("two")
+
+    return map_isolated(spark.range(n), fn, "id", "x int", "run")
+
+
+def test_child_reports(spark, tmp_path):
+    archive = str(tmp_path / "archive")
+    df = reported(spark, 50)
+    write_child_reports(df, archive)
+    two = df.where("key = 2").first()
+    found = child_report(spark, archive, two.child_id)
+    assert [tuple(r) for r in found.collect()] == [
+        ("2", two.child_id, "error", "ValueError: two", ["first", "row 2"])
+    ]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(child_prefix" in plan
+    assert child_report(spark, archive, "0" * 32).count() == 0
+
+
+def test_one_folder_per_child(spark, tmp_path):
+    archive = str(tmp_path / "archive")
+    df = reported(spark, 4)
+    write_child_reports(df, archive, one_folder_per_child=True)
+    folders = {f for f in os.listdir(archive) if f.startswith("child_id=")}
+    assert folders == {f"child_id={r.child_id}" for r in df.collect()}
+
+
+def test_rows_without_lines_are_no_reports(spark, tmp_path):
+    archive = str(tmp_path / "archive")
+    df = spark.createDataFrame(
+        [("aa", None), ("aa", ["x"]), ("ab", [])], "child_id string, lines array<string>"
+    )
+    write_child_reports(df, archive)
+    assert spark.read.json(archive).count() == 2
+
+
+def test_materialize(spark, tmp_path):
+    path = str(tmp_path / "table")
+    calls = []
+
+    def builder(n):
+        def build(session):
+            calls.append(n)
+            return session.range(n)
+
+        return build
+
+    assert materialize(spark, path, builder(3)).count() == 3
+    assert materialize(spark, path, builder(9)).count() == 3
+    assert calls == [3]
+    os.remove(f"{path}/_SUCCESS")  # as a job that was lost leaves it
+    assert materialize(spark, path, builder(9)).count() == 9
+
+
+def test_folder_levels():
+    assert folder_levels("/a/b/") == ["/", "/a", "/a/b"]
+    assert folder_levels("a/b") == ["a", "a/b"]
+    assert folder_levels("s3://bucket/a") == ["s3://bucket/", "s3://bucket/a"]
+
+
+def resolved(spark, paths):
+    rows = overlay(settings_layers(spark, paths), ["scope", "key"]).collect()
+    return {(r.scope, r.key): r.value for r in rows}
+
+
+def test_settings_of_a_folder(spark, tmp_path):
+    deep = tmp_path / "a" / "b"
+    deep.mkdir(parents=True)
+    (tmp_path / "app.json").write_text('{\n  "x" : "1",\n  "y" : "1",\n  "z" : "1"\n}')
+    (deep / "app.json").write_text('{"y": "3", "z": null, "n": 5}')
+    assert resolved(spark, folder_levels(str(deep))) == {
+        ("", "x"): "1", ("", "y"): "3", ("", "z"): None, ("", "n"): "5",
+    }
+    layers = settings_layers(spark, [str(tmp_path), str(tmp_path / "nowhere"), str(deep)])
+    assert layers.columns == ["scope", "depth", "key", "value"]
+    assert {r.depth for r in layers.collect()} == {0, 2}
+    assert settings_layers(spark, [str(tmp_path / "nowhere")]).count() == 0
+
+
+def test_malformed_settings_fail(spark, tmp_path):
+    (tmp_path / "app.json").write_text('{"x": ')
+    with pytest.raises(Exception, match="MALFORMED_RECORD"):
+        settings_layers(spark, [str(tmp_path)]).collect()
+
+
+def test_saved_layers(spark, tmp_path):
+    path = str(tmp_path / "layer")
+    rows = [("a/b", "k2", "v=\"2\"\n"), ("a/b", "k1", None), ("01", "k", "v"), (None, "k", "global")]
+    save_layer(spark.createDataFrame(rows, "scope string, key string, value string"), path)
+    read = settings_layers(spark, [path]).collect()
+    assert {(r.scope, r.key, r.value) for r in read} == {(s or "", k, v) for s, k, v in rows}
+    files = [f for f in (tmp_path / "layer" / "scope=a%2Fb").iterdir() if f.suffix == ".txt"]
+    assert len(files) == 1
+    text = files[0].read_text()
+    assert json.loads(text) == {"k1": None, "k2": 'v="2"\n'}
+    assert text.startswith('{\n  "k1" : null,\n')
+
+
+def test_large_scopes_are_written_in_pieces(spark, tmp_path):
+    path = str(tmp_path / "layer")
+    hot = spark.range(5000).select(F.lit("hot").alias("scope"), F.col("id").alias("n"))
+    cold = spark.range(100).select(F.concat(F.lit("s"), "id").alias("scope"), F.col("id").alias("n"))
+    entries = hot.union(cold).select(
+        "scope", F.concat(F.lit("key"), "n").alias("key"), F.col("n").cast("string").alias("value")
+    )
+    save_layer(entries, path, max_entries=100)
+    read = settings_layers(spark, [path]).select("scope", "key", "value")
+    assert read.count() == 5100 and read.exceptAll(entries).count() == 0
+    folder = tmp_path / "layer" / "scope=hot"
+    sizes = [len(json.loads(f.read_text())) for f in folder.iterdir() if f.suffix == ".txt"]
+    assert len(sizes) == 50 and max(sizes) < 200
+    assert len([f for f in (tmp_path / "layer" / "scope=s7").iterdir() if f.suffix == ".txt"]) == 1
+
+
+def test_a_key_given_twice_fails(spark, tmp_path):
+    rows = spark.createDataFrame([("s", "k", "1"), ("s", "k", "2")], "scope string, key string, value string")
+    with pytest.raises(Exception, match="DUPLICATED_MAP_KEY"):
+        save_layer(rows, str(tmp_path / "layer"))
+
+
+def test_fresh_folders(spark):
+    first, second = fresh_folder(spark, "x"), fresh_folder(spark, "x")
+    assert first != second and not path_exists(spark, first)
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    assert configured is None or first.startswith(configured)
