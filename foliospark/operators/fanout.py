@@ -6,6 +6,7 @@ package, so a cluster needs no copy of it on the executors.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -232,7 +233,8 @@ def map_partitions_tagged(
     results = to_arrow_schema(result_type)
 
     def run(batches):
-        child = f"{run_id}:{TaskContext.get().partitionId()}"
+        partition = TaskContext.get().partitionId()
+        child = hashlib.md5(f"{run_id}:{partition}".encode()).hexdigest()
         report = []
 
         def tagged(batch, last):
@@ -243,7 +245,7 @@ def map_partitions_tagged(
             by_name = [batch.column(f.name).cast(f.type) for f in results]
             return pa.RecordBatch.from_arrays(
                 [*by_name, pa.repeat(child, batch.num_rows), lines],
-                names=[*results.names, "child", "lines"],
+                names=[*results.names, "child_id", "lines"],
             )
 
         held = None
@@ -256,20 +258,19 @@ def map_partitions_tagged(
         if held is not None:
             yield tagged(held, last=True)
 
-    if set(result_type.names) & {"child", "child_id", "lines"}:
-        raise ValueError("child, child_id and lines are taken in the result")
+    if set(result_type.names) & {"child_id", "lines"}:
+        raise ValueError("child_id and lines are taken in the result")
     source = df if columns is None else df.select(*columns)
     if slots is not None:
         source = spread(source, slots)
     out_type = T.StructType(
         [
             *result_type.fields,
-            T.StructField("child", T.StringType()),
+            T.StructField("child_id", T.StringType()),
             T.StructField("lines", T.ArrayType(T.StringType())),
         ]
     )
-    mapped = source.mapInArrow(run, out_type)
-    return mapped.select(*result_type.names, F.md5("child").alias("child_id"), "lines")
+    return source.mapInArrow(run, out_type)
 
 
 def report_index(df: DataFrame, distinct: bool = True) -> DataFrame:

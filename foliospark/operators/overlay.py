@@ -8,13 +8,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def overlay(layers: DataFrame | list[DataFrame], keys: list[str]) -> DataFrame:
+def overlay(
+    layers: DataFrame | list[DataFrame], keys: list[str], unique: bool = False
+) -> DataFrame:
     """One row per key, with the values of the deepest layer that has the key.
 
     ``layers`` is a list of frames with the same columns, the outermost first, or
     one frame with a ``depth`` column. A NULL in a deeper layer overrides too. All
     columns besides ``keys`` are values and come from the same layer.
+
+    ``unique=True`` says that each frame of the list has a key once at most, as a
+    map has. Then nothing needs regrouping: a layer's rows stay as they are, less
+    those whose key a deeper layer has, and where the deeper layers are small
+    enough for Spark to broadcast, the outermost is not even shuffled.
     """
+    if unique:
+        if isinstance(layers, DataFrame):
+            raise ValueError("unique=True is for a list of layers")
+        return _without_overridden(layers, keys)
     if not isinstance(layers, DataFrame):
         numbered = [layer.withColumn("depth", F.lit(i)) for i, layer in enumerate(layers)]
         layers = reduce(DataFrame.unionByName, numbered)
@@ -23,3 +34,14 @@ def overlay(layers: DataFrame | list[DataFrame], keys: list[str]) -> DataFrame:
     # row per task; a window would bring all its rows into one task.
     deepest = F.max_by(F.struct(*values), "depth").alias("deepest")
     return layers.groupBy(*keys).agg(deepest).select(*keys, "deepest.*")
+
+
+def _without_overridden(layers: list[DataFrame], keys: list[str]) -> DataFrame:
+    result = layers[-1]
+    overriding = layers[-1].select(*keys)
+    for layer in reversed(layers[:-1]):
+        deeper = overriding.toDF(*[f"_deeper_{key}" for key in keys])
+        same_key = [layer[key].eqNullSafe(deeper[f"_deeper_{key}"]) for key in keys]
+        result = layer.join(deeper, same_key, "left_anti").unionByName(result)
+        overriding = layer.select(*keys).unionByName(overriding)
+    return result

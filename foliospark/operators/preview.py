@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -14,32 +14,32 @@ def preview(df: DataFrame, n: int = 100) -> DataFrame:
     """
     names = _distinct_names(df.columns)
     positions = [f"c{i}" for i in range(len(names))]
-    first = df.toDF(*positions).limit(n)
-    return first.select(*[F.col(p).cast("string").alias(a) for p, a in zip(positions, names)])
+    texts = [F.col(p).cast("string").alias(name) for p, name in zip(positions, names)]
+    # The limit comes last: only there it stops Spark from starting a task on
+    # every partition of the frame when the preview is collected.
+    return df.toDF(*positions).select(*texts).limit(n)
 
 
 def render_markdown(df: DataFrame, n: int = 100) -> DataFrame:
     """The preview as a markdown table, one ``(line_no, line)`` row per line.
 
-    NULL is an empty cell. A frame without columns gives no lines. ``line_no``
-    gives the order of the lines.
+    The ``n`` rows are read right away, see ``preview``. NULL is an empty cell. A
+    frame without columns gives no lines. ``line_no`` gives the order of the lines.
     """
     shown = preview(df, n)
+    spark = df.sparkSession
     if not shown.columns:
-        return df.sparkSession.createDataFrame([], "line_no bigint, line string")
-    header = _table_line([_escaped(F.lit(name)) for name in shown.columns])
-    rule = F.lit("|" + "---|" * len(shown.columns))
-    head = df.sparkSession.range(0, 2, 1, 1).select(
-        F.col("id").alias("line_no"),
-        F.when(F.col("id") == 0, header).otherwise(rule).alias("line"),
+        return spark.createDataFrame([], "line_no bigint, line string")
+    columns = [f"c{i}" for i in range(len(shown.columns))]
+    numbered = [(i, *row) for i, row in enumerate(shown.collect(), start=2)]
+    rows = spark.createDataFrame(
+        [(0, *shown.columns), *numbered],
+        ", ".join(["line_no bigint", *[f"{c} string" for c in columns]]),
     )
-    cells = [F.coalesce(_escaped(shown[name]), F.lit("")) for name in shown.columns]
-    # The window sees the n preview rows only, never the frame behind them.
-    in_order = Window.partitionBy(F.lit(0)).orderBy("position")
-    body = shown.select(
-        F.monotonically_increasing_id().alias("position"), _table_line(cells).alias("line")
-    ).select((F.row_number().over(in_order) + 1).cast("bigint").alias("line_no"), "line")
-    return head.unionByName(body)
+    cells = [F.coalesce(_escaped(F.col(c)), F.lit("")) for c in columns]
+    lines = rows.select("line_no", _table_line(cells).alias("line"))
+    rule = spark.createDataFrame([(1, "|" + "---|" * len(columns))], lines.schema)
+    return lines.union(rule)
 
 
 def _distinct_names(columns: list[str]) -> list[str]:

@@ -12,7 +12,7 @@ from foliospark.sinks import save_layer
 from foliospark.sources import settings_layers
 
 
-def overlay_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def customer_layers(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     """Every customer's contact and tier: region default, nation's, the customer's own.
 
     Customers in debt have their own tier, NULL, and that overrides as well.
@@ -32,7 +32,16 @@ def overlay_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_name").alias("contact"),
         F.when(F.col("c_acctbal") > 9000, "gold").alias("tier"),
     )
-    return overlay([by_region, by_nation, by_customer], ["c_custkey"])
+    return [by_region, by_nation, by_customer]
+
+
+def overlay_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlay(customer_layers(spark, sf_dir), ["c_custkey"])
+
+
+def overlay_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same layers, known to hold every customer once at most."""
+    return overlay(customer_layers(spark, sf_dir), ["c_custkey"], unique=True)
 
 
 def settings_in_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,10 +66,7 @@ def settings_in_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlay(settings_layers(spark, folders), ["scope", "key"])
 
 
-QUERIES = {"overlay": overlay_customers, "settings_layers": settings_in_files}
-
-ORACLES = {
-    "overlay": """
+_CUSTOMER_ORACLE = """
         WITH located AS (
             SELECT * FROM customer JOIN nation ON c_nationkey = n_nationkey
             JOIN region ON n_regionkey = r_regionkey
@@ -75,7 +81,17 @@ ORACLES = {
         )
         SELECT c_custkey, contact, tier FROM layers
         QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY depth DESC) = 1
-    """,
+"""
+
+QUERIES = {
+    "overlay": overlay_customers,
+    "overlay_unique": overlay_unique,
+    "settings_layers": settings_in_files,
+}
+
+ORACLES = {
+    "overlay": _CUSTOMER_ORACLE,
+    "overlay_unique": _CUSTOMER_ORACLE,
     "settings_layers": """
         WITH layers AS (
             SELECT 0 AS depth, 'nations/' || c_nationkey AS scope, c_name AS key,

@@ -32,4 +32,22 @@ def test_equals_brute_force(spark, hot_share):
             own[key] = rng.choice([None, "x", "y", f"v{depth}"])
         expected |= own
         layers.append(spark.createDataFrame(list(own.items()), "key int, value string"))
-    assert {r.key: r.value for r in overlay(layers, ["key"]).collect()} == expected
+    for unique in (False, True):
+        rows = overlay(layers, ["key"], unique).collect()
+        assert {r.key: r.value for r in rows} == expected and len(rows) == len(expected)
+
+
+def test_unique_layers_with_several_keys_and_null_keys(spark):
+    schema = "a int, b string, value string"
+    low = [(1, "x", "low"), (1, None, "low"), (None, None, "low"), (2, "x", "low")]
+    high = [(1, None, "high"), (None, None, None), (3, "x", "high")]
+    layers = [spark.createDataFrame(rows, schema) for rows in (low, high)]
+    expected = [(None, None, None), (1, None, "high"), (1, "x", "low"), (2, "x", "low"), (3, "x", "high")]
+    for unique in (False, True):
+        rows = overlay(layers, ["a", "b"], unique).collect()
+        assert sorted(map(str, map(tuple, rows))) == sorted(map(str, expected))
+
+
+def test_unique_is_for_lists(spark):
+    with pytest.raises(ValueError):
+        overlay(spark.range(1).withColumnRenamed("id", "depth"), [], unique=True)
