@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from foliospark.operators.preview import render_markdown
 from foliospark.plans.script import Cell, cell_statements
+from foliospark.sinks import register_view
+from foliospark.sources import guid_source
 
-# Fixed value: an error with this word in its message ends the notebook.
+# The view every notebook starts with, and the word in the message
+# of an error that ends it.
+_SAMPLE_VIEW = "guids"
 _STOP_WORD = "shutdown"
 
 _REPORT_SCHEMA = (
@@ -23,7 +27,10 @@ def run_notebook(spark: SparkSession, cells: list[Cell], n: int = 100) -> DataFr
     the next statement starts. The first failure ends its cell with ``status``
     "error" and the notebook goes on with the next cell; an error that speaks of
     "shutdown" ends the notebook with that status.
+
+    The view ``guids`` (see ``guid_source``) is there from the start.
     """
+    register_view(guid_source(spark), _SAMPLE_VIEW)
     report = []
     for number, cell in enumerate(cells, start=1):
         stopped = False

@@ -104,3 +104,10 @@ def test_each_statement_is_shown_before_the_next_starts(spark):
 
 def test_empty_notebook(spark):
     assert run_notebook(spark, []).collect() == []
+
+
+def test_every_notebook_has_the_sample_view(spark):
+    cell = "%sql\n SELECT * FROM guids\n"
+    row = run_notebook(spark, [cell]).first()
+    assert row["status"] == "ok" and row["lines"][:2] == ["| guid |", "|---|"]
+    assert len(row["lines"]) == 102
