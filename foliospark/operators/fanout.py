@@ -18,6 +18,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from foliospark.sources.tables import slot_source
 
+# The word an index line starts with, and the forms a child report
+# is linked in.
+_INDEX_WORD = "Subreport:"
+_LINK_SUFFIXES = {"markdown": ".md", "html": ".html", "pdf": ".pdf"}
+
 RowFunction = Callable[[dict], dict]
 ReportingRowFunction = Callable[[list, dict], "dict | None"]
 ReportingBatchFunction = Callable[[list, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
@@ -283,12 +288,10 @@ def report_index(df: DataFrame, distinct: bool = True) -> DataFrame:
     if distinct:
         children = children.distinct()
     links = {
-        "markdown": F.concat("child_id", F.lit(".md")),
-        "html": F.concat("child_id", F.lit(".html")),
-        "pdf": F.concat("child_id", F.lit(".pdf")),
+        kind: F.concat("child_id", F.lit(suffix)) for kind, suffix in _LINK_SUFFIXES.items()
     }
     linked = [F.concat(F.lit(f"[{kind}]("), link, F.lit(")")) for kind, link in links.items()]
-    line = F.concat_ws(" ", F.lit("Subreport:"), "child_id", *linked)
+    line = F.concat_ws(" ", F.lit(_INDEX_WORD), "child_id", *linked)
     return children.select(
         "child_id", *[link.alias(kind) for kind, link in links.items()], line.alias("line")
     )

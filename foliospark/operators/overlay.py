@@ -30,10 +30,12 @@ def overlay(
         numbered = [layer.withColumn("depth", F.lit(i)) for i, layer in enumerate(layers)]
         layers = reduce(DataFrame.unionByName, numbered)
     values = [c for c in layers.columns if c not in keys and c != "depth"]
+    if not values:
+        return layers.select(*keys).distinct()
     # max_by is aggregated in each task before the shuffle, so a hot key sends one
     # row per task; a window would bring all its rows into one task.
-    deepest = F.max_by(F.struct(*values), "depth").alias("deepest")
-    return layers.groupBy(*keys).agg(deepest).select(*keys, "deepest.*")
+    deepest = F.max_by(F.struct(*values), "depth").alias("_deepest")
+    return layers.groupBy(*keys).agg(deepest).select(*keys, "_deepest.*")
 
 
 def _without_overridden(layers: list[DataFrame], keys: list[str]) -> DataFrame:

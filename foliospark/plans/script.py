@@ -8,8 +8,10 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-# The statement separator and the first line of a SQL cell.
+# The statement separator, the letters that count as blank around a
+# statement (the space and all below it), and the first line of a SQL cell.
 _SEPARATOR = r"(?<!\\);"
+_BLANK = "".join(map(chr, range(33)))
 _SQL_CELL = "%sql"
 
 Cell = str | Callable[[SparkSession], DataFrame]
@@ -23,7 +25,8 @@ def split_statements(text: str) -> list[str]:
     literal as ``;``. Quotes and comments are not looked at, so a bare semicolon
     inside them separates too.
     """
-    return [piece.strip() for piece in re.split(_SEPARATOR, text) if piece.strip()]
+    pieces = [piece.strip(_BLANK) for piece in re.split(_SEPARATOR, text)]
+    return [piece for piece in pieces if piece]
 
 
 def run_sql_script(
@@ -68,7 +71,7 @@ def cell_statements(spark: SparkSession, cell: Cell) -> Iterator[Statement]:
     if callable(cell):
         return iter([(getattr(cell, "__name__", "cell"), lambda: cell(spark))])
     first, _, script = cell.partition("\n")
-    if first.strip() != _SQL_CELL:
+    if first.strip(_BLANK) != _SQL_CELL:
         return iter([(cell, _refuse_text)])
     return _sql_statements(spark, script)
 

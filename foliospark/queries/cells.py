@@ -96,13 +96,13 @@ def preview_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The preview of the best paid events, NULL and bars included."""
+    """The preview of the latest events, NULL and bars included."""
     events = table(spark, sf_dir, "events").select(
         "event_id",
         F.concat_ws("|", "event_type", "user_id").alias("who"),
         F.when(F.col("event_type") != "error", F.col("value")).alias("value"),
     )
-    return render_markdown(events.orderBy(F.desc("event_id")), 50)
+    return render_markdown(events.orderBy(F.desc("event_id")))
 
 
 QUERIES = {
@@ -170,6 +170,6 @@ ORACLES = {
         UNION ALL
         SELECT n + 1, '| ' || event_id || ' | ' || event_type || '\|' || user_id || ' | '
                || CASE WHEN event_type = 'error' THEN '' ELSE value::VARCHAR END || ' |'
-        FROM shown WHERE n <= 50
+        FROM shown WHERE n <= 100
     """,
 }

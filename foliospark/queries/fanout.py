@@ -73,7 +73,7 @@ def distribute_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A report per slot, next to the slot's share of the orders."""
 
     def greet(report, row):
-        report.append(f"Hello World (from partition {row['id']})")
+        report.append(f"slot {row['id']} reports")
         if row["id"] % 7 == 3:
             raise RuntimeError(f"slot {row['id']} is down")
         return {"square": row["id"] * row["id"]}
@@ -225,7 +225,7 @@ ORACLES = {
         SELECT s.id AS key, md5('distribute:' || s.id) AS child_id,
                CASE WHEN s.id % 7 = 3 THEN 'error' ELSE 'ok' END AS status,
                CASE WHEN s.id % 7 = 3 THEN 'RuntimeError: slot ' || s.id || ' is down' END AS error,
-               'Hello World (from partition ' || s.id || ')' AS lines,
+               'slot ' || s.id || ' reports' AS lines,
                CASE WHEN s.id % 7 <> 3 THEN s.id * s.id END AS square,
                count(o_orderkey) AS n_orders
         FROM (SELECT range AS id FROM range(64)) s LEFT JOIN orders ON o_orderkey % 64 = s.id

@@ -141,8 +141,9 @@ _SCRIPTS = {
         """
         CREATE OR REPLACE TEMP VIEW {t}active AS
         SELECT DISTINCT o_custkey FROM {t}orders;
-        SELECT 'both' AS kind, c_nationkey AS code FROM {t}customer
-        INTERSECT SELECT 'both', s_nationkey FROM {t}supplier
+        -- Few nations, many customers: distinct first, so that the rows do not move
+        SELECT DISTINCT 'both' AS kind, c_nationkey AS code FROM {t}customer
+        INTERSECT SELECT DISTINCT 'both', s_nationkey FROM {t}supplier
         UNION ALL
         (SELECT 'idle', c_custkey FROM {t}customer EXCEPT SELECT 'idle', o_custkey FROM {t}active)
         """,

@@ -9,13 +9,16 @@ from urllib.parse import urlsplit
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Schemes whose addresses are complete without a host.
+# The folder of run archives, a host that stands for none, and the
+# schemes whose addresses are complete without a host.
+_ARCHIVES = "reports"
+_NO_HOST = "null"
 _SCHEMES_WITHOUT_HOST = {"", "file", "hdfs", "viewfs"}
 
 
 def new_archive(base: str) -> str:
     """A new archive for one run: ``<base>/reports/<uuid>/``."""
-    return f"{base.rstrip('/')}/reports/{uuid.uuid4()}/"
+    return f"{base.rstrip('/')}/{_ARCHIVES}/{uuid.uuid4()}/"
 
 
 def destination(
@@ -47,7 +50,7 @@ def destination(
 
 def _has_host(address: str) -> bool:
     parts = urlsplit(address)
-    if parts.netloc == "null":
+    if parts.netloc == _NO_HOST:
         return False
     return bool(parts.netloc) or parts.scheme in _SCHEMES_WITHOUT_HOST
 

@@ -29,9 +29,9 @@ def materialize(
 ) -> DataFrame:
     """The table at ``path``; ``builder`` computes it only if it is not there yet.
 
-    The table counts as there once its write was committed (``_SUCCESS``), so what
-    a lost job left behind is written anew. A different builder does not replace a
-    table that is there.
+    The table counts as there once its write was committed (``_SUCCESS``). Anything
+    else at ``path`` is taken for what a lost job left behind, and replaced. A
+    different builder does not replace a table that is there.
     """
     if not path_exists(spark, f"{path.rstrip('/')}/_SUCCESS"):
         builder(spark).write.mode("overwrite").parquet(path)

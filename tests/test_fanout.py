@@ -140,7 +140,7 @@ def test_map_eval_errors_fail_the_query(spark, fn):
 
 def test_distribute(spark):
     def greet(report, row):
-        report.append(f"Hello World (from partition {row['id']})")
+        report.append(f"slot {row['id']} reports")
         return {"result": str(row["id"])}
 
     rows = sorted(distribute(spark, greet, 4).collect())

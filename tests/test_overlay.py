@@ -51,3 +51,9 @@ def test_unique_layers_with_several_keys_and_null_keys(spark):
 def test_unique_is_for_lists(spark):
     with pytest.raises(ValueError):
         overlay(spark.range(1).withColumnRenamed("id", "depth"), [], unique=True)
+
+
+def test_keys_alone(spark):
+    layers = [spark.range(0, 3), spark.range(2, 5)]
+    for unique in (False, True):
+        assert sorted(r.id for r in overlay(layers, ["id"], unique).collect()) == [0, 1, 2, 3, 4]

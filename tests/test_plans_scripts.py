@@ -1,4 +1,6 @@
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 
 from foliospark.plans import (
     run_cell,
@@ -18,6 +20,18 @@ def test_split_rule():
     assert split_statements("SELECT ';'") == ["SELECT '", "'"]
 
 
+@given(st.text(alphabet="a;\\\\ \n'", max_size=30))
+def test_split_rule_equals_reading_letter_by_letter(text):
+    pieces, before = [""], ""
+    for letter in text:
+        if letter == ";" and before != "\\":
+            pieces.append("")
+        else:
+            pieces[-1] += letter
+        before = letter
+    assert split_statements(text) == [p.strip() for p in pieces if p.strip()]
+
+
 def test_escaped_semicolon_reaches_the_literal(spark):
     assert run_sql_script(spark, r"SELECT 'a\;b' AS x")[0].first()["x"] == "a;b"
     with pytest.raises(Exception, match="PARSE_SYNTAX_ERROR"):
@@ -25,7 +39,7 @@ def test_escaped_semicolon_reaches_the_literal(spark):
 
 
 def test_triple_quotes_are_plain_text(spark):
-    assert run_sql_script(spark, 'SELECT """" AS x')[0].first()["x"] in ('"', "")
+    assert run_sql_script(spark, """SELECT '\"\"\"' AS x""")[0].first()["x"] == '"' * 3
 
 
 def test_statements_run_in_order_and_stop_at_the_first_failure(spark):
