@@ -235,6 +235,31 @@ def test_large_scopes_are_written_in_pieces(spark, tmp_path):
     assert len([f for f in (tmp_path / "layer" / "scope=s7").iterdir() if f.suffix == ".txt"]) == 1
 
 
+def test_saving_replaces_the_scopes_it_has(spark, tmp_path):
+    path = str(tmp_path / "layer")
+    schema = "scope string, key string, value string"
+    first = [("a", f"k{i}", "1") for i in range(30)] + [("b", "k", "1")]
+    save_layer(spark.createDataFrame(first, schema), path, max_entries=10)
+    save_layer(spark.createDataFrame([("a", "k0", "2"), ("c", "k", "2")], schema), path)
+    read = settings_layers(spark, [path]).collect()
+    assert {(r.scope, r.key, r.value) for r in read} == {
+        ("a", "k0", "2"), ("b", "k", "1"), ("c", "k", "2"),
+    }
+
+
+def test_many_large_scopes_are_joined_without_broadcast(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("foliospark.sinks.settings._BROADCAST_SCOPES", 2)
+    path = str(tmp_path / "layer")
+    entries = spark.range(600).select(
+        F.concat(F.lit("s"), F.col("id") % 6).alias("scope"),
+        F.concat(F.lit("k"), "id").alias("key"),
+        F.lit("v").alias("value"),
+    )
+    save_layer(entries, path, max_entries=20)
+    read = settings_layers(spark, [path]).select("scope", "key", "value")
+    assert read.count() == 600 and read.exceptAll(entries).count() == 0
+
+
 def test_a_key_given_twice_fails(spark, tmp_path):
     rows = spark.createDataFrame([("s", "k", "1"), ("s", "k", "2")], "scope string, key string, value string")
     with pytest.raises(Exception, match="DUPLICATED_MAP_KEY"):
