@@ -87,15 +87,20 @@ def map_isolated(
 
     def run(batches):
         def text(value):
-            return str(value).encode("utf-8", "replace").decode("utf-8")
+            try:
+                return str(value).encode("utf-8", "replace").decode("utf-8")
+            except Exception:
+                return f"a {type(value).__name__} that has no text"
 
         def failed(error, report):
-            return "error", text(f"{type(error).__name__}: {error}")[:error_chars], report, {}
+            return "error", f"{type(error).__name__}: {text(error)}"[:error_chars], report, {}
 
         def attempt(row):
             report = []
             try:
-                result = fn(report, row) or {}
+                result = fn(report, row)
+                if result is None:
+                    result = {}
                 unknown = result.keys() - known
                 if unknown:
                     raise KeyError(f"not in the result schema: {sorted(unknown)}")

@@ -86,22 +86,25 @@ def publish_fixed(
     return folder
 
 
-def write_child_reports(df: DataFrame, archive: str, one_folder_per_child: bool = False) -> None:
+def write_child_reports(
+    df: DataFrame, archive: str, one_folder_per_child: bool = False, prefix_length: int = 2
+) -> None:
     """Write the child reports in ``df`` as JSON, one object per child.
 
     ``df`` is the result of a fan-out. Rows without ``lines`` carry no report and
     are left out; of the columns, what describes the report is written.
 
-    Children are filed by the first two characters of their id, in 256 folders,
-    which ``child_report`` uses to find one. ``one_folder_per_child`` files them
-    as ``child_id=<id>/``; that is for fan-outs over task slots, not for one
-    child per row of a large table.
+    Children are filed by the first ``prefix_length`` characters of their id: 256
+    folders with 2, 65,536 with 4, whatever the number of children, and all of
+    about the same size. ``child_report`` reads the one folder that a child is in.
+    ``one_folder_per_child`` files them as ``child_id=<id>/`` instead; that is for
+    fan-outs over task slots, not for one child per row of a large table.
     """
     columns = [c for c in ("key", "child_id", "status", "error", "lines") if c in df.columns]
     reports = df.where(F.col("lines").isNotNull()).select(*columns)
     folder = "child_id" if one_folder_per_child else "child_prefix"
     if not one_folder_per_child:
-        reports = reports.withColumn(folder, F.substring("child_id", 1, 2))
+        reports = reports.withColumn(folder, F.substring("child_id", 1, prefix_length))
     # Without this every task would write a small file into every folder. AQE
     # sizes the rebalanced partitions and splits those that are too large.
     reports = reports.hint("rebalance", folder)
@@ -113,5 +116,6 @@ def child_report(spark: SparkSession, archive: str, child_id: str) -> DataFrame:
     by prefix. Only the files of the one prefix are read."""
     schema = "key string, child_id string, status string, error string, lines array<string>"
     reports = spark.read.schema(schema + ", child_prefix string").json(archive)
-    wanted = (F.col("child_prefix") == child_id[:2]) & (F.col("child_id") == child_id)
-    return reports.where(wanted).drop("child_prefix")
+    # A condition on the folder alone, so that Spark leaves the others out.
+    in_folder = F.startswith(F.lit(child_id), F.col("child_prefix"))
+    return reports.where(in_folder & (F.col("child_id") == child_id)).drop("child_prefix")

@@ -76,10 +76,19 @@ def test_odd_reports_and_results_do_not_spread(spark):
             return ["not a dict"]
         if row["id"] == 3:
             raise RuntimeError("half a pair \ud800")
+        if row["id"] == 4:
+            raise Mute()
+        if row["id"] == 5:
+            return []
         return None
 
-    rows = sorted(map_isolated(spark.range(5), fn, "id", "t string", "run").collect())
-    assert [r.status for r in rows] == ["ok", "error", "error", "error", "ok"]
+    class Mute(Exception):
+        def __str__(self):
+            raise RuntimeError("no words")
+
+    rows = sorted(map_isolated(spark.range(7), fn, "id", "t string", "run").collect())
+    assert [r.status for r in rows] == ["ok", "error", "error", "error", "error", "error", "ok"]
+    assert rows[4].error == "Mute: a Mute that has no text"
     assert all(r.lines == [str(r.key), "half a pair ?"] for r in rows)
 
 

@@ -136,10 +136,21 @@ def test_child_reports(spark, tmp_path):
         ("2", two.child_id, "error", "ValueError: two", ["first", "row 2"])
     ]
     plan = found._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(child_prefix" in plan
+    filters = plan.partition("PartitionFilters: [")[2].partition("]")[0]
+    assert f"StartsWith({two.child_id}, child_prefix" in filters
     assert child_report(spark, archive, "0" * 32).count() == 0
 
 
+@pytest.mark.parametrize("length", [1, 4])
+def test_child_reports_by_other_prefixes(spark, tmp_path, length):
+    archive = str(tmp_path / "archive")
+    df = reported(spark, 20)
+    write_child_reports(df, archive, prefix_length=length)
+    child = df.where("key = 7").first().child_id
+    assert os.path.isdir(f"{archive}/child_prefix={child[:length]}")
+    assert child_report(spark, archive, child).first().lines == ["first", "row 7"]
+
+
 def test_one_folder_per_child(spark, tmp_path):
     archive = str(tmp_path / "archive")
     df = reported(spark, 4)
