@@ -9,27 +9,13 @@ from pyspark.sql import SparkSession
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    """True if ``path`` is there, on whatever file system its scheme names."""
-    files, hadoop_path = _file_system(spark, path)
-    return files.exists(hadoop_path)
+    """True if ``path`` is there, on whatever file system its scheme names.
 
-
-def has_entry(spark: SparkSession, folder: str, prefix: str) -> bool:
-    """True if ``folder`` is there and holds something whose name starts with ``prefix``."""
-    files, hadoop_path = _file_system(spark, folder)
-    if not files.exists(hadoop_path):
-        return False
-    entries = files.listStatusIterator(hadoop_path)
-    while entries.hasNext():
-        if entries.next().getPath().getName().startswith(prefix):
-            return True
-    return False
-
-
-def _file_system(spark: SparkSession, path: str):
+    ``path`` may hold wildcards; then True if anything matches.
+    """
     hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    return hadoop_path.getFileSystem(conf), hadoop_path
+    return bool(hadoop_path.getFileSystem(conf).globStatus(hadoop_path))
 
 
 def fresh_folder(spark: SparkSession, purpose: str) -> str:

@@ -8,7 +8,7 @@ from urllib.parse import urlsplit
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.shared_storage import has_entry, path_exists
+from foliospark.shared_storage import path_exists
 
 # Fixed value: the name of the settings file in a folder.
 SETTINGS_FILE = "app.json"
@@ -54,7 +54,7 @@ def _read_level(spark: SparkSession, path: str) -> DataFrame | None:
         single_file = path
     if path_exists(spark, single_file):
         files = spark.read.text(single_file, wholetext=True).withColumn("scope", F.lit(""))
-    elif has_entry(spark, path, "scope="):
+    elif path_exists(spark, f"{path.rstrip('/')}/scope=*"):
         # The schema is given so that a scope such as "01" stays text.
         files = spark.read.schema("value string, scope string").text(path, wholetext=True)
         files = files.withColumn("scope", F.coalesce("scope", F.lit("")))

@@ -31,6 +31,8 @@ def one(spark, sql, column):
         ("[-3.7, 1e3, 2147483647, -2147483648]", [-3.7, 1000.0, 2147483647.0, -2147483648.0],
          [-3, 1000, 2147483647, -2147483648]),
         ('["x", true]', [None, None], [None, None]),
+        ("[2147483647.9, -2147483648.9]", [2147483647.9, -2147483648.9], [2147483647, -2147483648]),
+        ("[2147483648, -2147483649]", [2147483648.0, -2147483649.0], [None, None]),
     ],
 )
 def test_numbers_from_json(spark, text, doubles, ints):

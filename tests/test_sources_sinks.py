@@ -277,6 +277,13 @@ def test_a_key_given_twice_fails(spark, tmp_path):
         save_layer(rows, str(tmp_path / "layer"))
 
 
+def test_path_exists(spark, tmp_path):
+    (tmp_path / "scope=a").mkdir()
+    assert path_exists(spark, str(tmp_path)) and path_exists(spark, f"{tmp_path}/scope=*")
+    assert not path_exists(spark, f"{tmp_path}/app.json")
+    assert not path_exists(spark, f"{tmp_path}/nowhere/scope=*")
+
+
 def test_fresh_folders(spark):
     first, second = fresh_folder(spark, "x"), fresh_folder(spark, "x")
     assert first != second and not path_exists(spark, first)
