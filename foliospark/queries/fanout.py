@@ -93,8 +93,9 @@ def distribute_eval_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark, [F.col("id"), (F.col("id") * F.col("id")).alias("square")], SLOTS
     )
     in_python = distribute_eval(
-        spark, lambda row: {"id": row["id"], "cube": row["id"] ** 3}, SLOTS, "id bigint, cube bigint"
-    )
+        spark, lambda row: {"id": row["id"], "cube": row["id"] ** 3}, SLOTS,
+        "id bigint, cube bigint",
+    )
     slot = F.pmod("c_custkey", F.lit(SLOTS)).alias("id")
     shares = table(spark, sf_dir, "customer").groupBy(slot).agg(F.count("*").alias("n_customers"))
     return (
@@ -179,7 +180,8 @@ def report_index_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An index line per partition, all of them well formed and different."""
     tagged = revenue_by_partition(spark, sf_dir, "report_index_partitions")
     index = report_index(tagged)
-    form = r"^Subreport: ([0-9a-f]{32}) \[markdown\]\(\1\.md\) \[html\]\(\1\.html\) \[pdf\]\(\1\.pdf\)$"
+    links = r"\[markdown\]\(\1\.md\) \[html\]\(\1\.html\) \[pdf\]\(\1\.pdf\)"
+    form = rf"^Subreport: ([0-9a-f]{{32}}) {links}$"
     return index.agg(
         (F.count("*") >= 1).alias("has_children"),
         (F.count("*") == F.count_distinct("child_id")).alias("all_different"),
@@ -255,7 +257,8 @@ ORACLES = {
         FROM children
     """,
     "report_index_partitions": """
-        SELECT count(*) >= 1 AS has_children, true AS all_different, CAST(0 AS BIGINT) AS n_malformed
+        SELECT count(*) >= 1 AS has_children, true AS all_different,
+               CAST(0 AS BIGINT) AS n_malformed
         FROM lineitem
     """,
 }

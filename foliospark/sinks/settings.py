@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import to_json_sorted
 
-
 # As many scopes as this may be broadcast: a row is a scope name and a number.
 _BROADCAST_SCOPES = 100_000
 

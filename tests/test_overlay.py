@@ -42,7 +42,9 @@ def test_unique_layers_with_several_keys_and_null_keys(spark):
     low = [(1, "x", "low"), (1, None, "low"), (None, None, "low"), (2, "x", "low")]
     high = [(1, None, "high"), (None, None, None), (3, "x", "high")]
     layers = [spark.createDataFrame(rows, schema) for rows in (low, high)]
-    expected = [(None, None, None), (1, None, "high"), (1, "x", "low"), (2, "x", "low"), (3, "x", "high")]
+    expected = [
+        (None, None, None), (1, None, "high"), (1, "x", "low"), (2, "x", "low"), (3, "x", "high"),
+    ]
     for unique in (False, True):
         rows = overlay(layers, ["a", "b"], unique).collect()
         assert sorted(map(str, map(tuple, rows))) == sorted(map(str, expected))

@@ -219,7 +219,9 @@ def test_malformed_settings_fail(spark, tmp_path):
 
 def test_saved_layers(spark, tmp_path):
     path = str(tmp_path / "layer")
-    rows = [("a/b", "k2", "v=\"2\"\n"), ("a/b", "k1", None), ("01", "k", "v"), (None, "k", "global")]
+    rows = [
+        ("a/b", "k2", 'v="2"\n'), ("a/b", "k1", None), ("01", "k", "v"), (None, "k", "global"),
+    ]
     save_layer(spark.createDataFrame(rows, "scope string, key string, value string"), path)
     read = settings_layers(spark, [path]).collect()
     assert {(r.scope, r.key, r.value) for r in read} == {(s or "", k, v) for s, k, v in rows}
@@ -233,7 +235,9 @@ def test_saved_layers(spark, tmp_path):
 def test_large_scopes_are_written_in_pieces(spark, tmp_path):
     path = str(tmp_path / "layer")
     hot = spark.range(5000).select(F.lit("hot").alias("scope"), F.col("id").alias("n"))
-    cold = spark.range(100).select(F.concat(F.lit("s"), "id").alias("scope"), F.col("id").alias("n"))
+    cold = spark.range(100).select(
+        F.concat(F.lit("s"), "id").alias("scope"), F.col("id").alias("n")
+    )
     entries = hot.union(cold).select(
         "scope", F.concat(F.lit("key"), "n").alias("key"), F.col("n").cast("string").alias("value")
     )
@@ -272,7 +276,8 @@ def test_many_large_scopes_are_joined_without_broadcast(spark, tmp_path, monkeyp
 
 
 def test_a_key_given_twice_fails(spark, tmp_path):
-    rows = spark.createDataFrame([("s", "k", "1"), ("s", "k", "2")], "scope string, key string, value string")
+    schema = "scope string, key string, value string"
+    rows = spark.createDataFrame([("s", "k", "1"), ("s", "k", "2")], schema)
     with pytest.raises(Exception, match="DUPLICATED_MAP_KEY"):
         save_layer(rows, str(tmp_path / "layer"))
 

@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 from foliospark.functions import parse_json, to_json_sorted
 from foliospark.operators import distribute, map_isolated, overlay, report_index
 from foliospark.plans import run_notebook
-from foliospark.sinks import child_report, materialize, new_archive, publish_run, write_child_reports
+from foliospark.sinks import (
+    child_report,
+    materialize,
+    new_archive,
+    publish_run,
+    write_child_reports,
+)
 from foliospark.sources import folder_levels, settings_layers
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -65,9 +71,11 @@ def test_one_materialized_run_serves_results_and_reports(spark, tmp_path):
     events = spark.read.parquet(f"{SF_DIR}/events.parquet")
     parsed = events.select("event_id", "event_type", parse_json("props", "k int").alias("props"))
     flat = parsed.select("event_id", "event_type", "props.k")
-    run = materialize(
-        spark, f"{tmp_path}/run", lambda s: map_isolated(flat, check, "event_id", "long boolean", "r")
-    )
+
+    def build(session):
+        return map_isolated(flat, check, "event_id", "long boolean", "r")
+
+    run = materialize(spark, f"{tmp_path}/run", build)
     write_child_reports(run, f"{tmp_path}/reports")
     assert report_index(run, distinct=False).count() == events.count() == runs.value
     assert spark.read.json(f"{tmp_path}/reports").count() == events.count()
