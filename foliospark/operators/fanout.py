@@ -28,6 +28,25 @@ ReportingRowFunction = Callable[[list, dict], "dict | None"]
 ReportingBatchFunction = Callable[[list, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
+def _row_reader() -> Callable[[pa.RecordBatch], list[dict]]:
+    """The function that reads a batch as dicts. It is made for every fan-out, so
+    that it is shipped together with the user's function."""
+
+    def values(column):
+        number = pa.types.is_integer(column.type) or pa.types.is_floating(column.type)
+        if pa.types.is_string(column.type) or (number and column.null_count == 0):
+            return column.to_numpy(zero_copy_only=False).tolist()  # the same, but faster
+        return column.to_pylist()
+
+    def rows(batch):
+        if not batch.num_columns:
+            return batch.to_pylist()
+        names = batch.schema.names
+        return [dict(zip(names, row)) for row in zip(*map(values, batch.columns))]
+
+    return rows
+
+
 def slot_count(spark: SparkSession) -> int:
     """How many partitions ``spread`` deals out to by default.
 
@@ -84,6 +103,7 @@ def map_isolated(
     result_type = T.StructType.fromDDL(schema)
     results = to_arrow_schema(result_type)
     known = set(result_type.names)
+    rows_of = _row_reader()
 
     def run(batches):
         def text(value):
@@ -108,6 +128,13 @@ def map_isolated(
             except (Exception, SystemExit) as e:
                 return failed(e, report)
 
+        def reports(all_lines):
+            try:
+                return pa.array(all_lines, pa.list_(pa.string()))
+            except Exception:  # not all of them are texts, or texts that can be encoded
+                all_lines = [[text(line) for line in lines] for lines in all_lines]
+                return pa.array(all_lines, pa.list_(pa.string()))
+
         def convert(outcomes):
             return [
                 pa.array([o[3].get(f.name) for o in outcomes], type=f.type) for f in results
@@ -121,7 +148,7 @@ def map_isolated(
                 return failed(e, outcome[2])
 
         for batch in batches:
-            outcomes = [attempt(row) for row in batch.to_pylist()]
+            outcomes = [attempt(row) for row in rows_of(batch)]
             try:
                 columns_out = convert(outcomes)
             except Exception:
@@ -132,7 +159,7 @@ def map_isolated(
                     batch.column(key),
                     pa.array([o[0] for o in outcomes], pa.string()),
                     pa.array([o[1] for o in outcomes], pa.string()),
-                    pa.array([[text(x) for x in o[2]] for o in outcomes], pa.list_(pa.string())),
+                    reports([o[2] for o in outcomes]),
                     *columns_out,
                 ],
                 names=["key", "status", "error", "lines", *results.names],
@@ -190,6 +217,7 @@ def map_eval(
     result_type = T.StructType.fromDDL(schema)
     results = to_arrow_schema(result_type)
     known = set(result_type.names)
+    rows_of = _row_reader()
 
     def run(batches):
         def evaluate(row):
@@ -199,7 +227,7 @@ def map_eval(
             return result
 
         for batch in batches:
-            rows = [evaluate(row) for row in batch.to_pylist()]
+            rows = [evaluate(row) for row in rows_of(batch)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r.get(f.name) for r in rows], type=f.type) for f in results],
                 schema=results,
