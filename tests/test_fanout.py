@@ -227,3 +227,33 @@ def test_report_index(spark):
     assert rows[0].line == "Subreport: aa [markdown](aa.md) [html](aa.html) [pdf](aa.pdf)"
     assert (rows[1].markdown, rows[1].html, rows[1].pdf) == ("bb.md", "bb.html", "bb.pdf")
     assert report_index(df, distinct=False).count() == 3
+
+
+def test_every_type_reaches_the_function_and_returns(spark):
+    schema = (
+        "i int, l bigint, f float, d double, s string, t boolean, day date, ntz timestamp_ntz,"
+        " dec decimal(10,2), arr array<int>, m map<string,int>, st struct<x:int,y:string>, b binary"
+    )
+    full = (
+        1, 2**40, 0.1, float("inf"), "é|\n", True, datetime.date(2024, 2, 29),
+        datetime.datetime(2024, 2, 29, 1, 2, 3, 4), decimal.Decimal("1.50"), [1, None], {"k": None},
+        (1, None), b"\x00\xff",
+    )
+    empty = (None,) * len(full)
+    for rows in ([full], [empty], [full, empty, full]):
+        df = spark.createDataFrame(rows, schema).coalesce(1)
+        back = map_eval(df, lambda row: row, schema)
+        assert back.collect() == df.collect()
+        kept = map_isolated(df.withColumn("key", F.lit(1)), lambda report, row: {
+            name: value for name, value in row.items() if name != "key"
+        }, "key", schema, "run")
+        assert kept.select(*df.columns).collect() == df.collect()
+        assert {r.status for r in kept.collect()} == {"ok"}
+
+
+def test_empty_frames(spark):
+    nothing = spark.range(0)
+    assert map_eval(nothing, lambda row: row, "id bigint").collect() == []
+    assert map_isolated(nothing, lambda report, row: None, "id", "x int", "run").collect() == []
+    tagged = map_partitions_tagged(nothing, row_counter(), "id bigint", "run")
+    assert tagged.collect() == [] and report_index(tagged).collect() == []
