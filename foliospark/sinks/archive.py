@@ -50,9 +50,10 @@ def destination(
 
 def _has_host(address: str) -> bool:
     parts = urlsplit(address)
-    if parts.netloc == _NO_HOST:
-        return False
-    return bool(parts.netloc) or parts.scheme in _SCHEMES_WITHOUT_HOST
+    if parts.netloc:
+        return parts.netloc != _NO_HOST
+    # "scheme:/path" has no place for a host; "scheme:///path" has, and it is empty.
+    return parts.scheme in _SCHEMES_WITHOUT_HOST or "://" not in address
 
 
 def publish_run(

@@ -32,6 +32,10 @@ def one(spark, sql, column):
          [-3, 1000, 2147483647, -2147483648]),
         ('["x", true]', [None, None], [None, None]),
         ("[2147483647.9, -2147483648.9]", [2147483647.9, -2147483648.9], [2147483647, -2147483648]),
+        ("[1e400, 1]", [float("inf"), 1.0], [None, 1]),
+        ('["1.5", "x", 2, null, {"a": 1}]', [1.5, None, 2.0, None, None], [1, None, 2, None, None]),
+        ("[[1], 2]", [None, 2.0], [None, 2]),
+        ("", None, None),
         ("[2147483648, -2147483649]", [2147483648.0, -2147483649.0], [None, None]),
     ],
 )

@@ -74,6 +74,8 @@ def test_warehouse(spark, tmp_path):
         ({"archive": "s3://bucket/reports/", "run_id": "abc"}, "s3://bucket/reports"),
         ({"archive": "/data/reports"}, "/data/reports"),
         ({"archive": "hdfs:///reports/x"}, "hdfs:///reports/x"),
+        ({"archive": "file:/reports/x"}, "file:///reports/x"),
+        ({"archive": "other:/reports/x"}, "other:///reports/x"),
         ({"archive": "s3://a/x", "base": "s3://b", "name": "n", "run_id": "r"}, "s3://a/x"),
         ({"archive": "s3://null/x", "base": "s3://b", "name": "n", "run_id": "r"}, "s3://b/n/r"),
         ({"archive": "s3:///x", "base": "s3://b/", "name": "n", "run_id": "r"}, "s3://b/n/r"),
