@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -124,6 +126,22 @@ def map_eval_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def map_eval_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A digest and the number of lines of every document, from its whole text."""
+
+    def digest(row):
+        text = row["text"]
+        return {
+            "doc_id": row["doc_id"],
+            "digest": hashlib.md5(text.encode()).hexdigest(),
+            "n_lines": text.count("\n") + 1,
+        }
+
+    documents = table(spark, sf_dir, "documents")
+    schema = "doc_id bigint, digest string, n_lines bigint"
+    return map_eval(documents, digest, schema, columns=["doc_id", "text"])
+
+
 def revenue_by_partition(spark: SparkSession, sf_dir: str, run_id: str, slots: int | None = None):
     """The revenue of every line item, batch by batch, with a row count per partition."""
 
@@ -197,6 +215,7 @@ QUERIES = {
     "distribute_eval": distribute_eval_query,
     "map_eval_column": map_eval_column,
     "map_eval_function": map_eval_function,
+    "map_eval_texts": map_eval_texts,
     "map_partitions_tagged": map_partitions_query,
     "partition_reports": partition_reports,
     "report_index": report_index_query,
@@ -241,6 +260,11 @@ ORACLES = {
     """,
     "map_eval_column": "SELECT o_orderkey, o_orderkey * 2 + 1 AS next_key FROM orders",
     "map_eval_function": "SELECT o_orderkey, o_orderkey * 2 + 1 AS next_key FROM orders",
+    "map_eval_texts": """
+        SELECT doc_id, md5(text) AS digest,
+               CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS BIGINT) AS n_lines
+        FROM documents
+    """,
     "map_partitions_tagged": """
         SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS revenue
         FROM lineitem

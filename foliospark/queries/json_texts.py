@@ -89,6 +89,18 @@ def json_rooted(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def json_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation turn, whole text included, to JSON text and back."""
+    turn = F.struct("conv_id", "turn", "role", "text")
+    written = table(spark, sf_dir, "conversations").select(
+        to_json_rooted(turn, "row", pretty=False).alias("json")
+    )
+    schema = "row struct<conv_id: bigint, turn: bigint, role: string, text: string>"
+    return written.select("json", parse_json("json", schema).alias("read")).select(
+        "json", "read.row.*"
+    )
+
+
 QUERIES = {
     "json_doubles": json_doubles,
     "json_ints": json_ints,
@@ -97,6 +109,7 @@ QUERIES = {
     "json_sorted": json_sorted,
     "json_sorted_counts": json_sorted_counts,
     "json_rooted": json_rooted,
+    "json_turns": json_turns,
 }
 
 ORACLES = {
@@ -154,4 +167,11 @@ ORACLES = {
                    || '    "seg" : ' || seg || chr(10) || '  }' || chr(10) || '}' AS pretty_json
         FROM texts
     """,
+    "json_turns": """
+        SELECT CAST(json_object('row', json_object(
+                   'conv_id', conv_id, 'turn', turn, 'role', role, 'text', text)) AS VARCHAR)
+                   AS json,
+               conv_id, turn, role, text
+        FROM conversations
+    """,
 }
