@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+_GUIDS_PER_PARTITION = 10_000_000
+
 
 def guid_source(spark: SparkSession, n: int = 10_000) -> DataFrame:
     """``n`` rows with one random UUID text each, in the non-null column ``guid``.
@@ -15,7 +17,9 @@ def guid_source(spark: SparkSession, n: int = 10_000) -> DataFrame:
     Spark seeds ``uuid()`` when the frame is made, so every query on the same
     frame, and every retried task, sees the same values.
     """
-    return spark.range(n).select(F.expr("uuid()").alias("guid"))
+    # A partition per core, or more where they would get too large.
+    partitions = max(spark.sparkContext.defaultParallelism, n // _GUIDS_PER_PARTITION)
+    return spark.range(0, n, 1, partitions).select(F.expr("uuid()").alias("guid"))
 
 
 def typed_rows(
