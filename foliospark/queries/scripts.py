@@ -75,10 +75,14 @@ _SCRIPTS = {
     "sql_semi_anti": (
         ["customer", "orders"],
         """
+        -- Distinct first: a customer with many orders is one row per task then
+        CREATE OR REPLACE TEMP VIEW {t}pending AS
+        SELECT DISTINCT o_custkey FROM {t}orders WHERE o_orderstatus = 'P';
+        CREATE OR REPLACE TEMP VIEW {t}urgent AS
+        SELECT DISTINCT o_custkey FROM {t}orders WHERE o_orderpriority = '1-URGENT';
         SELECT c_custkey, c_name FROM {t}customer
-        WHERE EXISTS (SELECT 1 FROM {t}orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')
-          AND NOT EXISTS (SELECT 1 FROM {t}orders
-                          WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')
+        WHERE EXISTS (SELECT 1 FROM {t}pending WHERE o_custkey = c_custkey)
+          AND NOT EXISTS (SELECT 1 FROM {t}urgent WHERE o_custkey = c_custkey)
         """,
         """
         SELECT c_custkey, c_name FROM customer

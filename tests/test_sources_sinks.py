@@ -143,6 +143,15 @@ def test_child_reports(spark, tmp_path):
     assert child_report(spark, archive, "0" * 32).count() == 0
 
 
+def test_many_tasks_do_not_write_many_files(spark, tmp_path):
+    archive = tmp_path / "archive"
+    df = reported(spark, 500).repartition(40)
+    write_child_reports(df, str(archive), prefix_length=1)
+    folders = [f for f in archive.iterdir() if f.name.startswith("child_prefix=")]
+    assert len(folders) == 16
+    assert all(len(list(folder.glob("*.json"))) == 1 for folder in folders)
+
+
 @pytest.mark.parametrize("length", [1, 4])
 def test_child_reports_by_other_prefixes(spark, tmp_path, length):
     archive = str(tmp_path / "archive")
