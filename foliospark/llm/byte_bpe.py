@@ -240,14 +240,17 @@ def encode_texts(
     other. Texts are never cut. Columns other than the two named are not looked at.
     """
     spark = df.sparkSession
-    # A worker keeps the broadcast encoder, and what it remembers, from task to task.
-    shared = spark.sparkContext.broadcast(Encoder(read_ranks(vocabulary)))
+    # A worker keeps a broadcast value from task to task, and with it the encoder put there.
+    shared = spark.sparkContext.broadcast({"ranks": read_ranks(vocabulary)})
     rows = only(df, {"id": id_column, "text": text_column})
     rows = rows.withColumn("text", rows["text"].cast("string"))
     kind = rows.schema["id"].dataType.simpleString()
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, split = shared.value, regex.compile(pattern)
+        held, split = shared.value, regex.compile(pattern)
+        if "encoder" not in held:
+            held["encoder"] = Encoder(held["ranks"])
+        encoder = held["encoder"]
         for batch in slices(batches, "text", SLICE_BYTES):
             texts = texts_of(batch, "text")
             ids = encoder.encode(texts, split)
