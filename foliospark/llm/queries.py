@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from foliospark.llm.byte_bpe import encode_texts
+from foliospark.llm.near_dedup import near_duplicates
 from foliospark.llm.quality import quality_measures
 from foliospark.llm.texts import table
 
@@ -25,9 +26,15 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(out["id"].alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_duplicates(table(spark, sf_dir, "documents"), width=4)
+    return out.select(out["id"].alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_near_dedup": op9_near_dedup,
 }
 
 ORACLES: dict[str, str] = {}
