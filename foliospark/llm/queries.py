@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from foliospark.llm.byte_bpe import encode_texts
+from foliospark.llm.hidden_markov import score_texts
 from foliospark.llm.near_dedup import near_duplicates
 from foliospark.llm.quality import quality_measures
 from foliospark.llm.texts import table
@@ -31,8 +32,13 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(out["id"].alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
+def op5_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op5_hidden_markov": op5_hidden_markov,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_near_dedup": op9_near_dedup,
 }
