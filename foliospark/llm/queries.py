@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from foliospark.llm.byte_bpe import encode_texts
 from foliospark.llm.hidden_markov import score_texts
+from foliospark.llm.line_dedup import line_dedup
 from foliospark.llm.near_dedup import near_duplicates
 from foliospark.llm.quality import quality_measures
 from foliospark.llm.texts import table
@@ -36,11 +37,16 @@ def op5_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op5_hidden_markov": op5_hidden_markov,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_near_dedup": op9_near_dedup,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLES: dict[str, str] = {}
