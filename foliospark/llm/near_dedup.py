@@ -314,3 +314,33 @@ def near_duplicates(
     out = keyed.join(of_vertex, "vertex", "left")
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("id").isNotNull(), F.col("component_id"))).otherwise(F.col("id"))
     return out.select("id", "n_shingles", "vertex", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+
+
+def keep_one(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``df`` without near duplicates: of each component the row of the least id stays.
+
+    Rows without id and texts without words stay. Of rows that repeat an id and a text one
+    stays; rows that share an id but not their text are judged by their texts.
+    """
+    found = near_duplicates(df, id_column, text_column, width, percent)
+    verdicts = stored(found.select("id", "vertex", "kept"), "verdicts").where("id IS NOT NULL")
+    repeated = stored(verdicts.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "repeated")
+    gone = stored(verdicts.where("NOT kept").select("id").distinct().join(repeated, "id", "left_anti"), "gone")
+    own, text = df[f"`{id_column}`"], df[f"`{text_column}`"].cast("string")
+    if repeated.isEmpty():
+        return df.join(gone, own == gone["id"], "left_anti")
+    rest = df.join(gone.union(repeated).withColumnRenamed("id", "near_dup_id"), own == F.col("near_dup_id"), "left_anti")
+
+    @F.pandas_udf("binary")
+    def vertex(texts):
+        import pandas as pd
+
+        sets = _sets([(t or "").encode() for t in texts], width, WordHashes())
+        return pd.Series([_key(s) if len(s) else None for s in sets])
+
+    again = df.join(repeated.withColumnRenamed("id", "near_dup_id"), own == F.col("near_dup_id"), "left_semi")
+    again = again.dropDuplicates([id_column, text_column])
+    staying = verdicts.where("kept").join(repeated, "id").distinct()
+    staying = staying.select(F.col("id").alias("near_dup_id"), F.col("vertex").alias("near_dup_vertex"))
+    same = (own == F.col("near_dup_id")) & vertex(text).eqNullSafe(F.col("near_dup_vertex"))
+    return rest.unionByName(again.join(staying, same, "left_semi"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from foliospark.llm.byte_bpe import encode_texts
+from foliospark.llm.decontaminate import benchmark_overlaps
 from foliospark.llm.hidden_markov import score_texts
 from foliospark.llm.line_dedup import line_dedup
 from foliospark.llm.near_dedup import near_duplicates
@@ -41,9 +42,15 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = benchmark_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(found["id"].alias("doc_id"), "item_id", "first_word", "n_words", "n_equal")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op5_hidden_markov": op5_hidden_markov,
+    "op6_decontamination": op6_decontamination,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_near_dedup": op9_near_dedup,
     "op10_line_dedup": op10_line_dedup,
