@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from foliospark.llm.byte_bpe import encode_texts
 from foliospark.llm.decontaminate import benchmark_overlaps
 from foliospark.llm.hidden_markov import score_texts
 from foliospark.llm.line_dedup import line_dedup
 from foliospark.llm.near_dedup import near_duplicates
+from foliospark.llm.personal_data import BASE_KINDS, listed, personal_data
 from foliospark.llm.quality import quality_measures
 from foliospark.llm.texts import table
 
@@ -47,10 +49,22 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(found["id"].alias("doc_id"), "item_id", "first_word", "n_words", "n_equal")
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    kinds = F.transform(base, lambda s: s["kind"])
+    counts = [F.size(F.array_remove(kinds, k)) for k in BASE_KINDS]
+    counts = [(F.size(kinds) - n).cast("bigint").alias(f"n_{k}") for n, k in zip(counts, BASE_KINDS)]
+    return found.select(
+        F.col("id").alias("doc_id"), *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans")
+    )
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op5_hidden_markov": op5_hidden_markov,
     "op6_decontamination": op6_decontamination,
+    "op7_personal_data": op7_personal_data,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_near_dedup": op9_near_dedup,
     "op10_line_dedup": op10_line_dedup,
