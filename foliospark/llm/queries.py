@@ -9,6 +9,7 @@ from foliospark.llm.byte_bpe import encode_texts
 from foliospark.llm.decontaminate import benchmark_overlaps
 from foliospark.llm.hidden_markov import score_texts
 from foliospark.llm.line_dedup import line_dedup
+from foliospark.llm.main_text import main_texts
 from foliospark.llm.near_dedup import near_duplicates
 from foliospark.llm.personal_data import BASE_KINDS, listed, personal_data
 from foliospark.llm.quality import quality_measures
@@ -60,8 +61,14 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = main_texts(table(spark, sf_dir, "pages"))
+    return found.select(found["id"].alias("page_id"), "url", "text", "n_chars")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_main_text": op3_main_text,
     "op5_hidden_markov": op5_hidden_markov,
     "op6_decontamination": op6_decontamination,
     "op7_personal_data": op7_personal_data,
