@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from foliospark.llm.byte_bpe import encode_texts
 from foliospark.llm.decontaminate import benchmark_overlaps
 from foliospark.llm.hidden_markov import score_texts
+from foliospark.llm.license_scan import license_notices
 from foliospark.llm.line_dedup import line_dedup
 from foliospark.llm.main_text import main_texts
 from foliospark.llm.near_dedup import near_duplicates
 from foliospark.llm.personal_data import BASE_KINDS, listed, personal_data
 from foliospark.llm.quality import quality_measures
 from foliospark.llm.texts import table
+from foliospark.llm.url_filter import judge_urls
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,9 +68,21 @@ def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(found["id"].alias("page_id"), "url", "text", "n_chars")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_notices(table(spark, sf_dir, "documents"))
+    return found.select(found["id"].alias("doc_id"), "license", "template", "contained", "first_word")
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge_urls(table(spark, sf_dir, "pages"))
+    return judged.select(judged["id"].alias("page_id"), "host", "path", "rule", "verdict")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_license_scan": op2_license_scan,
     "op3_main_text": op3_main_text,
+    "op4_url_filter": op4_url_filter,
     "op5_hidden_markov": op5_hidden_markov,
     "op6_decontamination": op6_decontamination,
     "op7_personal_data": op7_personal_data,
