@@ -83,16 +83,14 @@ def to_json_sorted(
 def to_json_rooted(
     col: Column | str,
     root: str,
-    schema: T.DataType | str | None = None,
+    schema: T.DataType | str,
     pretty: bool = True,
 ) -> Column:
     """As :func:`to_json_sorted`, with the value wrapped as ``{root: value}``.
 
-    Without ``schema`` the value is written as it is.
+    ``schema`` is the column's type, so that maps at any depth are put in key order.
     """
-    value = _column(col)
-    if schema is not None:
-        value = _sort_maps(value, _data_type(schema))
+    value = _sort_maps(_column(col), _data_type(schema))
     return F.to_json(F.struct(value.alias(root)), _json_options(pretty))
 
 

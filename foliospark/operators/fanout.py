@@ -24,6 +24,7 @@ _INDEX_WORD = "Subreport:"
 _LINK_SUFFIXES = {"markdown": ".md", "html": ".html", "pdf": ".pdf"}
 
 RowFunction = Callable[[dict], dict]
+BatchFunction = Callable[[pa.RecordBatch], pa.RecordBatch]
 ReportingRowFunction = Callable[[list, dict], "dict | None"]
 ReportingBatchFunction = Callable[[list, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
@@ -80,7 +81,6 @@ def map_isolated(
     run_id: str,
     columns: list[str] | None = None,
     slots: int | None = None,
-    error_chars: int = 2000,
 ) -> DataFrame:
     """``fn(report, row)`` for every row, one child report per row.
 
@@ -89,8 +89,8 @@ def map_isolated(
     result has one row per input row, whatever happens:
     ``(key, child_id, status, error, lines, <result columns>)``. Where ``fn``
     raises, or gives a value that does not fit ``schema``, ``status`` is "error",
-    ``error`` says why (cut at ``error_chars``), the result columns are NULL and
-    the neighbours are untouched. ``fn`` should have no side effects, as Spark may
+    ``error`` says why, in full, the result columns are NULL and the neighbours are
+    untouched. ``fn`` should have no side effects, as Spark may
     run a row again.
 
     ``child_id`` depends on ``run_id`` and the key only, so it is the same when
@@ -113,7 +113,7 @@ def map_isolated(
                 return f"a {type(value).__name__} that has no text"
 
         def failed(error, report):
-            return "error", f"{type(error).__name__}: {text(error)}"[:error_chars], report, {}
+            return "error", f"{type(error).__name__}: {text(error)}", report, {}
 
         def attempt(row):
             report = []
@@ -200,15 +200,18 @@ def distribute(
 
 def map_eval(
     df: DataFrame,
-    fn: RowFunction | Column | list[Column],
+    fn: RowFunction | BatchFunction | Column | list[Column],
     schema: str | None = None,
     columns: list[str] | None = None,
+    batched: bool = False,
 ) -> DataFrame:
     """The results of ``fn`` for every row; an error fails the query.
 
     A Column or a list of Columns is evaluated as such, without Python. A function
     gets the row as a dict and gives the columns of ``schema`` (DDL) as a dict;
-    ``columns`` names what it reads, and only that is scanned.
+    ``columns`` names what it reads, and only that is scanned. With ``batched`` the
+    function gets an Arrow batch of rows and gives one with the columns of ``schema``;
+    for whatever Arrow or numpy can do with whole columns that is much faster.
     """
     if not callable(fn) or isinstance(fn, Column):
         return df.select(fn if isinstance(fn, Column) else list(fn))
@@ -227,6 +230,11 @@ def map_eval(
             return result
 
         for batch in batches:
+            if batched:
+                out = fn(batch)
+                by_name = [out.column(f.name).cast(f.type) for f in results]
+                yield pa.RecordBatch.from_arrays(by_name, schema=results)
+                continue
             rows = [evaluate(row) for row in rows_of(batch)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r.get(f.name) for r in rows], type=f.type) for f in results],
@@ -259,10 +267,12 @@ def map_partitions_tagged(
 
     ``fn`` gets a list to append report lines to and an iterator of Arrow batches,
     and gives an iterator of batches with the columns of ``schema`` (DDL). Batches
-    flow through one at a time; a partition is never held as a whole. The result
-    adds ``child_id``, the same on every row of a partition, and ``lines``, the
-    child's report, on the partition's last row only. A partition without output
-    rows leaves no report. An error fails the query.
+    flow through one at a time; neither a partition nor its report is ever held as a
+    whole. The result adds ``child_id``, the same on every row of a partition, and the
+    child's report in parts: the lines added since the part before are ``lines`` on the
+    last row of a batch, with the number of the part (from 0) as ``part``; the list
+    is empty again then. The partition's last row always has a part. A partition without
+    output rows leaves no report. An error fails the query.
 
     ``columns`` and ``slots`` are as in ``map_isolated``. Which rows share a
     partition is up to Spark, so results must not depend on it.
@@ -274,16 +284,22 @@ def map_partitions_tagged(
         partition = TaskContext.get().partitionId()
         child = hashlib.md5(f"{run_id}:{partition}".encode()).hexdigest()
         report = []
+        sent = 0
 
         def tagged(batch, last):
+            nonlocal sent
             lines = pa.nulls(batch.num_rows, pa.list_(pa.string()))
-            if last:
+            parts = pa.nulls(batch.num_rows, pa.int32())
+            if last or report:
                 own = pa.array([[str(line) for line in report]], pa.list_(pa.string()))
                 lines = pa.concat_arrays([lines[1:], own])
+                parts = pa.concat_arrays([parts[1:], pa.array([sent], pa.int32())])
+                report.clear()
+                sent += 1
             by_name = [batch.column(f.name).cast(f.type) for f in results]
             return pa.RecordBatch.from_arrays(
-                [*by_name, pa.repeat(child, batch.num_rows), lines],
-                names=[*results.names, "child_id", "lines"],
+                [*by_name, pa.repeat(child, batch.num_rows), parts, lines],
+                names=[*results.names, "child_id", "part", "lines"],
             )
 
         held = None
@@ -296,8 +312,8 @@ def map_partitions_tagged(
         if held is not None:
             yield tagged(held, last=True)
 
-    if set(result_type.names) & {"child_id", "lines"}:
-        raise ValueError("child_id and lines are taken in the result")
+    if set(result_type.names) & {"child_id", "part", "lines"}:
+        raise ValueError("child_id, part and lines are taken in the result")
     source = df if columns is None else df.select(*columns)
     if slots is not None:
         source = spread(source, slots)
@@ -305,6 +321,7 @@ def map_partitions_tagged(
         [
             *result_type.fields,
             T.StructField("child_id", T.StringType()),
+            T.StructField("part", T.IntegerType()),
             T.StructField("lines", T.ArrayType(T.StringType())),
         ]
     )

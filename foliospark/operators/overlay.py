@@ -26,16 +26,27 @@ def overlay(
         if isinstance(layers, DataFrame):
             raise ValueError("unique=True is for a list of layers")
         return _without_overridden(layers, keys)
+    depth = "depth"
     if not isinstance(layers, DataFrame):
-        numbered = [layer.withColumn("depth", F.lit(i)) for i, layer in enumerate(layers)]
+        # the frames may have a value column named depth
+        depth = _free_name("_depth", layers[0].columns)
+        numbered = [layer.withColumn(depth, F.lit(i)) for i, layer in enumerate(layers)]
         layers = reduce(DataFrame.unionByName, numbered)
-    values = [c for c in layers.columns if c not in keys and c != "depth"]
+    values = [c for c in layers.columns if c not in keys and c != depth]
     if not values:
         return layers.select(*keys).distinct()
     # max_by is aggregated in each task before the shuffle, so a hot key sends one
     # row per task; a window would bring all its rows into one task.
-    deepest = F.max_by(F.struct(*values), "depth").alias("_deepest")
-    return layers.groupBy(*keys).agg(deepest).select(*keys, "_deepest.*")
+    name = _free_name("_deepest", layers.columns)
+    deepest = F.max_by(F.struct(*values), depth).alias(name)
+    return layers.groupBy(*keys).agg(deepest).select(*keys, f"{name}.*")
+
+
+def _free_name(name: str, columns: list[str]) -> str:
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def _without_overridden(layers: list[DataFrame], keys: list[str]) -> DataFrame:

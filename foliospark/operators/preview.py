@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,20 +28,20 @@ def render_markdown(df: DataFrame, n: int = 100) -> DataFrame:
     The ``n`` rows are read right away, see ``preview``. NULL is an empty cell. A
     frame without columns gives no lines. ``line_no`` gives the order of the lines.
     """
-    shown = preview(df, n)
-    spark = df.sparkSession
-    if not shown.columns:
-        return spark.createDataFrame([], "line_no bigint, line string")
-    columns = [f"c{i}" for i in range(len(shown.columns))]
-    numbered = [(i, *row) for i, row in enumerate(shown.collect(), start=2)]
-    rows = spark.createDataFrame(
-        [(0, *shown.columns), *numbered],
-        ", ".join(["line_no bigint", *[f"{c} string" for c in columns]]),
-    )
-    cells = [F.coalesce(_escaped(F.col(c)), F.lit("")) for c in columns]
-    lines = rows.select("line_no", _table_line(cells).alias("line"))
-    rule = spark.createDataFrame([(1, "|" + "---|" * len(columns))], lines.schema)
-    return lines.union(rule)
+    lines = markdown_lines(df, n)
+    return df.sparkSession.createDataFrame(list(enumerate(lines)), "line_no bigint, line string")
+
+
+def markdown_lines(df: DataFrame, n: int = 100) -> list[str]:
+    """The lines of the markdown table, read in one go: a line is made where its row is."""
+    names = _distinct_names(df.columns)
+    if not names:
+        return []
+    positions = [f"c{i}" for i in range(len(names))]
+    cells = [F.coalesce(_escaped(F.col(p).cast("string")), F.lit("")) for p in positions]
+    rows = df.toDF(*positions).select(_table_line(cells).alias("line")).limit(n).collect()
+    header = "| " + " | ".join(_escaped_text(name) for name in names) + " |"
+    return [header, "|" + "---|" * len(names), *[row["line"] for row in rows]]
 
 
 def _distinct_names(columns: list[str]) -> list[str]:
@@ -58,5 +60,9 @@ def _escaped(text: Column) -> Column:
     return F.regexp_replace(barless, "\r\n|\r|\n", "<br>")
 
 
+def _escaped_text(text: str) -> str:
+    return re.sub("\r\n|\r|\n", "<br>", text.replace("|", "\\|"))
+
+
 def _table_line(cells: list[Column]) -> Column:
     return F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))

@@ -2,6 +2,7 @@
 
 from foliospark.plans.notebook import run_notebook
 from foliospark.plans.script import (
+    Result,
     run_cell,
     run_script_with_params,
     run_sql_script,
@@ -9,6 +10,7 @@ from foliospark.plans.script import (
 )
 
 __all__ = [
+    "Result",
     "run_cell",
     "run_notebook",
     "run_script_with_params",

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from functools import partial
+from dataclasses import dataclass
+from functools import cached_property, partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+
+from foliospark.operators.preview import preview
 
 # The statement separator, the letters that count as blank around a
 # statement (the space and all below it), and the first line of a SQL cell.
@@ -14,8 +17,30 @@ _SEPARATOR = r"(?<!\\);"
 _BLANK = "".join(map(chr, range(33)))
 _SQL_CELL = "%sql"
 
-Cell = str | Callable[[SparkSession], DataFrame]
-Statement = tuple[str, Callable[[], DataFrame]]
+Cell = str | Callable[[SparkSession], object]
+Statement = tuple[str, Callable[[], object]]
+
+
+@dataclass
+class Result:
+    """What a statement gave: ``frame``, whole and lazy, or whatever else a function returned.
+
+    ``shown`` is what the statement's result was before the next one started: the rows of
+    its :func:`preview`, or the text of what is no frame. Of the last statement it is read
+    when it is first asked for.
+    """
+
+    statement: str
+    frame: object
+    n: int
+
+    @cached_property
+    def shown(self) -> list[Row] | str:
+        if self.frame is None:
+            return []
+        if not isinstance(self.frame, DataFrame):
+            return str(self.frame)
+        return preview(self.frame, self.n).collect() if self.frame.columns else []
 
 
 def split_statements(text: str) -> list[str]:
@@ -33,20 +58,28 @@ def run_sql_script(
     spark: SparkSession,
     text: str,
     args: dict | None = None,
-    each: Callable[[str, DataFrame], None] | None = None,
-) -> list[DataFrame]:
+    each: Callable[[Result], None] | None = None,
+    n: int = 100,
+) -> list[Result]:
     """Run the statements in order and return one result each.
 
-    Commands take effect at once, queries are lazy. ``each(statement, result)`` is
-    called before the next statement starts. The first failure ends the script;
-    what earlier statements did remains.
+    Commands take effect at once. Of a query the first ``n`` rows are read before the next
+    statement starts (see :class:`Result`), so they do not show what later statements
+    write; its frame stays lazy and whole. ``each(result)`` is called before the next
+    statement starts. The first failure ends the script; what earlier statements did
+    remains.
     """
-    return _run_all(_sql_statements(spark, text, args), each)
+    return _run_all(_sql_statements(spark, text, args), n, each)
 
 
 def run_script_with_params(
-    spark: SparkSession, text: str, defaults: dict, overrides: dict | None = None
-) -> list[DataFrame]:
+    spark: SparkSession,
+    text: str,
+    defaults: dict,
+    overrides: dict | None = None,
+    each: Callable[[Result], None] | None = None,
+    n: int = 100,
+) -> list[Result]:
     """Run a script with named parameters (``:name``).
 
     ``defaults`` are the script's own values; ``overrides`` replaces some of them
@@ -55,15 +88,21 @@ def run_script_with_params(
     unknown = (overrides or {}).keys() - defaults.keys()
     if unknown:
         raise ValueError(f"the script has no parameters {sorted(unknown)}")
-    return run_sql_script(spark, text, args={**defaults, **(overrides or {})})
+    return run_sql_script(spark, text, {**defaults, **(overrides or {})}, each, n)
 
 
-def run_cell(spark: SparkSession, cell: Cell) -> list[DataFrame]:
+def run_cell(
+    spark: SparkSession,
+    cell: Cell,
+    each: Callable[[Result], None] | None = None,
+    n: int = 100,
+) -> list[Result]:
     """Run a cell: text whose first line is ``%sql``, or a function of the session.
 
-    A SQL cell gives one result per statement, a function its own result.
+    A SQL cell gives one result per statement, shown in order as in
+    :func:`run_sql_script`; a function gives its own result, which need not be a frame.
     """
-    return _run_all(cell_statements(spark, cell))
+    return _run_all(cell_statements(spark, cell), n, each)
 
 
 def cell_statements(spark: SparkSession, cell: Cell) -> Iterator[Statement]:
@@ -84,13 +123,15 @@ def _sql_statements(
 
 
 def _run_all(
-    statements: Iterator[Statement], each: Callable[[str, DataFrame], None] | None = None
-) -> list[DataFrame]:
-    results = []
+    statements: Iterator[Statement], n: int, each: Callable[[Result], None] | None = None
+) -> list[Result]:
+    results: list[Result] = []
     for statement, run in statements:
-        results.append(run())
+        if results:
+            _ = results[-1].shown  # read before the next statement starts
+        results.append(Result(statement, run(), n))
         if each is not None:
-            each(statement, results[-1])
+            each(results[-1])
     return results
 
 

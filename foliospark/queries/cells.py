@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from foliospark.operators import preview, render_markdown
 from foliospark.plans import run_cell, run_notebook, run_script_with_params, run_sql_script
+from foliospark.plans.notebook import NOTEBOOK_REPORT
 from foliospark.queries.inputs import table, views
+from foliospark.shared_storage import fresh_folder
 
 
 def cells_in_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +31,7 @@ def cells_in_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
             "c_custkey", "c_name", "n_orders", "spent"
         )
 
-    return run_cell(spark, named)[0]
+    return run_cell(spark, named)[0].frame
 
 
 def sql_script(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +46,28 @@ def sql_script(spark: SparkSession, sf_dir: str) -> DataFrame:
         ;
         SELECT day, concat_ws('\;', event_type, n_events) AS summary FROM folio_script_daily;
         """,
-    )[-1]
+    )[-1].frame
+
+
+def script_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each statement shows, before the next one runs: a table counted, grown and counted again."""
+    views(spark, sf_dir, "folio_order", "part")
+    folder = fresh_folder(spark, "script-order")
+    results = run_sql_script(
+        spark,
+        f"""
+        DROP TABLE IF EXISTS folio_order_parts;
+        CREATE TABLE folio_order_parts USING parquet LOCATION '{folder}'
+        AS SELECT p_partkey, p_size FROM folio_order_part WHERE p_size <= 25;
+        SELECT count(*) AS n, sum(p_size) AS size FROM folio_order_parts;
+        INSERT INTO folio_order_parts SELECT p_partkey, p_size FROM folio_order_part;
+        SELECT count(*) AS n, sum(p_size) AS size FROM folio_order_parts;
+        DROP TABLE folio_order_parts
+        """,
+    )
+    shown = [row for result in results for row in result.shown]
+    rows = [(place, row["n"], row["size"]) for place, row in enumerate(shown, start=1)]
+    return spark.createDataFrame(rows, "place int, n string, size string")
 
 
 def notebook(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +81,8 @@ def notebook(spark: SparkSession, sf_dir: str) -> DataFrame:
     def stop(session):
         raise RuntimeError("shutdown requested")
 
-    report = run_notebook(
+    archive = fresh_folder(spark, "notebook")
+    run_notebook(
         spark,
         [
             "%sql\nSELECT count(*) AS n FROM folio_notebook_orders;"
@@ -73,7 +97,9 @@ def notebook(spark: SparkSession, sf_dir: str) -> DataFrame:
             stop,
             "%sql\nSELECT 1 AS never",
         ],
+        archive=archive,
     )
+    report = spark.read.schema(NOTEBOOK_REPORT).parquet(archive)
     return report.select(
         "cell", "name", "status", F.col("error").isNotNull().alias("failed"),
         F.concat_ws("\n", "lines").alias("text"),
@@ -87,7 +113,7 @@ def script_params(spark: SparkSession, sf_dir: str) -> DataFrame:
         WHERE o_totalprice >= :min_price AND o_orderstatus = :status
     """
     defaults = {"min_price": 0.0, "status": "O"}
-    return run_script_with_params(spark, script, defaults, {"min_price": 250000.0})[0]
+    return run_script_with_params(spark, script, defaults, {"min_price": 250000.0})[0].frame
 
 
 def preview_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,6 +134,7 @@ def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "run_cell": cells_in_turn,
     "sql_script": sql_script,
+    "script_order": script_order,
     "notebook": notebook,
     "script_params": script_params,
     "preview": preview_query,
@@ -124,6 +151,13 @@ ORACLES = {
         SELECT CAST(ts AS DATE) AS day, event_type || ';' || count(*) AS summary
         FROM events GROUP BY CAST(ts AS DATE), event_type
     """,
+    "script_order": """
+        SELECT 1 AS place, CAST(count(*) AS VARCHAR) AS n, CAST(sum(p_size) AS VARCHAR) AS size
+        FROM part WHERE p_size <= 25
+        UNION ALL
+        SELECT 2, CAST(count(*) AS VARCHAR), CAST(sum(p_size) AS VARCHAR)
+        FROM (SELECT p_size FROM part WHERE p_size <= 25 UNION ALL SELECT p_size FROM part)
+    """,
     "notebook": r"""
         SELECT 1 AS cell, 'Cmd1' AS name, 'ok' AS status, false AS failed,
                '| n |' || chr(10) || '|---|' || chr(10) || '| ' || count(*) || ' |' AS text

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import unicodedata
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -115,31 +116,46 @@ def map_eval_column(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def map_eval_function(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def next_key(row):
-        return {"o_orderkey": row["o_orderkey"], "next_key": row["o_orderkey"] * 2 + 1}
+    """The batch form: a function of whole Arrow columns."""
+
+    def next_key(batch):
+        key = batch.column("o_orderkey")
+        following = pc.add(pc.multiply(key, 2), 1)
+        return pa.RecordBatch.from_arrays([key, following], names=["o_orderkey", "next_key"])
 
     return map_eval(
         table(spark, sf_dir, "orders"),
         next_key,
         "o_orderkey bigint, next_key bigint",
         columns=["o_orderkey"],
+        batched=True,
     )
 
 
 def map_eval_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A digest and the number of lines of every document, from its whole text."""
+    """Every document's whole text in Unicode's composed form, which no built-in makes: its digest and length."""
+
+    def composed(row):
+        text = unicodedata.normalize("NFC", row["text"])
+        digest = hashlib.md5(text.encode()).hexdigest()
+        return {"doc_id": row["doc_id"], "digest": digest, "n_composed": len(text)}
+
+    documents = table(spark, sf_dir, "documents")
+    schema = "doc_id bigint, digest string, n_composed bigint"
+    return map_eval(documents, composed, schema, columns=["doc_id", "text"])
 
-    def digest(row):
-        text = row["text"]
-        return {
-            "doc_id": row["doc_id"],
-            "digest": hashlib.md5(text.encode()).hexdigest(),
-            "n_lines": text.count("\n") + 1,
-        }
+
+def map_isolated_long_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions whose errors are all one has: whole texts, however long."""
+
+    def refuse(report, row):
+        if row["doc_id"] % 3 == 0:
+            raise ValueError(row["text"])
+        return {"n": len(row["text"])}
 
     documents = table(spark, sf_dir, "documents")
-    schema = "doc_id bigint, digest string, n_lines bigint"
-    return map_eval(documents, digest, schema, columns=["doc_id", "text"])
+    out = map_isolated(documents, refuse, "doc_id", "n bigint", "long_errors", columns=["text"])
+    return out.select(F.col("key").alias("doc_id"), "status", "error", "n")
 
 
 def revenue_by_partition(spark: SparkSession, sf_dir: str, run_id: str, slots: int | None = None):
@@ -169,7 +185,7 @@ def revenue_by_partition(spark: SparkSession, sf_dir: str, run_id: str, slots: i
 
 def map_partitions_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows without their tag: which partition they were in is up to Spark."""
-    return revenue_by_partition(spark, sf_dir, "map_partitions").drop("child_id", "lines")
+    return revenue_by_partition(spark, sf_dir, "map_partitions").drop("child_id", "part", "lines")
 
 
 def partition_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,6 +227,7 @@ QUERIES = {
     "spread": spread_orders,
     "map_isolated": map_isolated_query,
     "map_isolated_bad_values": map_isolated_bad_values,
+    "map_isolated_long_errors": map_isolated_long_errors,
     "distribute": distribute_query,
     "distribute_eval": distribute_eval_query,
     "map_eval_column": map_eval_column,
@@ -242,6 +259,12 @@ ORACLES = {
                CASE WHEN n_chars % 2 = 0 THEN n_chars END AS n_chars
         FROM documents
     """,
+    "map_isolated_long_errors": """
+        SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'error' ELSE 'ok' END AS status,
+               CASE WHEN doc_id % 3 = 0 THEN 'ValueError: ' || text END AS error,
+               CASE WHEN doc_id % 3 <> 0 THEN CAST(length(text) AS BIGINT) END AS n
+        FROM documents
+    """,
     "distribute": """
         SELECT s.id AS key, md5('distribute:' || s.id) AS child_id,
                CASE WHEN s.id % 7 = 3 THEN 'error' ELSE 'ok' END AS status,
@@ -261,8 +284,8 @@ ORACLES = {
     "map_eval_column": "SELECT o_orderkey, o_orderkey * 2 + 1 AS next_key FROM orders",
     "map_eval_function": "SELECT o_orderkey, o_orderkey * 2 + 1 AS next_key FROM orders",
     "map_eval_texts": """
-        SELECT doc_id, md5(text) AS digest,
-               CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS BIGINT) AS n_lines
+        SELECT doc_id, md5(nfc_normalize(text)) AS digest,
+               CAST(length(nfc_normalize(text)) AS BIGINT) AS n_composed
         FROM documents
     """,
     "map_partitions_tagged": """

@@ -82,20 +82,25 @@ def json_sorted_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def json_rooted(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = F.struct("c_custkey", "c_name", F.nullif("c_mktsegment", F.lit("BUILDING")).alias("seg"))
+    schema = "c_custkey bigint, c_name string, seg string"
+    # keys out of order, to be put in order
+    numbers = F.create_map(F.lit("z"), "c_custkey", F.lit("a"), F.col("c_nationkey").cast("bigint"))
     return table(spark, sf_dir, "customer").select(
         "c_custkey",
-        to_json_rooted(row, "row", pretty=False).alias("json"),
-        to_json_rooted(row, "row").alias("pretty_json"),
+        to_json_rooted(row, "row", schema, pretty=False).alias("json"),
+        to_json_rooted(row, "row", schema).alias("pretty_json"),
+        to_json_rooted(numbers, "row", "map<string,bigint>", pretty=False).alias("map_json"),
     )
 
 
 def json_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation turn, whole text included, to JSON text and back."""
     turn = F.struct("conv_id", "turn", "role", "text")
+    turn_type = "struct<conv_id: bigint, turn: bigint, role: string, text: string>"
     written = table(spark, sf_dir, "conversations").select(
-        to_json_rooted(turn, "row", pretty=False).alias("json")
+        to_json_rooted(turn, "row", turn_type, pretty=False).alias("json")
     )
-    schema = "row struct<conv_id: bigint, turn: bigint, role: string, text: string>"
+    schema = f"row {turn_type}"
     return written.select("json", parse_json("json", schema).alias("read")).select(
         "json", "read.row.*"
     )
@@ -164,7 +169,8 @@ ORACLES = {
                    || '}}' AS json,
                '{' || chr(10) || '  "row" : {' || chr(10) || '    "c_custkey" : ' || c_custkey
                    || ',' || chr(10) || '    "c_name" : "' || c_name || '",' || chr(10)
-                   || '    "seg" : ' || seg || chr(10) || '  }' || chr(10) || '}' AS pretty_json
+                   || '    "seg" : ' || seg || chr(10) || '  }' || chr(10) || '}' AS pretty_json,
+               '{"row":{"a":' || c_nationkey || ',"z":' || c_custkey || '}}' AS map_json
         FROM texts
     """,
     "json_turns": """

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from foliospark.queries.fanout import checked_events, revenue_by_partition
 from foliospark.queries.inputs import table
 from foliospark.shared_storage import fresh_folder
-from foliospark.sinks import publish_fixed, publish_run, write_child_reports
+from foliospark.sinks import child_report, publish_fixed, publish_run, write_child_reports
 
 
 def publish_run_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,7 +16,7 @@ def publish_run_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive = fresh_folder(spark, "archive")
     orders = table(spark, sf_dir, "orders")
     first = publish_run(orders.where("o_orderstatus = 'O'"), archive, "orders", "run-1")
-    second = publish_run(orders.where("o_orderstatus <> 'O'"), archive, "orders", "run-2")
+    second = publish_run(orders.where("NOT (o_orderstatus <=> 'O')"), archive, "orders", "run-2")
     return spark.read.parquet(first, second)
 
 
@@ -24,7 +24,7 @@ def publish_fixed_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive = fresh_folder(spark, "archive")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate")
     publish_fixed(orders.where("o_orderstatus = 'F'"), archive, overwrite=True)
-    folder = publish_fixed(orders.where("o_orderstatus <> 'F'"), archive, overwrite=False)
+    folder = publish_fixed(orders.where("NOT (o_orderstatus <=> 'F')"), archive, overwrite=False)
     return spark.read.parquet(folder)
 
 
@@ -49,20 +49,30 @@ def child_reports_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reports of all partitions together account for every line item."""
     archive = fresh_folder(spark, "archive")
     tagged = revenue_by_partition(spark, sf_dir, "child_reports")
-    write_child_reports(tagged, archive, one_folder_per_child=True)
-    reports = spark.read.schema("lines array<string>, child_id string").json(archive)
+    write_child_reports(tagged, archive)
+    reports = spark.read.schema("child_id string, part int, lines array<string>").json(archive)
     return reports.agg(
         F.sum(F.element_at("lines", 1).cast("bigint")).alias("n_rows"),
         (F.count("*") == F.count_distinct("child_id")).alias("one_report_each"),
     )
 
 
+def child_report_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Out of the archive of all events' reports, that of the last event."""
+    archive = fresh_folder(spark, "archive")
+    write_child_reports(checked_events(spark, sf_dir, "child_report"), archive)
+    last = table(spark, sf_dir, "events").agg(F.md5(F.concat(F.lit("child_report:"), F.max("event_id"))))
+    found = child_report(spark, archive, last.first()[0])
+    return found.select("key", "child_id", "status", F.concat_ws("; ", "lines").alias("lines"))
+
+
 QUERIES = {
     "publish_run": publish_run_query,
     "publish_fixed_append": publish_fixed_append,
     "publish_fixed_overwrite": publish_fixed_overwrite,
     "child_reports": child_reports,
     "child_reports_partitions": child_reports_partitions,
+    "child_report": child_report_query,
 }
 
 ORACLES = {
@@ -80,6 +90,14 @@ ORACLES = {
                    AS lines
         FROM events
     """,
+    "child_report": """
+        SELECT CAST(event_id AS VARCHAR) AS key, md5('child_report:' || event_id) AS child_id,
+               CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status,
+               'Event ' || event_id
+                   || CASE WHEN event_type = 'error' THEN '' ELSE '; is a ' || event_type END
+                   AS lines
+        FROM events WHERE event_id = (SELECT max(event_id) FROM events)
+    """,
     "child_reports_partitions": """
         SELECT count(*) AS n_rows, true AS one_report_each FROM lineitem
     """,

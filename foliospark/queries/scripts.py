@@ -18,7 +18,7 @@ def _script(name: str, tables: list[str], sql: str) -> Callable[[SparkSession, s
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         views(spark, sf_dir, f"folio_{name}", *tables)
-        return run_sql_script(spark, sql.replace("{t}", f"folio_{name}_"))[-1]
+        return run_sql_script(spark, sql.replace("{t}", f"folio_{name}_"))[-1].frame
 
     return query
 
@@ -27,11 +27,11 @@ REVENUE_BY_REGION = """
     CREATE OR REPLACE TEMP VIEW {t}sales AS
     SELECT r_name, n_name, c_mktsegment, l_extendedprice, l_discount
     FROM {t}lineitem
-    JOIN {t}orders ON l_orderkey = o_orderkey
-    JOIN {t}customer ON o_custkey = c_custkey
-    JOIN {t}supplier ON l_suppkey = s_suppkey
-    JOIN {t}nation ON s_nationkey = n_nationkey
-    JOIN {t}region ON n_regionkey = r_regionkey;
+    JOIN (SELECT o_orderkey, c_mktsegment
+          FROM {t}orders JOIN {t}customer ON o_custkey = c_custkey) ON l_orderkey = o_orderkey
+    JOIN (SELECT s_suppkey, n_name, r_name
+          FROM {t}supplier JOIN {t}nation ON s_nationkey = n_nationkey
+          JOIN {t}region ON n_regionkey = r_regionkey) ON l_suppkey = s_suppkey;
 
     SELECT r_name, n_name, c_mktsegment, count(*) AS n_lines,
            CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))
@@ -94,11 +94,13 @@ _SCRIPTS = {
     "sql_rollup": (
         ["lineitem"],
         """
-        SELECT l_returnflag, l_linestatus, year(l_shipdate) AS ship_year,
-               grouping_id(l_returnflag, l_linestatus, year(l_shipdate)) AS level,
-               count(*) AS n_lines,
-               CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS quantity
-        FROM {t}lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus, year(l_shipdate))
+        SELECT l_returnflag, l_linestatus, ship_year,
+               grouping_id(l_returnflag, l_linestatus, ship_year) AS level,
+               sum(n) AS n_lines, CAST(sum(q) AS DOUBLE) AS quantity
+        FROM (SELECT l_returnflag, l_linestatus, year(l_shipdate) AS ship_year,
+                     count(*) AS n, sum(CAST(l_quantity AS DECIMAL(18,2))) AS q
+              FROM {t}lineitem GROUP BY l_returnflag, l_linestatus, year(l_shipdate))
+        GROUP BY ROLLUP (l_returnflag, l_linestatus, ship_year)
         """,
         """
         SELECT l_returnflag, l_linestatus, CAST(year(l_shipdate) AS INTEGER) AS ship_year,

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,8 +50,10 @@ def slot_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def warehouse_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = f"folio_orders_{uuid.uuid4().hex}"
-    save_table(table(spark, sf_dir, "orders"), name, fresh_folder(spark, "warehouse"))
+    # One name, so that no call leaves another table in the catalog.
+    name = "folio_warehouse_orders"
+    folder = fresh_folder(spark, "warehouse")
+    save_table(table(spark, sf_dir, "orders"), name, folder, mode="overwrite")
     return warehouse_table(spark, name)
 
 

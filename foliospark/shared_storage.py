@@ -2,31 +2,49 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import SparkSession
 
 
+def _file_system(spark: SparkSession, path: str):
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    return hadoop_path.getFileSystem(conf), hadoop_path
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
-    """True if ``path`` is there, on whatever file system its scheme names.
+    """True if just ``path`` is there, on whatever file system its scheme names."""
+    files, hadoop_path = _file_system(spark, path)
+    return bool(files.exists(hadoop_path))
+
 
-    ``path`` may hold wildcards; then True if anything matches.
+def has_folder(spark: SparkSession, path: str, prefix: str = "") -> bool:
+    """True if something in the folder ``path`` has a name that starts with ``prefix``.
+
+    The listing ends at the first that has.
     """
-    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    return bool(hadoop_path.getFileSystem(conf).globStatus(hadoop_path))
+    files, hadoop_path = _file_system(spark, path)
+    if not files.exists(hadoop_path) or not files.getFileStatus(hadoop_path).isDirectory():
+        return False
+    listing = files.listStatusIterator(hadoop_path)
+    while listing.hasNext():
+        if listing.next().getPath().getName().startswith(prefix):
+            return True
+    return False
+
+
+def literal_path(path: str) -> str:
+    """``path`` for a reader that would take ``*``, ``[1]`` and the like as patterns."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
 
 
 def fresh_folder(spark: SparkSession, purpose: str) -> str:
     """A new, unused path below the cluster's ``spark.checkpoint.dir``.
 
-    Only a local session without that setting falls back to a temporary folder:
-    on a cluster, executors could not see it.
+    Where that is unset it is below ``spark.sql.warehouse.dir``, which every session has
+    and a cluster keeps on shared storage.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="foliospark-")
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -90,7 +90,7 @@ def publish_fixed(
 def write_child_reports(
     df: DataFrame, archive: str, one_folder_per_child: bool = False, prefix_length: int = 2
 ) -> None:
-    """Write the child reports in ``df`` as JSON, one object per child.
+    """Write the child reports in ``df`` as JSON, one object per child or part of one.
 
     ``df`` is the result of a fan-out. Rows without ``lines`` carry no report and
     are left out; of the columns, what describes the report is written.
@@ -101,7 +101,7 @@ def write_child_reports(
     ``one_folder_per_child`` files them as ``child_id=<id>/`` instead; that is for
     fan-outs over task slots, not for one child per row of a large table.
     """
-    columns = [c for c in ("key", "child_id", "status", "error", "lines") if c in df.columns]
+    columns = [c for c in ("key", "child_id", "status", "error", "part", "lines") if c in df.columns]
     reports = df.where(F.col("lines").isNotNull()).select(*columns)
     folder = "child_id" if one_folder_per_child else "child_prefix"
     if not one_folder_per_child:
@@ -114,8 +114,10 @@ def write_child_reports(
 
 def child_report(spark: SparkSession, archive: str, child_id: str) -> DataFrame:
     """The report of one child, out of an archive that ``write_child_reports`` filed
-    by prefix. Only the files of the one prefix are read."""
-    schema = "key string, child_id string, status string, error string, lines array<string>"
+    by prefix: one row, or one per ``part``. Only the files of the one prefix are read."""
+    schema = (
+        "key string, child_id string, status string, error string, part int, lines array<string>"
+    )
     reports = spark.read.schema(schema + ", child_prefix string").json(archive)
     # A condition on the folder alone, so that Spark leaves the others out.
     in_folder = F.startswith(F.lit(child_id), F.col("child_prefix"))

@@ -1,54 +1,32 @@
-"""Settings as JSON files, one object per scope."""
+"""Settings as lines of JSON, below a folder per scope."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.functions import to_json_sorted
 
-# As many scopes as this may be broadcast: a row is a scope name and a number.
-_BROADCAST_SCOPES = 100_000
+def save_layer(df: DataFrame, path: str) -> None:
+    """Write ``(scope, key, value)`` below ``path/scope=<scope>/``, a line per setting.
 
+    Every line is a JSON object with one key. What was there of a scope is replaced;
+    scopes that are not in ``df`` stay as they are. No scope (NULL) is the empty one. A
+    key given twice for a scope fails the write.
 
-def save_layer(df: DataFrame, path: str, max_entries: int = 10_000) -> None:
-    """Write ``(scope, key, value)`` as JSON objects below ``path/scope=<scope>/``.
-
-    What was there of a scope is replaced; scopes that are not in ``df`` stay as
-    they are. No scope (NULL) is the empty one.
-
-    Every file holds one JSON object with its keys in order. A scope with up to
-    ``max_entries`` settings is one object; a larger one is spread by key over as
-    many objects as it needs, so no task ever holds a whole large scope. A key
-    given twice for a scope fails the write.
+    Settings are brought together by scope before they are written, so a scope has few
+    files; a scope too large for one task is split by its size (adaptive execution).
     """
-    entries = df.select(F.coalesce("scope", F.lit("")).alias("scope"), "key", "value")
-    large = (
-        entries.groupBy("scope")
-        .agg(F.count("*").alias("n"))
-        .where(F.col("n") > max_entries)
-        .select("scope", F.ceil(F.col("n") / max_entries).alias("pieces"))
-    )
-    # Large scopes are few, mostly none. Where that holds, they are broadcast and
-    # the entries move once, to their objects; otherwise Spark joins them as it
-    # sees fit, splitting skewed partitions.
-    if large.limit(_BROADCAST_SCOPES + 1).count() <= _BROADCAST_SCOPES:
-        large = F.broadcast(large)
-    pieces = F.coalesce("pieces", F.lit(1))
-    objects = (
-        entries.join(large, "scope", "left")
-        .select("scope", "key", "value", F.pmod(F.xxhash64("key"), pieces).alias("piece"))
-        # Grouping alone might reuse a partitioning by scope, and leave all pieces
-        # of a large scope in one task.
-        .repartition("scope", "piece")
-        .groupBy("scope", "piece")
-        .agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("settings"))
-        .select("scope", to_json_sorted("settings").alias("value"))
-    )
+    scope = F.coalesce("scope", F.lit("")).alias("scope")
+    settings = df.select(scope, "key", "value").groupBy("scope", "key")
+    given = settings.agg(F.count("*").alias("n"), F.first("value").alias("value"))
+    twice = F.concat(F.lit("DUPLICATED_KEY: "), "key", F.lit(" in scope "), "scope")
+    value = F.when(F.col("n") > 1, F.raise_error(twice).cast("string")).otherwise(F.col("value"))
+    line = F.to_json(F.create_map("key", value), {"ignoreNullFields": "false"}).alias("value")
     (
-        objects.write.mode("overwrite")
+        given.select("scope", line)
+        .hint("rebalance", "scope")
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .option("maxRecordsPerFile", 1)
         .partitionBy("scope")
         .text(path)
     )

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.shared_storage import path_exists
+from foliospark.shared_storage import has_folder, literal_path, path_exists
 
 
 def register_view(df: DataFrame, name: str) -> None:
@@ -29,10 +29,14 @@ def materialize(
 ) -> DataFrame:
     """The table at ``path``; ``builder`` computes it only if it is not there yet.
 
-    The table counts as there once its write was committed (``_SUCCESS``). Anything
-    else at ``path`` is taken for what a lost job left behind, and replaced. A
-    different builder does not replace a table that is there.
+    The table counts as there once its write was committed (``_SUCCESS``). What a lost
+    job left behind (it has a ``_temporary`` folder) is replaced; anything else at ``path``
+    is somebody's data, and an error. A different builder does not replace a table that
+    is there.
     """
     if not path_exists(spark, f"{path.rstrip('/')}/_SUCCESS"):
+        lost = path_exists(spark, f"{path.rstrip('/')}/_temporary")
+        if has_folder(spark, path) and not lost:
+            raise FileExistsError(f"{path} holds data that no finished write left there")
         builder(spark).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.parquet(literal_path(path))

@@ -8,7 +8,7 @@ from urllib.parse import urlsplit
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.shared_storage import path_exists
+from foliospark.shared_storage import has_folder, literal_path, path_exists
 
 # Fixed value: the name of the settings file in a folder.
 SETTINGS_FILE = "app.json"
@@ -33,7 +33,8 @@ def settings_layers(spark: SparkSession, paths: list[str]) -> DataFrame:
     ``depth``. A level is a folder with an ``app.json``, such a file itself, or a
     folder written by ``save_layer``, which holds the settings of many scopes. A
     level that does not exist is empty, a malformed file fails the query. Outside
-    ``save_layer`` folders ``scope`` is empty text.
+    ``save_layer`` folders ``scope`` is empty text. Of a key that a file has more than
+    once, the last counts. Paths are taken literally: ``*`` and ``[1]`` are no patterns.
 
     With ``folder_levels(folder)`` as ``paths`` and ``overlay`` on top, this gives
     the settings in force in ``folder``.
@@ -52,13 +53,15 @@ def _read_level(spark: SparkSession, path: str) -> DataFrame | None:
     single_file = f"{path.rstrip('/')}/{SETTINGS_FILE}"
     if path.endswith(".json"):
         single_file = path
+    settings = F.from_json("value", "map<string,string>", {"mode": "FAILFAST"})
     if path_exists(spark, single_file):
-        files = spark.read.text(single_file, wholetext=True).withColumn("scope", F.lit(""))
-    elif path_exists(spark, f"{path.rstrip('/')}/scope=*"):
+        file = spark.read.text(literal_path(single_file), wholetext=True)
+        found = file.select(F.posexplode(settings)).groupBy("key")
+        last = found.agg(F.max_by("value", "pos").alias("value"))
+        return last.withColumn("scope", F.lit(""))
+    if has_folder(spark, path, "scope="):
         # The schema is given so that a scope such as "01" stays text.
-        files = spark.read.schema("value string, scope string").text(path, wholetext=True)
-        files = files.withColumn("scope", F.coalesce("scope", F.lit("")))
-    else:
-        return None
-    settings = F.from_json("value", "map<string,string>", {"mode": "FAILFAST"})
-    return files.select("scope", F.explode(settings))
+        lines = spark.read.schema("value string, scope string").text(literal_path(path))
+        scope = F.coalesce("scope", F.lit("")).alias("scope")
+        return lines.select(scope, F.explode(settings))
+    return None

@@ -62,7 +62,7 @@ def test_one_row_per_element_whatever_happens(spark):
         else:
             assert (r.status, r.n, r.t) == ("error", None, None)
     errors = {r.key % 5: r.error for r in rows}
-    assert errors[1].startswith("ValueError: xxx") and len(errors[1]) == 2000
+    assert errors[1].startswith("ValueError: xxx") and len(errors[1]) == 5012
     assert "no number" in errors[2] and "unknown" in errors[3] and errors[4] == "SystemExit: 3"
 
 
@@ -257,3 +257,55 @@ def test_empty_frames(spark):
     assert map_isolated(nothing, lambda report, row: None, "id", "x int", "run").collect() == []
     tagged = map_partitions_tagged(nothing, row_counter(), "id bigint", "run")
     assert tagged.collect() == [] and report_index(tagged).collect() == []
+
+
+def test_a_long_report_is_sent_in_parts(spark):
+    """A line per row: a task never holds more lines than a batch has rows."""
+
+
+    def fn(report, batches):
+        for batch in batches:
+            for value in batch.column("id").to_pylist():
+                report.append(f"row {value}")
+            yield batch
+            assert len(report) <= 100
+
+        report.append("end")
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "50")
+    try:
+        rows = map_partitions_tagged(spark.range(0, 1000, 1, 2), fn, "id bigint", "run").collect()
+    finally:
+        spark.conf.set(key, before)
+    children = {}
+    for row in rows:
+        assert (row["part"] is None) == (row["lines"] is None)
+        if row["lines"] is not None:
+            children.setdefault(row["child_id"], {})[row["part"]] = row["lines"]
+    assert len(children) == 2
+    for parts in children.values():
+        assert sorted(parts) == list(range(len(parts))) and len(parts) >= 9
+        lines = [line for part in sorted(parts) for line in parts[part]]
+        assert len(lines) == 501 and lines[-1] == "end"
+    whole = [line for parts in children.values() for lines in parts.values() for line in lines]
+    assert sorted(x for x in whole if x != "end") == sorted(f"row {i}" for i in range(1000))
+
+
+def test_an_error_text_is_whole(spark):
+    def fn(report, row):
+        raise ValueError("x" * 5000)
+
+    row = map_isolated(spark.range(1), fn, "id", "x int", "run").first()
+    assert row["error"] == "ValueError: " + "x" * 5000
+
+
+def test_map_eval_over_batches(spark):
+    import pyarrow.compute as pc
+
+    def twice(batch):
+        return pa.RecordBatch.from_arrays([pc.multiply(batch.column("id"), 2)], names=["x"])
+
+    out = map_eval(spark.range(5), twice, "x bigint", batched=True)
+    assert sorted(r["x"] for r in out.collect()) == [0, 2, 4, 6, 8]

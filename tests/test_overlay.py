@@ -59,3 +59,12 @@ def test_keys_alone(spark):
     layers = [spark.range(0, 3), spark.range(2, 5)]
     for unique in (False, True):
         assert sorted(r.id for r in overlay(layers, ["id"], unique).collect()) == [0, 1, 2, 3, 4]
+
+
+def test_a_value_column_named_depth_is_kept(spark):
+    low = spark.createDataFrame([(1, 5, "a"), (2, 6, "b")], "k int, depth int, _deepest string")
+    high = spark.createDataFrame([(1, None, "c")], "k int, depth int, _deepest string")
+    for unique in (False, True):
+        out = overlay([low, high], ["k"], unique=unique)
+        assert out.columns == ["k", "depth", "_deepest"]
+        assert sorted(tuple(r) for r in out.collect()) == [(1, None, "c"), (2, 6, "b")]

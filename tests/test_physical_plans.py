@@ -78,3 +78,25 @@ def test_previews_stop_at_the_limit(spark):
     orders = spark.read.parquet(f"{SF_DIR}/orders.parquet")
     assert plan(preview(orders)).lstrip().startswith("CollectLimit 100")
     assert plan(preview(orders.orderBy("o_orderkey"))).lstrip().startswith("TakeOrderedAndProject")
+
+
+def test_line_items_are_not_shuffled_by_customer(spark):
+    """Without broadcasts, the customers' segments reach the orders before these meet the line items."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        text = plan(QUERIES["sql_join_multi"](spark, SF_DIR))
+    finally:
+        spark.conf.set(key, before)
+    lines = text.splitlines()
+    by_customer = [i for i, line in enumerate(lines) if re.search(r"hashpartitioning\((o|c)_custkey", line)]
+    assert by_customer
+    for i in by_customer:
+        depth = re.search(r"Exchange", lines[i]).start()
+        below = []
+        for line in lines[i + 1 :]:
+            if len(line) - len(line.lstrip(" :|+-")) <= depth - 3:
+                break
+            below.append(line)
+        assert not any("l_extendedprice" in line for line in below)

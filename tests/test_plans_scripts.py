@@ -33,13 +33,13 @@ def test_split_rule_equals_reading_letter_by_letter(text):
 
 
 def test_escaped_semicolon_reaches_the_literal(spark):
-    assert run_sql_script(spark, r"SELECT 'a\;b' AS x")[0].first()["x"] == "a;b"
+    assert run_sql_script(spark, r"SELECT 'a\;b' AS x")[0].frame.first()["x"] == "a;b"
     with pytest.raises(Exception, match="PARSE_SYNTAX_ERROR"):
         run_sql_script(spark, r"SELECT 1 \; SELECT 2")
 
 
 def test_triple_quotes_are_plain_text(spark):
-    assert run_sql_script(spark, """SELECT '\"\"\"' AS x""")[0].first()["x"] == '"' * 3
+    assert run_sql_script(spark, """SELECT '\"\"\"' AS x""")[0].frame.first()["x"] == '"' * 3
 
 
 def test_statements_run_in_order_and_stop_at_the_first_failure(spark):
@@ -49,7 +49,7 @@ def test_statements_run_in_order_and_stop_at_the_first_failure(spark):
             spark,
             "CREATE OR REPLACE TEMP VIEW test_script_view AS SELECT 41 AS x;"
             "SELECT x + 1 AS y FROM test_script_view; selekt 1; DROP VIEW test_script_view",
-            each=lambda statement, result: seen.append(result.collect()),
+            each=lambda result: seen.append(result.frame.collect()),
         )
     assert [[tuple(r) for r in rows] for rows in seen] == [[], [(42,)]]
     assert spark.table("test_script_view").first()["x"] == 41
@@ -58,17 +58,19 @@ def test_statements_run_in_order_and_stop_at_the_first_failure(spark):
 def test_parameters(spark):
     script = "SELECT :a AS a, :b AS b; SELECT :b AS only_b"
     results = run_script_with_params(spark, script, {"a": 1, "b": "x"}, {"b": "it's; \\"})
-    assert tuple(results[0].first()) == (1, "it's; \\")
-    assert results[1].first()["only_b"] == "it's; \\"
-    assert tuple(run_script_with_params(spark, script, {"a": 1, "b": "x"})[0].first()) == (1, "x")
+    assert tuple(results[0].frame.first()) == (1, "it's; \\")
+    assert results[1].frame.first()["only_b"] == "it's; \\"
+    plain = run_script_with_params(spark, script, {"a": 1, "b": "x"})
+    assert tuple(plain[0].frame.first()) == (1, "x")
     with pytest.raises(ValueError, match="nope"):
         run_script_with_params(spark, script, {"a": 1, "b": "x"}, {"nope": 1})
 
 
 def test_cells(spark):
-    assert [r.first()[0] for r in run_cell(spark, "  %sql  \nSELECT 1; SELECT 2")] == [1, 2]
+    assert [r.frame.first()[0] for r in run_cell(spark, "  %sql  \nSELECT 1; SELECT 2")] == [1, 2]
     assert run_cell(spark, "%sql") == []
-    assert run_cell(spark, lambda s: s.range(3))[0].count() == 3
+    assert run_cell(spark, lambda s: s.range(3))[0].frame.count() == 3
+    assert run_cell(spark, lambda s: 5)[0].shown == "5"
     with pytest.raises(ValueError):
         run_cell(spark, "SELECT 1")
 
@@ -116,6 +118,72 @@ def test_each_statement_is_shown_before_the_next_starts(spark):
     assert rows[1]["lines"][-1] == "| 5 |"
 
 
+def test_results_do_not_show_what_later_statements_write(spark, tmp_path):
+    script = (
+        f"DROP TABLE IF EXISTS test_order; CREATE TABLE test_order (x INT) USING parquet LOCATION '{tmp_path}/t';"
+        "SELECT count(*) AS n FROM test_order; INSERT INTO test_order VALUES (:x);"
+        "SELECT count(*) AS n FROM test_order; DROP TABLE test_order"
+    )
+    results = run_script_with_params(spark, script, {"x": 1})
+    assert [[row["n"] for row in r.shown] for r in results] == [[], [], ["0"], [], ["1"], []]
+    cell = run_cell(spark, "%sql\n" + script.replace(":x", "2").replace("/t'", "/u'"))
+    assert [[row["n"] for row in r.shown] for r in cell] == [[], [], ["0"], [], ["1"], []]
+
+
+def test_the_last_statement_is_not_run_for_its_preview(spark):
+    result = run_sql_script(spark, "SELECT raise_error('run') AS x")[-1]
+    assert result.statement.startswith("SELECT")
+    with pytest.raises(Exception, match="run"):
+        _ = result.shown
+
+
+def test_what_is_no_frame_is_shown_as_text(spark):
+    rows = run_notebook(spark, [lambda s: 5, lambda s: "a\nb", lambda s: None]).collect()
+    assert [(r["status"], r["lines"]) for r in rows] == [("ok", ["5"]), ("ok", ["a", "b"]), ("ok", [])]
+
+
+def test_a_traceback_does_not_stop_the_notebook(spark):
+    from pyspark.sql import functions as F
+
+    def worker(session):
+        @F.udf("int")
+        def shutdown_hook(x):
+            raise RuntimeError("disk full")
+
+        return session.range(1).select(shutdown_hook("id"))
+
+    def told(session):
+        @F.udf("int")
+        def hook(x):
+            raise RuntimeError("shutdown at noon")
+
+        return session.range(1).select(hook("id"))
+
+    rows = run_notebook(spark, [worker, "%sql\nSELECT 1 AS a", told, "%sql\nSELECT 2"]).collect()
+    assert [(r["cell"], r["status"]) for r in rows] == [(1, "error"), (2, "ok"), (3, "shutdown")]
+
+
+def test_cells_before_a_lost_driver_are_in_the_archive(spark, tmp_path):
+    archive = str(tmp_path / "archive")
+
+    def killed(session):
+        raise SystemExit("the driver dies")
+
+    with pytest.raises(SystemExit):
+        run_notebook(spark, ["%sql\nSELECT 1 AS a; selekt 2", "%sql\nSELECT 3 AS b", killed], archive=archive)
+    kept = sorted((r["cell"], r["status"]) for r in spark.read.parquet(archive).collect())
+    assert kept == [(1, "error"), (1, "ok"), (2, "ok")]
+
+
+def test_a_preview_is_one_job(spark):
+    spark.sparkContext.setJobGroup("test-preview", "previews")
+    cells = ["%sql\nSELECT id AS a FROM range(5); SELECT id + 1 AS b FROM range(7)"]
+    run_notebook(spark, cells)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("test-preview")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) == 2
+
+
 def test_empty_notebook(spark):
     assert run_notebook(spark, []).collect() == []
 

@@ -20,7 +20,7 @@ QUERIES = [
     "distribute", "distribute_eval", "map_partitions_tagged", "partition_reports",
     "report_index_partitions", "child_reports", "overlay", "overlay_unique", "settings_layers",
     "run_cell", "sql_script", "sql_join_multi", "sql_semi_anti", "sql_rollup", "sql_window_rank",
-    "sql_topk", "sql_setops",
+    "sql_topk", "sql_setops", "publish_run", "publish_fixed_append", "script_order",
 ]
 
 
@@ -35,6 +35,9 @@ def skewed(tmp_path_factory):
             hot = f"CASE WHEN row_number() OVER () % 3 = 0 THEN {value} ELSE {column} END"
             kind = connection.execute(f"SELECT typeof({column}) FROM {name}").fetchall()[0][0]
             columns = f"* REPLACE (CAST({hot} AS {kind}) AS {column})"
+        if name == "orders":
+            missing = "CASE WHEN row_number() OVER () % 10 <> 0 THEN o_orderstatus END"
+            columns = columns.replace("REPLACE (", f"REPLACE ({missing} AS o_orderstatus, ")
         connection.execute(f"COPY (SELECT {columns} FROM {name}) TO '{folder}/{name}.parquet'")
     return folder
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliospark.operators import map_isolated, overlay
-from foliospark.shared_storage import fresh_folder, path_exists
+from foliospark.shared_storage import fresh_folder, has_folder, path_exists
 from foliospark.sinks import (
     child_report,
     destination,
@@ -135,7 +135,7 @@ def test_child_reports(spark, tmp_path):
     two = df.where("key = 2").first()
     found = child_report(spark, archive, two.child_id)
     assert [tuple(r) for r in found.collect()] == [
-        ("2", two.child_id, "error", "ValueError: two", ["first", "row 2"])
+        ("2", two.child_id, "error", "ValueError: two", None, ["first", "row 2"])
     ]
     plan = found._jdf.queryExecution().executedPlan().toString()
     filters = plan.partition("PartitionFilters: [")[2].partition("]")[0]
@@ -193,7 +193,11 @@ def test_materialize(spark, tmp_path):
     assert materialize(spark, path, builder(3)).count() == 3
     assert materialize(spark, path, builder(9)).count() == 3
     assert calls == [3]
-    os.remove(f"{path}/_SUCCESS")  # as a job that was lost leaves it
+    os.remove(f"{path}/_SUCCESS")
+    with pytest.raises(FileExistsError):  # it may be anybody's
+        materialize(spark, path, builder(9))
+    assert spark.read.parquet(path).count() == 3
+    os.makedirs(f"{path}/_temporary/0")  # as a job that was lost leaves it
     assert materialize(spark, path, builder(9)).count() == 9
 
 
@@ -237,35 +241,89 @@ def test_saved_layers(spark, tmp_path):
     read = settings_layers(spark, [path]).collect()
     assert {(r.scope, r.key, r.value) for r in read} == {(s or "", k, v) for s, k, v in rows}
     files = [f for f in (tmp_path / "layer" / "scope=a%2Fb").iterdir() if f.suffix == ".txt"]
-    assert len(files) == 1
-    text = files[0].read_text()
-    assert json.loads(text) == {"k1": None, "k2": 'v="2"\n'}
-    assert text.startswith('{\n  "k1" : null,\n')
+    lines = [json.loads(line) for f in files for line in f.read_text().splitlines()]
+    assert sorted(lines, key=str) == [{"k1": None}, {"k2": 'v="2"\n'}]
 
 
-def test_large_scopes_are_written_in_pieces(spark, tmp_path):
+def test_scopes_of_any_size_have_one_layout(spark, tmp_path):
     path = str(tmp_path / "layer")
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(n):
+        seen.add(1)
+        return str(n)
+
     hot = spark.range(5000).select(F.lit("hot").alias("scope"), F.col("id").alias("n"))
     cold = spark.range(100).select(
         F.concat(F.lit("s"), "id").alias("scope"), F.col("id").alias("n")
     )
-    entries = hot.union(cold).select(
-        "scope", F.concat(F.lit("key"), "n").alias("key"), F.col("n").cast("string").alias("value")
-    )
-    save_layer(entries, path, max_entries=100)
+    entries = hot.union(cold).select("scope", F.concat(F.lit("key"), "n").alias("key"), "n")
+    save_layer(entries.withColumn("value", counted("n")), path)
+    assert seen.value == 5100  # the input is computed once
+    entries = entries.select("scope", "key", F.col("n").cast("string").alias("value"))
     read = settings_layers(spark, [path]).select("scope", "key", "value")
     assert read.count() == 5100 and read.exceptAll(entries).count() == 0
-    folder = tmp_path / "layer" / "scope=hot"
-    sizes = [len(json.loads(f.read_text())) for f in folder.iterdir() if f.suffix == ".txt"]
-    assert len(sizes) == 50 and max(sizes) < 200
-    assert len([f for f in (tmp_path / "layer" / "scope=s7").iterdir() if f.suffix == ".txt"]) == 1
+    for scope, n in (("hot", 5000), ("s7", 1)):
+        files = [f for f in (tmp_path / "layer" / f"scope={scope}").iterdir() if f.suffix == ".txt"]
+        assert len(files) == 1
+        lines = files[0].read_text().splitlines()
+        assert len(lines) == n and all(len(json.loads(line)) == 1 for line in lines)
+
+
+def test_a_large_scope_is_split_by_size(spark, tmp_path):
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "64k")
+    try:
+        entries = spark.range(40_000).select(
+            F.lit("hot").alias("scope"), F.col("id").cast("string").alias("key"),
+            F.sha2(F.col("id").cast("string"), 256).alias("value"),
+        )
+        save_layer(entries, str(tmp_path / "layer"))
+    finally:
+        spark.conf.set(key, before)
+    files = [f for f in (tmp_path / "layer" / "scope=hot").iterdir() if f.suffix == ".txt"]
+    assert len(files) > 1
+    assert sum(len(f.read_text().splitlines()) for f in files) == 40_000
+
+
+def test_paths_are_literal(spark, tmp_path):
+    for name, value in (("d1", "1"), ("d[1]", "2"), ("x", "3"), ("e{1}", "4")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "app.json").write_text(json.dumps({"a": value}))
+    for name, value in (("d[1]", "2"), ("e{1}", "4"), ("d1", "1")):
+        assert resolved(spark, [str(tmp_path / name)]) == {("", "a"): value}
+    assert settings_layers(spark, [str(tmp_path / "*")]).count() == 0
+    assert settings_layers(spark, [str(tmp_path / "?")]).count() == 0
+    path = str(tmp_path / "t{1}[2]")
+    assert materialize(spark, path, lambda s: s.range(3)).count() == 3
+    assert materialize(spark, path, lambda s: s.range(4)).count() == 3
+
+
+def test_the_last_of_a_repeated_key_counts(spark, tmp_path):
+    (tmp_path / "app.json").write_text('{"a": "1", "b": "x", "a": "2", "b": null}')
+    layers = settings_layers(spark, [str(tmp_path)])
+    assert layers.count() == 2
+    assert resolved(spark, [str(tmp_path)]) == {("", "a"): "2", ("", "b"): None}
+
+
+def test_foreign_data_is_left_alone(spark, tmp_path):
+    path = str(tmp_path / "data")
+    spark.range(5).write.parquet(path)
+    os.remove(f"{path}/_SUCCESS")
+    with pytest.raises(FileExistsError):
+        materialize(spark, path, lambda s: s.range(1))
+    assert spark.read.parquet(path).count() == 5
+    (tmp_path / "empty").mkdir()
+    assert materialize(spark, str(tmp_path / "empty"), lambda s: s.range(2)).count() == 2
 
 
 def test_saving_replaces_the_scopes_it_has(spark, tmp_path):
     path = str(tmp_path / "layer")
     schema = "scope string, key string, value string"
     first = [("a", f"k{i}", "1") for i in range(30)] + [("b", "k", "1")]
-    save_layer(spark.createDataFrame(first, schema), path, max_entries=10)
+    save_layer(spark.createDataFrame(first, schema), path)
     save_layer(spark.createDataFrame([("a", "k0", "2"), ("c", "k", "2")], schema), path)
     read = settings_layers(spark, [path]).collect()
     assert {(r.scope, r.key, r.value) for r in read} == {
@@ -273,31 +331,18 @@ def test_saving_replaces_the_scopes_it_has(spark, tmp_path):
     }
 
 
-def test_many_large_scopes_are_joined_without_broadcast(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr("foliospark.sinks.settings._BROADCAST_SCOPES", 2)
-    path = str(tmp_path / "layer")
-    entries = spark.range(600).select(
-        F.concat(F.lit("s"), F.col("id") % 6).alias("scope"),
-        F.concat(F.lit("k"), "id").alias("key"),
-        F.lit("v").alias("value"),
-    )
-    save_layer(entries, path, max_entries=20)
-    read = settings_layers(spark, [path]).select("scope", "key", "value")
-    assert read.count() == 600 and read.exceptAll(entries).count() == 0
-
-
 def test_a_key_given_twice_fails(spark, tmp_path):
     schema = "scope string, key string, value string"
     rows = spark.createDataFrame([("s", "k", "1"), ("s", "k", "2")], schema)
-    with pytest.raises(Exception, match="DUPLICATED_MAP_KEY"):
+    with pytest.raises(Exception, match="DUPLICATED_KEY"):
         save_layer(rows, str(tmp_path / "layer"))
 
 
 def test_path_exists(spark, tmp_path):
     (tmp_path / "scope=a").mkdir()
-    assert path_exists(spark, str(tmp_path)) and path_exists(spark, f"{tmp_path}/scope=*")
-    assert not path_exists(spark, f"{tmp_path}/app.json")
-    assert not path_exists(spark, f"{tmp_path}/nowhere/scope=*")
+    assert path_exists(spark, str(tmp_path)) and not path_exists(spark, f"{tmp_path}/scope=*")
+    assert has_folder(spark, str(tmp_path), "scope=") and not has_folder(spark, str(tmp_path), "x")
+    assert not has_folder(spark, f"{tmp_path}/nowhere")
 
 
 def test_fresh_folders(spark):
