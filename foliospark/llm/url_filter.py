@@ -156,15 +156,20 @@ def judge_urls(
         # not more rows than the sample has
         statistics[name] = stored(sample.groupBy(part.alias(name)).agg(blocked.alias(f"{name}_blocked")), "suffixes")
 
-    def with_features(urls: DataFrame) -> DataFrame:
+    def with_features(urls: DataFrame, training: bool = False) -> DataFrame:
         urls = urls.withColumns(suffixes(host, path))
         for name, known in statistics.items():
-            urls = urls.join(F.broadcast(known), name, "left").fillna({f"{name}_blocked": rate}).drop(name)
+            urls = urls.join(F.broadcast(known), name, "left").drop(name)
+            blocked = F.col(f"{name}_blocked")
+            if training:
+                # half of the examples are taken to have a suffix never seen, as other URLs will
+                blocked = F.when(F.pmod(F.xxhash64("url", F.lit(name)), F.lit(2)) == 0, blocked)
+            urls = urls.withColumn(f"{name}_blocked", F.coalesce(blocked, F.lit(rate)))
         return urls.withColumns(lexical_features(F.col("url"), host, path))
 
     names = [*(f"{name}_blocked" for name in statistics), *lexical_features(F.col("url"), host, path)]
     vectors = VectorAssembler(inputCols=names, outputCol="features")
-    examples = stored(vectors.transform(with_features(sample)).select("features", "label"), "examples")
+    examples = stored(vectors.transform(with_features(sample, training=True)).select("features", "label"), "examples")
     boosting = GBTClassifier(maxIter=trees, maxDepth=depth, maxBins=32, seed=seed, stepSize=0.3, subsamplingRate=0.8)
     model = boosting.fit(examples)
     undecided = rows.where("by_rule IS NULL")
