@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliospark.llm import oracles
 from foliospark.llm.byte_bpe import encode_texts
 from foliospark.llm.decontaminate import benchmark_overlaps
 from foliospark.llm.hidden_markov import score_texts
@@ -91,4 +92,8 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+#: The other queries are held against brute force in the tests.
+ORACLES: dict[str, str] = {
+    "op1_quality_rules": oracles.QUALITY,
+    "op9_near_dedup": oracles.NEAR_DEDUP,
+}
