@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from foliospark.operators.preview import markdown_lines
 from foliospark.plans.script import Cell, cell_statements
+from foliospark.shared_storage import write_text
 from foliospark.sinks import register_view
 from foliospark.sources import guid_source
 
@@ -20,6 +24,8 @@ NOTEBOOK_REPORT = (
     "cell int, name string, statement string, status string, error string, lines array<string>"
 )
 
+_COLUMNS = ("cell", "name", "statement", "status", "error", "lines")
+
 
 def run_notebook(
     spark: SparkSession, cells: list[Cell], n: int = 100, archive: str | None = None
@@ -33,8 +39,9 @@ def run_notebook(
     on with the next cell; an error whose own message speaks of "shutdown" ends the
     notebook with that status.
 
-    With ``archive`` the rows of a cell are added to the Parquet table there when the cell
-    ends, also when it failed, so they outlast a driver that dies in a later cell.
+    With ``archive`` the rows of a cell are added to that folder as a file of JSON lines
+    (:data:`NOTEBOOK_REPORT` is their schema) when the cell ends, also when it failed, so they
+    outlast a driver that dies in a later cell. No job is run for that.
 
     The view ``guids`` (see ``guid_source``) is there from the start.
     """
@@ -46,8 +53,9 @@ def run_notebook(
             stopped = _run_cell(spark, number, cell, n, report)
         finally:
             if archive is not None and len(report) > begun:
-                rows = spark.createDataFrame(report[begun:], NOTEBOOK_REPORT)
-                rows.coalesce(1).write.mode("append").parquet(archive)
+                lines = [json.dumps(dict(zip(_COLUMNS, row))) + "\n" for row in report[begun:]]
+                name = f"cell-{number:05}-{uuid.uuid4().hex}.json"
+                write_text(spark, archive, name, "".join(lines))
         if stopped:
             break
     return spark.createDataFrame(report, NOTEBOOK_REPORT)

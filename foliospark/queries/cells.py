@@ -99,7 +99,7 @@ def notebook(spark: SparkSession, sf_dir: str) -> DataFrame:
         ],
         archive=archive,
     )
-    report = spark.read.schema(NOTEBOOK_REPORT).parquet(archive)
+    report = spark.read.schema(NOTEBOOK_REPORT).json(archive)
     return report.select(
         "cell", "name", "status", F.col("error").isNotNull().alias("failed"),
         F.concat_ws("\n", "lines").alias("text"),

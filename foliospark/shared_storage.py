@@ -35,6 +35,19 @@ def has_folder(spark: SparkSession, path: str, prefix: str = "") -> bool:
     return False
 
 
+def write_text(spark: SparkSession, folder: str, name: str, text: str) -> None:
+    """Put a small text file into ``folder``; readers see it whole or not at all."""
+    files, target = _file_system(spark, f"{folder.rstrip('/')}/{name}")
+    _, hidden = _file_system(spark, f"{folder.rstrip('/')}/_{name}")
+    out = files.create(hidden, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    if not files.rename(hidden, target):
+        raise OSError(f"{folder}/{name} is there already")
+
+
 def literal_path(path: str) -> str:
     """``path`` for a reader that would take ``*``, ``[1]`` and the like as patterns."""
     return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)

@@ -171,7 +171,7 @@ def test_cells_before_a_lost_driver_are_in_the_archive(spark, tmp_path):
 
     with pytest.raises(SystemExit):
         run_notebook(spark, ["%sql\nSELECT 1 AS a; selekt 2", "%sql\nSELECT 3 AS b", killed], archive=archive)
-    kept = sorted((r["cell"], r["status"]) for r in spark.read.parquet(archive).collect())
+    kept = sorted((r["cell"], r["status"]) for r in spark.read.json(archive).collect())
     assert kept == [(1, "error"), (1, "ok"), (2, "ok")]
 
 
