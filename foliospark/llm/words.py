@@ -13,7 +13,7 @@ _MULTIPLIERS = np.array(
 class WordHashes(dict):
     """xxhash64 of words, remembered up to a bound."""
 
-    def __init__(self, remember: int = 400_000):
+    def __init__(self, remember: int = 200_000):
         super().__init__()
         self.remember = remember
 
