@@ -12,8 +12,8 @@ Equal sets are one vertex from the start. In each round every band bucket has a
 a vertex in another component than its hub is compared with it: first by the registers'
 collision-corrected estimate, the most similar hub of each vertex then on the full
 sets. Links join components. Buckets whose members are all in one component need no
-more work; of the others the last round compares all pairs across components, so no
-link is lost and no group is expanded into all its pairs.
+more work; of the others the last round compares all vertices across components, block by
+block with matrix products, so no link is lost and no group is expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -36,7 +36,10 @@ MANTISSA = 9
 COLLISIONS = 0.169919487159739093975315012348630288992889
 #: How far below the threshold an estimate may be; over five standard deviations.
 MARGIN = 0.2
-STAR_ROUNDS = 4
+STAR_ROUNDS = 2
+#: Vertices of a bucket that are compared with each other in one go.
+BLOCK = 512
+_COLUMNS = 4096
 #: The filter of wanted ids has so many bits, however many ids there are.
 FILTER_BITS = 24
 
@@ -183,6 +186,84 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(similar("left", "right")).select("a", "b").distinct()
 
 
+def _close_rows(keys: list[int], shingles: list[np.ndarray], owns: np.ndarray, components: np.ndarray, percent: int):
+    """The pairs of rows in different components whose sets of 32-bit hashes are about similar enough.
+
+    The sizes of all intersections come from products of 0/1 matrices, a column for every
+    hash that two rows have.
+    """
+    n = len(shingles)
+    sizes = np.array([len(s) for s in shingles])
+    _, inverse, counts = np.unique(np.concatenate(shingles), return_inverse=True, return_counts=True)
+    number = np.cumsum(counts > 1) - 1
+    rows = np.repeat(np.arange(n), sizes)
+    common = counts[inverse] > 1
+    rows, columns = rows[common], number[inverse[common]]
+    order = np.argsort(columns, kind="stable")
+    rows, columns = rows[order], columns[order]
+    both = np.zeros((n, n), np.float32)
+    for start in range(0, int(columns[-1]) + 1 if len(columns) else 0, _COLUMNS):
+        low, high = np.searchsorted(columns, [start, start + _COLUMNS])
+        matrix = np.zeros((n, min(_COLUMNS, int(columns[high - 1]) + 1 - start)), np.float32)
+        matrix[rows[low:high], columns[low:high] - start] = 1
+        both += matrix @ matrix.T
+    union = sizes[:, None] + sizes[None, :] - both
+    fits = (100 * both >= (percent - 1) * union) & (components[:, None] != components[None, :])
+    if keys[0] != keys[1]:
+        fits &= owns[:, None] != owns[None, :]  # pairs within a block are compared elsewhere
+    left, right = np.nonzero(np.triu(fits, 1))
+    return zip(left.tolist(), right.tolist())
+
+
+def _across_components(open_rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (``a``, ``b``) that share a bucket but no component and are about similar enough.
+
+    ``open_rows`` has ``band``, its ``size``, ``vertex`` and ``component``. Buckets are cut
+    into blocks, and every pair of blocks is a group of its own, so no task holds a large
+    bucket; pairs that are not similar are compared in numpy but never become rows.
+    """
+
+    @F.pandas_udf("binary")
+    def short(shingles):
+        import pandas as pd
+
+        return pd.Series([(np.frombuffer(s, np.uint64) >> np.uint64(32)).astype(np.uint32).tobytes() for s in shingles])
+
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("vertex"), blocks).cast("int")
+    dealt = open_rows.select("band", "vertex", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    dealt = dealt.select("band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "vertex", "component")
+    wanted = sets.join(open_rows.select("vertex").distinct(), "vertex").select("vertex", short("shingles").alias("hashes"))
+    groups = dealt.join(wanted, "vertex").repartition("band", "low", "high").sortWithinPartitions("band", "low", "high")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(key, rows):
+            kept = {r[1]: r for r in rows}  # repeated documents give a set more than once
+            rows = list(kept.values())
+            names = {c: i for i, c in enumerate({r[2] for r in rows})}
+            found = []
+            if len(names) > 1:
+                shingles = [np.frombuffer(r[3], np.uint32) for r in rows]
+                owns, owner = np.array([r[0] for r in rows]), np.array([names[r[2]] for r in rows])
+                found = [(rows[i][1], rows[j][1]) for i, j in _close_rows(key[1:], shingles, owns, owner, percent)]
+            columns = [pa.array([min(p) for p in found], pa.binary()), pa.array([max(p) for p in found], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["a", "b"])
+
+        current, rows = None, []
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("band", "low", "high", "own", "vertex", "component", "hashes")]
+            for band, low, high, *row in zip(*columns):
+                if (band, low, high) != current:
+                    if rows:
+                        yield pairs(current, rows)
+                    current, rows = (band, low, high), []
+                rows.append(row)
+        if rows:
+            yield pairs(current, rows)
+
+    return groups.mapInArrow(compared, "a binary, b binary")
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node`` and ``label``, the least node reachable over links (``a``, ``b``), of all linked nodes.
 
@@ -268,39 +349,40 @@ def near_duplicates(
         mixed_buckets = (
             pending.groupBy("band")
             .agg(
+                F.count("*").alias("size"),
                 F.min("component").alias("low"),
                 F.max("component").alias("high"),
                 F.min(F.struct(F.xxhash64("vertex", F.lit(turn)), "vertex", "component")).alias("hub"),
             )
             .where("low <> high")
-            .select("band", F.col("hub.vertex").alias("b"), F.col("hub.component").alias("other"))
+            .select("band", "size", F.col("hub.vertex").alias("b"), F.col("hub.component").alias("other"))
         )
         if turn < STAR_ROUNDS:
             pairs = pending.join(mixed_buckets, "band").where("component <> other").select(F.col("vertex").alias("a"), "b")
         else:
-            open_rows = stored(pending.join(mixed_buckets.select("band"), "band"), "open")
-            others = open_rows.select("band", F.col("vertex").alias("b"), F.col("component").alias("other"))
-            pairs = open_rows.join(others, "band").where("component <> other AND vertex < b").select(F.col("vertex").alias("a"), "b")
+            open_rows = stored(pending.join(mixed_buckets.select("band", "size"), "band"), "open")
+            pairs = _across_components(open_rows, sets, percent)
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        if turn == STAR_ROUNDS:
+            links = stored(_verified(pairs, sets, percent), "links")
+            if not links.isEmpty():
+                members = _merged(members, links)
+            break
         ends = [
             sketches.select(F.col("vertex").alias(x), F.col("n").alias(f"n_{x}"), F.col("registers").alias(f"registers_{x}"))
             for x in "ab"
         ]
         score = estimate(F.col("registers_a"), F.col("registers_b"), F.col("n_a"), F.col("n_b"))
         close = pairs.join(ends[0], "a").join(ends[1], "b").select("a", "b", score.alias("score"))
-        close = stored(close.where(F.col("score") >= percent / 100 - MARGIN), "close")
-        if turn < STAR_ROUNDS:
-            # of each vertex the likeliest partner
-            ranked = close.select(F.explode(F.array("a", "b")).alias("vertex"), "a", "b", "score")
-            close = ranked.groupBy("vertex").agg(F.max_by(F.struct("a", "b"), F.struct("score", "a", "b")).alias("best"))
-            close = stored(close.select("best.a", "best.b").distinct(), "likeliest")
+        close = close.where(F.col("score") >= percent / 100 - MARGIN)
+        # of each vertex the likeliest partner
+        ranked = close.select(F.explode(F.array("a", "b")).alias("vertex"), "a", "b", "score")
+        close = ranked.groupBy("vertex").agg(F.max_by(F.struct("a", "b"), F.struct("score", "a", "b")).alias("best"))
+        close = stored(close.select("best.a", "best.b").distinct(), "likeliest")
         if close.isEmpty():
-            if turn < STAR_ROUNDS:
-                continue
-            break
-        close = close.select("a", "b")
+            continue
         tested = close if tested is None else stored(tested.union(close), "tested")
         links = stored(_verified(close, sets, percent), "links")
         if not links.isEmpty():
