@@ -187,7 +187,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _close_rows(keys: list[int], shingles: list[np.ndarray], owns: np.ndarray, components: np.ndarray, percent: int):
-    """The pairs of rows in different components whose sets of 32-bit hashes are about similar enough.
+    """The pairs of rows in different components whose sets are similar enough.
 
     The sizes of all intersections come from products of 0/1 matrices, a column for every
     hash that two rows have.
@@ -208,7 +208,7 @@ def _close_rows(keys: list[int], shingles: list[np.ndarray], owns: np.ndarray, c
         matrix[rows[low:high], columns[low:high] - start] = 1
         both += matrix @ matrix.T
     union = sizes[:, None] + sizes[None, :] - both
-    fits = (100 * both >= (percent - 1) * union) & (components[:, None] != components[None, :])
+    fits = (100 * both >= percent * union) & (components[:, None] != components[None, :])
     if keys[0] != keys[1]:
         fits &= owns[:, None] != owns[None, :]  # pairs within a block are compared elsewhere
     left, right = np.nonzero(np.triu(fits, 1))
@@ -216,24 +216,18 @@ def _close_rows(keys: list[int], shingles: list[np.ndarray], owns: np.ndarray, c
 
 
 def _across_components(open_rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (``a``, ``b``) that share a bucket but no component and are about similar enough.
+    """Links (``a``, ``b``) that join all components that similar pairs in a bucket join.
 
     ``open_rows`` has ``band``, its ``size``, ``vertex`` and ``component``. Buckets are cut
     into blocks, and every pair of blocks is a group of its own, so no task holds a large
-    bucket; pairs that are not similar are compared in numpy but never become rows.
+    bucket. All pairs of a group are compared on their full sets, in numpy; of the links
+    found those become rows that join components not yet joined in the group.
     """
-
-    @F.pandas_udf("binary")
-    def short(shingles):
-        import pandas as pd
-
-        return pd.Series([(np.frombuffer(s, np.uint64) >> np.uint64(32)).astype(np.uint32).tobytes() for s in shingles])
-
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("vertex"), blocks).cast("int")
     dealt = open_rows.select("band", "vertex", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     dealt = dealt.select("band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "vertex", "component")
-    wanted = sets.join(open_rows.select("vertex").distinct(), "vertex").select("vertex", short("shingles").alias("hashes"))
+    wanted = sets.join(open_rows.select("vertex").distinct(), "vertex").select("vertex", F.col("shingles").alias("hashes"))
     groups = dealt.join(wanted, "vertex").repartition("band", "low", "high").sortWithinPartitions("band", "low", "high")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,9 +237,18 @@ def _across_components(open_rows: DataFrame, sets: DataFrame, percent: int) -> D
             names = {c: i for i, c in enumerate({r[2] for r in rows})}
             found = []
             if len(names) > 1:
-                shingles = [np.frombuffer(r[3], np.uint32) for r in rows]
+                shingles = [np.frombuffer(r[3], np.uint64) for r in rows]
                 owns, owner = np.array([r[0] for r in rows]), np.array([names[r[2]] for r in rows])
-                found = [(rows[i][1], rows[j][1]) for i, j in _close_rows(key[1:], shingles, owns, owner, percent)]
+                joined = list(range(len(names)))
+                for i, j in _close_rows(key[1:], shingles, owns, owner, percent):
+                    x, y = owner[i], owner[j]
+                    while joined[x] != x:
+                        x = joined[x]
+                    while joined[y] != y:
+                        y = joined[y]
+                    if x != y:
+                        joined[max(x, y)] = min(x, y)
+                        found.append((rows[i][1], rows[j][1]))
             columns = [pa.array([min(p) for p in found], pa.binary()), pa.array([max(p) for p in found], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, names=["a", "b"])
 
@@ -366,7 +369,7 @@ def near_duplicates(
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         if turn == STAR_ROUNDS:
-            links = stored(_verified(pairs, sets, percent), "links")
+            links = stored(pairs, "links")
             if not links.isEmpty():
                 members = _merged(members, links)
             break
