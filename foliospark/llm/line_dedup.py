@@ -1,11 +1,12 @@
-"""Removing multi-line chunks that occur again elsewhere.
-
-A text is a sequence of lines. A rolling hash runs over the hashes of its lines; where it
-meets a condition, and the chunk has two lines, the chunk ends. So boundaries depend on
-the lines around them alone, and a passage is cut alike wherever it stands, but for its
-edges. Chunks with the same 128-bit key are brought together, but only the keys that
-occur twice have their bytes compared: Spark groups them by the bytes themselves. The
-first occurrence stays, by id and place; all later ones go.
+"""Removing passages of lines that occur again elsewhere.
+
+A text is a sequence of lines. Every least window - the fewest lines from a line with words on,
+or back from it, that are two lines with words and have words enough - is looked at. A passage
+that is long enough to go is covered by the least windows inside it, and these depend on
+nothing outside it; so it is found wherever it stands, with its first and last line, and
+nothing has to be extended. Windows with the same 128-bit key are brought together, but only
+the keys that occur twice have their bytes compared: Spark groups them by the bytes
+themselves. The first occurrence stays, by id and place; all later ones go.
 """
 
 from __future__ import annotations
@@ -24,11 +25,14 @@ _BASE = 0x9E3779B97F4A7C15
 _MIX = 0xBF58476D1CE4E5B9
 _FULL = 0xFFFFFFFFFFFFFFFF
 #: The filter of repeated keys has so many bits, however many keys there are.
-FILTER_BITS = 24
+FILTER_BITS = 26
 
 
 def chunks(text: bytes, window: int = 2, divisor: int = 2, min_lines: int = 2) -> list[tuple[int, int]]:
-    """The chunks of a text, as first line and the line after the last."""
+    """The chunks of a text, as first line and the line after the last.
+
+    :func:`line_dedup` went by these before it looked at every window; only tests use them.
+    """
     lines = text.split(b"\n")
     base_out = pow(_BASE, window, 1 << 64)
     hashes = [xxhash.xxh64_intdigest(line) for line in lines]
@@ -46,56 +50,76 @@ def chunks(text: bytes, window: int = 2, divisor: int = 2, min_lines: int = 2) -
     return found
 
 
-def _candidates(text: bytes, min_words: int) -> Iterator[tuple[int, bytes]]:
-    """First line and bytes of the chunks that may go: two lines with words or more."""
+def windows(text: bytes, min_words: int) -> Iterator[tuple[int, int, bytes]]:
+    """First line, line after the last, and bytes of the least windows of a text.
+
+    They start and end with a line that has words. There are two a line at most.
+    """
     if text.count(b"\n") == 0:
         return
-    lines = text.split(b"\n")
-    for start, stop in chunks(text):
-        part = lines[start:stop]
-        if sum(1 for line in part if line.strip()) > 1:
-            data = b"\n".join(part)
-            if len(data.split()) >= min_words:
-                yield start, data
-
-
-def _chunk_rows(rows: DataFrame, min_words: int, bitmap=None) -> DataFrame:
-    """A row a candidate chunk: ``key``, ``id``, ``line``; with a filter, ``data`` too."""
+    places, starts, stops, before, at = [], [], [], [0], 0
+    for place, line in enumerate(text.split(b"\n")):
+        n = len(line.split())
+        if n:
+            places.append(place)
+            starts.append(at)
+            stops.append(at + len(line))
+            before.append(before[-1] + n)
+        at += len(line) + 1
+    found, low, high = set(), 0, 1
+    for i in range(len(places)):
+        high = max(high, i + 1)
+        while high < len(places) and before[high + 1] - before[i] < min_words:
+            high += 1
+        if high < len(places):
+            found.add((i, high))
+        while low + 1 < i and before[i + 1] - before[low + 1] >= min_words:
+            low += 1
+        if low < i and before[i + 1] - before[low] >= min_words:
+            found.add((low, i))
+    for i, j in sorted(found):
+        yield places[i], places[j] + 1, text[starts[i] : stops[j]]
+
+
+def _window_rows(rows: DataFrame, min_words: int, bitmap=None) -> DataFrame:
+    """A row a window: ``key``, ``id``, ``line``, ``stop``; with a filter, ``data`` too."""
     kind = rows.schema["id"].dataType.simpleString()
     shared = rows.sparkSession.sparkContext.broadcast(bitmap)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = shared.value
         for batch in slices(batches, "text"):
-            places, lines, keys, data = [], [], [], []
+            places, lines, stops, keys, data = [], [], [], [], []
             for place, text in enumerate(bytes_of(batch, "text")):
-                for line, chunk in _candidates(text, min_words):
-                    key = xxhash.xxh3_128_digest(chunk)
+                for line, stop, window in windows(text, min_words):
+                    key = xxhash.xxh3_128_digest(window)
                     if wanted is not None:
                         bit = int.from_bytes(key[:4], "little") >> 32 - FILTER_BITS
                         if not wanted[bit >> 5] >> (bit & 31) & 1:
                             continue
-                        data.append(chunk)
+                        data.append(window)
                     places.append(place)
                     lines.append(line)
+                    stops.append(stop)
                     keys.append(key)
             columns = [
                 pa.array(keys, pa.binary()),
                 batch.column("id").take(pa.array(places, pa.int32())),
                 pa.array(lines, pa.int32()),
+                pa.array(stops, pa.int32()),
             ]
-            names = ["key", "id", "line"]
+            names = ["key", "id", "line", "stop"]
             if wanted is not None:
                 columns.append(pa.array(data, pa.binary()))
                 names.append("data")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    schema = f"key binary, id {kind}, line int" + (", data binary" if bitmap is not None else "")
+    schema = f"key binary, id {kind}, line int, stop int" + (", data binary" if bitmap is not None else "")
     return rows.where("id IS NOT NULL").select("id", "text").mapInArrow(cut, schema)
 
 
 def _key_filter(keys: DataFrame) -> np.ndarray:
-    """A bit for the first bytes of each key; always 2 MB."""
+    """A bit for the first bytes of each key; always 8 MB."""
     byte = [F.conv(F.hex(F.substring("key", i, 1)), 16, 10).cast("bigint") for i in (1, 2, 3, 4)]
     number = byte[0] + byte[1] * 256 + byte[2] * 65536 + byte[3] * 16777216
     words = (
@@ -110,47 +134,50 @@ def _key_filter(keys: DataFrame) -> np.ndarray:
     return bitmap
 
 
-def repeated_chunks(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_words: int = 10) -> DataFrame:
-    """The chunks to remove: ``id``, ``line`` (the chunk's first), ``key`` (of its bytes).
+def repeated_windows(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_words: int = 10) -> DataFrame:
+    """The windows to remove: ``id``, ``line`` (the first), ``stop`` (after the last), ``key`` (of its bytes).
 
-    An occurrence is an id and a line: rows that repeat an id with the same text are one.
+    An occurrence is an id and a line: rows that repeat an id with the same text are one. One that
+    overlaps the first occurrence stays.
     """
     rows = only(df, {"id": id_column, "text": text_column}).withColumn("text", F.col("text").cast("string"))
-    occurrences = stored(_chunk_rows(rows, min_words).distinct(), "chunks")
+    occurrences = stored(_window_rows(rows, min_words).distinct(), "windows")
     keys = occurrences.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     bitmap = _key_filter(keys)
-    with_bytes = _chunk_rows(rows, min_words, bitmap)
+    with_bytes = _window_rows(rows, min_words, bitmap)
     first = F.min(F.struct("id", "line")).alias("first")
     # grouping by the bytes is the byte comparison
     groups = stored(with_bytes.groupBy("key", "data").agg(first, F.count("*").alias("n")).where("n > 1").drop("n"), "groups")
     variants = groups.groupBy("key").agg(F.count("*").alias("variants"), F.min("first").alias("first"))
     clear = variants.where("variants = 1").select("key", "first")
-    later = (F.col("id") != F.col("first.id")) | (F.col("line") != F.col("first.line"))
-    removed = occurrences.join(clear, "key").where(later).select("id", "line", "key")
+    later = (F.col("id") != F.col("first.id")) | (F.col("line") >= F.col("first.line") + F.col("stop") - F.col("line"))
+    removed = occurrences.join(clear, "key").where(later).select("id", "line", "stop", "key")
     mixed = variants.where("variants > 1").select("key")
     if not mixed.isEmpty():
         # different bytes with one key: the occurrences are told apart by their bytes
         exact = with_bytes.join(mixed, "key").join(groups, ["key", "data"]).where(later)
-        removed = removed.union(exact.select("id", "line", "key").distinct())
+        removed = removed.union(exact.select("id", "line", "stop", "key").distinct())
     return removed
 
 
 def line_dedup(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_words: int = 10) -> DataFrame:
-    """All rows of ``df``, their texts without chunks that occurred before.
+    """All rows of ``df``, their texts without passages that occurred before.
 
-    A chunk goes if it has two lines with words and ``min_words`` words or more and the same
-    bytes stand at another place, in the same text or another, that comes first by id and
-    line. Its lines go whole, with their line break. The columns are those of ``df`` and one
-    more, named by :func:`removed_column`: the number of lines removed.
+    A passage is two neighbouring lines or more, the first and the last with words, that have
+    ``min_words`` words or more. All lines go that stand in a passage whose bytes stand at another
+    place, in the same text or another, that comes first by id and line and does not overlap it; so
+    each line that goes stays at an earlier place. Lines go whole, with their line break. The
+    columns are those of ``df`` and one more, named by :func:`removed_column`: the number of lines
+    removed.
 
     Null and empty texts, and texts of one line, stay as they are. A row without id stays as it
-    is and makes no other row's chunk a repetition. Rows that repeat an id and its text are
+    is and makes no other row's passage a repetition. Rows that repeat an id and its text are
     changed alike.
     """
-    removed = repeated_chunks(df, id_column, text_column, min_words)
-    of_row = removed.groupBy("id").agg(F.collect_list(F.struct("line", "key")).alias("chunks"))
-    gone, count = _free_name(df, "chunks"), removed_column(df)
-    of_row = of_row.select(F.col("id").alias(f"{gone}_id"), F.col("chunks").alias(gone))
+    removed = repeated_windows(df, id_column, text_column, min_words)
+    of_row = removed.groupBy("id").agg(F.collect_list(F.struct("line", "stop", "key")).alias("windows"))
+    gone, count = _free_name(df, "windows"), removed_column(df)
+    of_row = of_row.select(F.col("id").alias(f"{gone}_id"), F.col("windows").alias(gone))
     joined = df.join(of_row, df[f"`{id_column}`"] == of_row[f"{gone}_id"], "left").drop(f"{gone}_id")
 
     @F.pandas_udf("struct<text: string, n: bigint>")
@@ -158,17 +185,17 @@ def line_dedup(df: DataFrame, id_column: str = "doc_id", text_column: str = "tex
         import pandas as pd
 
         kept, counts = [], []
-        for text, chunk_list in zip(texts, lists):
-            if chunk_list is None or text is None:
+        for text, window_list in zip(texts, lists):
+            if window_list is None or text is None:
                 kept.append(text)
                 counts.append(0)
                 continue
-            keys = {c["line"]: bytes(c["key"]) for c in chunk_list}
-            data = text.encode()
-            lines, gone_lines = data.split(b"\n"), set()
-            for start, stop in chunks(data):
-                if start in keys and xxhash.xxh3_128_digest(b"\n".join(lines[start:stop])) == keys[start]:
-                    gone_lines.update(range(start, stop))
+            lines, gone_lines = text.encode().split(b"\n"), set()
+            for window in window_list:
+                start, stop = window["line"], window["stop"]
+                # another row with this id may have another text
+                if xxhash.xxh3_128_digest(b"\n".join(lines[start:stop])) == bytes(window["key"]):
+                    gone_lines.update(range(start, min(stop, len(lines))))
             kept.append(b"\n".join(x for i, x in enumerate(lines) if i not in gone_lines).decode())
             counts.append(len(gone_lines))
         return pd.DataFrame({"text": kept, "n": counts})

@@ -1,3 +1,6 @@
+import random
+import string
+
 import xxhash
 from cases import SF_DIR, awkward, empty, given
 
@@ -62,3 +65,58 @@ def test_awkward_rows(spark):
     same = [r for r in rows if r["n_removed_"] == 0]
     assert sorted(str(r) for r in spark.createDataFrame([(r[0], r[1]) for r in same], "doc_id bigint, text string").collect()) == before
     assert line_dedup(empty(spark)).collect() == []
+
+
+def repeated_runs(rows, min_words=10):
+    """Independent of windows and hashes: every run of equal lines, extended as far as it goes."""
+    seen, out = {}, {}
+    for doc_id, text in sorted(rows):
+        lines = text.split("\n")
+        worded = [bool(x.encode().strip()) for x in lines]
+        gone, place_of = set(), {}
+        for i, line in enumerate(lines):
+            for other, j in seen.get(line, []) if worded[i] else []:
+                if i and j and worded[i - 1] and lines[i - 1] == other[j - 1]:
+                    continue  # a longer run starts before
+                n = 0
+                while i + n < len(lines) and j + n < len(other) and lines[i + n] == other[j + n]:
+                    n += 1
+                while not worded[i + n - 1]:
+                    n -= 1
+                if sum(worded[i : i + n]) > 1 and len("\n".join(lines[i : i + n]).encode().split()) >= min_words:
+                    gone.update(range(i, i + n))
+            place_of.setdefault(line, []).append((lines, i))
+        for line, places in place_of.items():
+            seen.setdefault(line, []).extend(places)
+        out[doc_id] = ("\n".join(x for i, x in enumerate(lines) if i not in gone), len(gone))
+    return out
+
+
+def test_every_repeated_passage_goes(spark):
+    chance = random.Random(3)
+
+    def some(n):
+        return [" ".join(chance.choices(string.ascii_lowercase, k=chance.randint(5, 12))) for _ in range(n)]
+
+    passages = [some(2 + i % 5) for i in range(40)]
+    passages[7].insert(1, "")
+    rows = [(i, "\n".join([*some(i % 4), *passages[i % 40], *some(i % 3)])) for i in range(160)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in line_dedup(df).collect()}
+    assert got == repeated_runs(rows)
+    assert all(got[i][1] == len(passages[i % 40]) for i in range(40, 160))
+
+
+def test_query_finds_every_repeated_run_between_documents(spark):
+    # of runs within a document, QUERIES removes those that do not overlap the first
+    got = {r["doc_id"]: r["n_removed"] for r in QUERIES["op10_line_dedup"](spark, SF_DIR).collect()}
+    want = {i: n for i, (_, n) in repeated_runs(given("documents", "doc_id, text")).items()}
+    assert all(got[i] >= n for i, n in want.items()) and sum(want.values()) > 125
+
+
+def test_the_first_of_overlapping_passages_stays(spark):
+    a, b = "one two three four five six", "seven eight nine ten eleven"
+    rows = [(1, "\n".join([a] * 5)), (2, "\n".join([b, a] * 3)), (3, "\n".join([b] * 3))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r["text"].split("\n") for r in line_dedup(df).collect()}
+    assert got == {1: [a, a], 2: [b, a], 3: [b, b, b]}
