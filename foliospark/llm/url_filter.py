@@ -2,8 +2,8 @@
 
 URLs that a rule judges are the labelled examples. Trees are boosted on lexical features of
 a bounded sample of them - lengths, depth, digits, entropy, parameters, and how often URLs
-of the same suffix are blocked - and judge every URL that no rule fits. All of it is
-DataFrame expressions and Spark's own trees.
+of the same suffix are blocked, counted over all labelled rows - and judge every URL that no
+rule fits. All of it is DataFrame expressions and Spark's own trees.
 """
 
 from __future__ import annotations
@@ -125,10 +125,12 @@ def judge_urls(
 
     Returns per row ``id``, ``host``, ``path``, ``rule`` (null if none fits), ``verdict`` and
     ``score`` (the trees' probability of block; null where a rule decides). ``rules`` is a
-    short list. The trees are trained on about ``sample_rows`` rows that a rule judges, chosen by
-    a hash of the URL, so equal URLs are chosen together, and never more than twice as many. If those have one
-    verdict only, it is everybody's; without any, URLs are allowed. A null URL, or one without
-    ``://``, has an empty host and path and is judged by the trees. Every row gives one row.
+    short list. If the labelled rows have one verdict only, it is everybody's; without any,
+    URLs are allowed. How often a suffix is blocked is counted over all labelled rows. The trees
+    alone are trained on a sample: about ``sample_rows`` distinct URLs, chosen by a hash of the URL,
+    half of them of each verdict or all that a verdict has. An example weighs as many rows as it
+    stands for. A null URL, or one without ``://``, has an empty host and path and is judged by the
+    trees. Every row gives one row.
     """
     rows = only(df, {"id": id_column, "url": url_column}).withColumn("url", F.col("url").cast("string"))
     rows = rows.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
@@ -139,27 +141,28 @@ def judge_urls(
         fitting_rule(host, path, rules, "verdict").alias("by_rule"),
     )
     labelled = rows.where("by_rule IS NOT NULL").withColumn("label", F.when(F.col("by_rule") == "block", 1.0).otherwise(0.0))
-    n = labelled.count()
-    share = min(1.0, sample_rows / n) if n else 1.0
-    chosen = F.pmod(F.xxhash64("url", F.lit(seed)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))
-    sample = stored(labelled.where(chosen).select("url", "host", "path", "label").limit(2 * sample_rows), "labelled")
-    n_block, n_sample = sample.agg(F.sum("label"), F.count("*")).first()
-    if not n_sample or n_block in (0.0, float(n_sample)):
-        only_verdict = "block" if n_sample and n_block else "allow"
+    urls = stored(labelled.groupBy("url", "host", "path", "label").agg(F.count("*").alias("n")), "labelled")
+    of_label = {r["label"]: (r["urls"], r["n"]) for r in urls.groupBy("label").agg(F.count("*").alias("urls"), F.sum("n").alias("n")).collect()}
+    if len(of_label) < 2:
+        only_verdict = "block" if 1.0 in of_label else "allow"
         verdict, score = F.coalesce("by_rule", F.lit(only_verdict)), F.lit(None).cast("double")
         return rows.select("id", "host", "path", "rule", verdict.alias("verdict"), score.alias("score"))
 
-    rate = n_block / n_sample
+    rate = of_label[1.0][1] / (of_label[0.0][1] + of_label[1.0][1])
     statistics = {}
     for name, part in suffixes(host, path).items():
-        blocked = (F.sum("label") + 10 * rate) / (F.count("*") + 10)
-        # not more rows than the sample has
-        statistics[name] = stored(sample.groupBy(part.alias(name)).agg(blocked.alias(f"{name}_blocked")), "suffixes")
+        blocked = (F.sum(F.col("label") * F.col("n")) + 10 * rate) / (F.sum("n") + 10)
+        statistics[name] = stored(urls.groupBy(part.alias(name)).agg(blocked.alias(f"{name}_blocked")), "suffixes")
+    shares = {x: min(1.0, max(sample_rows / 2, sample_rows - of_label[1 - x][0]) / of_label[x][0]) for x in of_label}
+    share = F.when(F.col("label") == 1.0, shares[1.0]).otherwise(shares[0.0])
+    chosen = F.pmod(F.xxhash64("url", F.lit(seed)), F.lit(1 << 40)) < share * float(1 << 40)
+    sample = urls.where(chosen).select("url", "host", "path", "label", (F.col("n") / share).alias("weight"))
 
     def with_features(urls: DataFrame, training: bool = False) -> DataFrame:
         urls = urls.withColumns(suffixes(host, path))
         for name, known in statistics.items():
-            urls = urls.join(F.broadcast(known), name, "left").drop(name)
+            # as large as the input may be: broadcast only where Spark measured it small
+            urls = urls.join(known, name, "left").drop(name)
             blocked = F.col(f"{name}_blocked")
             if training:
                 # half of the examples are taken to have a suffix never seen, as other URLs will
@@ -169,8 +172,8 @@ def judge_urls(
 
     names = [*(f"{name}_blocked" for name in statistics), *lexical_features(F.col("url"), host, path)]
     vectors = VectorAssembler(inputCols=names, outputCol="features")
-    examples = stored(vectors.transform(with_features(sample, training=True)).select("features", "label"), "examples")
-    boosting = GBTClassifier(maxIter=trees, maxDepth=depth, maxBins=32, seed=seed, stepSize=0.3, subsamplingRate=0.8)
+    examples = stored(vectors.transform(with_features(sample, training=True)).select("features", "label", "weight"), "examples")
+    boosting = GBTClassifier(weightCol="weight", maxIter=trees, maxDepth=depth, maxBins=32, seed=seed, stepSize=0.3, subsamplingRate=0.8)
     model = boosting.fit(examples)
     undecided = rows.where("by_rule IS NULL")
     judged = model.transform(vectors.transform(with_features(undecided)))

@@ -78,6 +78,26 @@ def test_trees_learn_from_ruled_urls(spark):
     assert all(got[6000 + i]["verdict"] == "block" and got[6000 + i]["score"] > 0.5 for i in range(20))
 
 
+def test_suffixes_are_counted_on_all_labelled_urls(spark):
+    # the verdict of a domain is known from its own rows alone, most of which are not in the sample
+    rows = [(i, f"http://d{i % 600:03}.com/{'ab'[i % 2]}/{i // 600}") for i in range(3000)]
+    rows += [(5000 + i, f"http://d{i:03}.com/x/7") for i in range(600)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string")
+    rules = (Rule("allow", "com", "/a/"), Rule("block", "com", "/b/"))
+    got = {r["id"]: r["verdict"] for r in judge_urls(df, rules, trees=10, sample_rows=200).collect()}
+    right = sum(got[5000 + i] == ("allow", "block")[i % 2] for i in range(600))
+    assert right > 570
+
+
+def test_a_rare_verdict_is_not_lost_by_sampling(spark):
+    hot = [(i, "http://hot.good/page") for i in range(500)]
+    rows = hot + [(1000 + i, f"http://a{i}.good/news/{i}") for i in range(500)] + [(2000 + i, f"http://b{i}.bad/win/{i}") for i in range(2)]
+    df = spark.createDataFrame([*rows, (9000, "http://c77.best/news/77")], "page_id bigint, url string")
+    got = {r["id"]: r for r in judge_urls(df, (Rule("allow", "good", "/"), Rule("block", "bad", "/")), trees=2, sample_rows=20).collect()}
+    assert len(got) == len(rows) + 1
+    assert got[9000]["score"] is not None and got[9000]["verdict"] == "allow"
+
+
 def test_url_awkward_rows(spark):
     urls = [None, "", "no scheme", "://", "http://", "HTTP://WWW.Example.COM/en/", "http://x.com?/en/", "a://b://c/d", "http://net/es/1", "http://\u00c9.NET/fr/#x"]
     df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)] + [(None, urls[5])] * 2, "page_id int, url string")
