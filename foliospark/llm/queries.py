@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from foliospark.llm import oracles
 from foliospark.llm.byte_bpe import encode_texts
+from foliospark.llm.curriculum import by_first_position, training_mix
 from foliospark.llm.decontaminate import benchmark_overlaps
+from foliospark.llm.hard_negatives import hard_negatives
 from foliospark.llm.hidden_markov import score_texts
 from foliospark.llm.license_scan import license_notices
 from foliospark.llm.line_dedup import line_dedup
 from foliospark.llm.main_text import main_texts
 from foliospark.llm.near_dedup import near_duplicates
 from foliospark.llm.personal_data import BASE_KINDS, listed, personal_data
+from foliospark.llm.prefix_trie import prefix_trie, rebuilt
 from foliospark.llm.quality import quality_measures
 from foliospark.llm.texts import table
 from foliospark.llm.url_filter import judge_urls
@@ -79,6 +82,28 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(judged["id"].alias("page_id"), "host", "path", "rule", "verdict")
 
 
+#: Weights 3, 1 and 2 in turn: the first falls over training, the second rises, the third peaks halfway.
+CURRICULUM = [[(0, 4.5), (1, 1.5)], [(0, 0.5), (1, 1.5)], [(0, 1), (0.5, 3), (1, 1)]]
+
+
+def op11_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = by_first_position(training_mix(table(spark, sf_dir, "documents"), CURRICULUM))
+    first = F.get("takes", F.lit(0))["position"].alias("first_position")
+    return mix.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", first)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = {"conv_id": "conv_id", "turn": "turn", "role": "role", "text": "text"}
+    return prefix_trie(rebuilt(table(spark, sf_dir, "conversations"), names))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.col("label").cast("bigint")
+    label = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives(rows.withColumn("label", label))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_license_scan": op2_license_scan,
@@ -90,10 +115,16 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_near_dedup": op9_near_dedup,
     "op10_line_dedup": op10_line_dedup,
+    "op11_curriculum_mix": op11_curriculum_mix,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 #: The other queries are held against brute force in the tests.
 ORACLES: dict[str, str] = {
     "op1_quality_rules": oracles.QUALITY,
     "op9_near_dedup": oracles.NEAR_DEDUP,
+    "op11_curriculum_mix": oracles.CURRICULUM_MIX,
+    "op12_prefix_trie": oracles.PREFIX_TRIE,
+    "op13_hard_negatives": oracles.HARD_NEGATIVES,
 }

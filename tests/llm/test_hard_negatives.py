@@ -1,0 +1,85 @@
+import math
+import random
+
+import numpy as np
+import pytest
+
+from foliospark.llm import hard_negatives as mining
+from foliospark.llm.hard_negatives import hard_negatives, pairs_above
+
+SCHEMA = "vec_id bigint, label int, embedding array<double>, anchor int, score string"
+
+
+def brute_force(rows, every=100, k=5):
+    usable = {
+        (i, label, tuple(math.floor(256 * x) for x in v))
+        for i, label, v in rows
+        if i is not None and label is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)
+    }
+    found = []
+    for i, label, a in usable:
+        if i % every:
+            continue
+        scored = sorted((-sum(x * y for x, y in zip(a, v)), j, other) for j, other, v in usable if j != i)
+        for p, j, _ in [x for x in scored if x[2] == label][:k]:
+            window = [x for x in scored if x[2] != label and 80 * -p <= 100 * -x[0] <= 100 * -p][:k]
+            found += [(i, j, rank, n, -p, -s) for rank, (s, n, _) in enumerate(window, 1)]
+    return sorted(found)
+
+
+def mined(spark, rows, **options):
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA)
+    return sorted(tuple(r) for r in hard_negatives(df, **options).collect())
+
+
+def vectors(n, labels, seed, width=20):
+    chance = random.Random(seed)
+    centres = [[chance.gauss(0, 0.2) for _ in range(width)] for _ in range(labels)]
+    rows = []
+    for i in range(n):
+        label = chance.randrange(labels)
+        rows.append((i, label, [c + chance.gauss(0, 0.2) for c in centres[label]]))
+    return rows
+
+
+@pytest.mark.parametrize("group, chunk", [(16_384, 16_384), (100, 3)])
+def test_equals_brute_force(spark, monkeypatch, group, chunk):
+    monkeypatch.setattr(mining, "GROUP", group)
+    monkeypatch.setattr(mining, "CHUNK", chunk)
+    rows = vectors(700, 6, 1)
+    want = brute_force(rows, every=50)
+    assert len(want) > 50
+    assert mined(spark, rows, anchors_every=50) == want
+
+
+def test_very_common_vector_rare_labels_and_ties(spark):
+    rows = vectors(300, 3, 2)
+    rows += [(1000 + i, 1 + i % 2, rows[7][2]) for i in range(200)]
+    rows += [(2000, 77, rows[7][2]), (2100, 78, rows[8][2]), (2101, 78, rows[8][2]), (2200, 79, [0.0] * 20), (2201, 79, [0.0] * 20)]
+    assert mined(spark, rows) == brute_force(rows)
+
+
+def test_rows_that_take_no_part(spark):
+    good = vectors(120, 2, 3)
+    bad = [(None, 1, [1.0]), (500, None, [1.0]), (600, 1, None), (700, 1, [1.0, None]), (800, 1, [float("nan")]), (900, 0, [float("inf")])]
+    odd = [(1100, 1, []), (1200, 1, [1.0]), (1300, 0, [0.5] * 30), (5, good[5][1], good[5][2]), (6, 1 - good[6][1], good[6][2])]
+    rows = good + bad + odd
+    assert mined(spark, rows) == brute_force(rows)
+    assert mined(spark, []) == [] and mined(spark, [(1, 1, [1.0])]) == [] and mined(spark, [(100, 1, [1.0])]) == []
+
+
+def test_numbers_beyond_double_precision(spark):
+    rows = [(i, i % 2, [float(2**22 + 3 * i), 1.0 * i]) for i in range(95, 140)]
+    assert mined(spark, rows, anchors_every=50) == brute_force(rows, every=50)
+
+
+def test_index_loses_no_pair():
+    chance = np.random.default_rng(5)
+    for width, low in ((1, 0), (7, 100), (64, 9_000), (64, 20_000), (70, -50_000)):
+        x = np.floor(chance.normal(0, 40, (300, width)) * np.linspace(2, 0.1, width))
+        q = np.floor(chance.normal(0, 40, (20, width)))
+        limits = np.full(20, float(low))
+        limits[:3] = -np.inf if low < 0 else low / 2
+        a, b, scores = pairs_above(x, q, limits)
+        want = q @ x.T
+        assert sorted(zip(a, b, scores)) == [(i, j, want[i, j]) for i, j in zip(*np.nonzero(want >= limits[:, None]))]
