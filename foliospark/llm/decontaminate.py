@@ -1,10 +1,12 @@
 """Finding benchmark passages in documents by spaced seeds.
 
 A fixed mask picks some positions of a span of words and ignores the others, so a hash of
-the picked words still agrees when an ignored word was replaced. Hashes of all benchmark
-positions go into a bit filter of fixed size; document positions that pass it are joined
-with the benchmark's hashes. Around every hit the words of document and item are then
-laid side by side, and an overlap counts if enough of them agree, whatever the hash said.
+the picked words still agrees when an ignored word was replaced. The masks of a span are made
+so that, wherever as many words are replaced as are tolerated, one of them ignores all of these;
+so no overlap that counts is missed. Hashes of all benchmark positions go into a bit filter of
+fixed size; document positions that pass it are joined with the benchmark's hashes. Around every
+hit the words of document and item are then laid side by side, and an overlap counts if
+enough of them agree, whatever the hash said.
 
 Words are lower-cased (A-Z) and freed of ASCII punctuation at both ends; what is nothing
 but punctuation is no word.
@@ -15,19 +17,19 @@ from __future__ import annotations
 import hashlib
 import string
 from collections.abc import Iterator
+from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.texts import bytes_of, only, slices, stored
+from foliospark.llm.texts import bytes_of, only, slices, stored, text_slices
 from foliospark.llm.words import WordHashes, mixed, multiplier
 
-#: Which of ten neighbouring words each seed looks at.
-MASKS = ("1101100110", "1011010101", "1110001011")
-SPAN = 10
 #: Words kept on both sides of a hit.
 AROUND = 64
 FILTER_BITS = 26
@@ -39,10 +41,8 @@ class _Normal(WordHashes):
 
     def __missing__(self, word: bytes) -> int:
         bare = word.lower().strip(_PUNCTUATION)
-        value = super().__missing__(bare) if bare else 0
-        if len(self) >= self.remember:
-            self.clear()
-        self[word] = value
+        value = xxhash.xxh64_intdigest(bare) if bare else 0
+        self.keep(word, value)
         return value
 
 
@@ -51,16 +51,31 @@ def normal_words(text: bytes, hashes: _Normal) -> np.ndarray:
     return words[words != 0]
 
 
-def seeds(words: np.ndarray, short: tuple[int, ...] = ()) -> list[np.ndarray]:
-    """The hashes of all positions, an array for each mask and each length in ``short``."""
-    masks = [[i for i, x in enumerate(mask) if x == "1"] for mask in MASKS]
+@cache
+def masks(span: int, percent: int) -> tuple[tuple[int, ...], ...]:
+    """The positions that each mask of a span looks at.
+
+    With ``s`` words that may differ, the positions are dealt out over ``s + 2`` parts in turn, and
+    each mask ignores another ``s`` of the parts. Replaced words lie in ``s`` parts at most.
+    """
+    tolerated = span - -(-span * percent // 100)
+    parts = min(span, tolerated + 2)
+    return tuple(
+        tuple(i for i in range(span) if i % parts not in ignored) for ignored in combinations(range(parts), min(tolerated, parts - 1))
+    )
+
+
+def seeds(words: np.ndarray, spans: tuple[int, ...], percent: int) -> list[tuple[int, np.ndarray]]:
+    """The hashes of all positions, with their span: an array for each mask of each span."""
     found = []
-    for number, (picked, span) in enumerate([*[(m, SPAN) for m in masks], *[(range(n), n) for n in short]]):
+    times = [words * multiplier(i) for i in range(max(spans, default=0))]
+    for span in spans:
         n = max(0, len(words) - span + 1)
-        total = np.full(n, number + 1 if span == SPAN else 1000 + span, np.uint64)
-        for i in picked:
-            total += words[i : i + n] * multiplier(i)
-        found.append(mixed(total))
+        for number, picked in enumerate(masks(span, percent)):
+            total = np.full(n, span * 1000 + number, np.uint64)
+            for i in picked:
+                total += times[i][i : i + n]
+            found.append((span, mixed(total)))
     return found
 
 
@@ -91,15 +106,14 @@ def _items(benchmark: DataFrame, item_column: str, text_column: str) -> DataFram
     return out.where("size(words) > 0")
 
 
-def _seed_rows(passages: DataFrame, short: tuple[int, ...]) -> DataFrame:
+def _seed_rows(passages: DataFrame, min_words: int, percent: int) -> DataFrame:
     """``hash``, ``passage`` and ``at`` (word number) of all seeds of the passages."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for passage, words in zip(batch.column("passage").to_pylist(), batch.column("words")):
                 words = np.asarray(words.values).view(np.uint64)
-                own = tuple(n for n in short if n == len(words))
-                found = seeds(words, own)
+                found = [x for _, x in seeds(words, (min(min_words, len(words)),), percent)]
                 at = np.concatenate([np.arange(len(x)) for x in found])
                 flat = np.concatenate(found).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
@@ -125,48 +139,56 @@ def _seed_filter(seed_rows: DataFrame) -> np.ndarray:
     return bitmap
 
 
-def _regions(rows: DataFrame, bitmap: np.ndarray, short: tuple[int, ...]) -> DataFrame:
+def _regions(rows: DataFrame, bitmap: np.ndarray, spans: tuple[int, ...], percent: int) -> DataFrame:
     """Stretches of documents with hits: ``region``, ``key``, ``id``, ``first``, ``words``, ``hits``."""
     shared = rows.sparkSession.sparkContext.broadcast(bitmap)
     kind = rows.schema["id"].dataType.simpleString()
+    longest = max(spans, default=0)
+    hit_type = pa.struct([("hash", pa.int64()), ("at", pa.int32())])
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, wanted = _Normal(), shared.value
         region = TaskContext.get().partitionId() << 33
-        for batch in slices(batches, "text"):
-            places, firsts, words_of, hits_of = [], [], [], []
-            for place, text in enumerate(bytes_of(batch, "text")):
-                words = normal_words(text, hashes)
-                at, hit = [], []
-                for own in seeds(words, short):
-                    bits = _bit(own)
-                    passes = np.flatnonzero((wanted[bits >> 5] >> (bits & 31).astype(np.uint32)) & np.uint32(1))
-                    at.append(passes)
-                    hit.append(own[passes])
-                at, hit = np.concatenate(at), np.concatenate(hit)
-                if not len(at):
-                    continue
-                order = np.argsort(at, kind="stable")
-                at, hit = at[order], hit[order]
-                for group in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) > 2 * AROUND) + 1):
-                    first = max(0, int(at[group[0]]) - AROUND)
-                    places.append(place)
-                    firsts.append(first)
-                    words_of.append(words[first : int(at[group[-1]]) + SPAN + AROUND].view(np.int64))
-                    hits_of.append([{"hash": h, "at": a} for h, a in zip(hit[group].view(np.int64).tolist(), at[group].tolist())])
-            take = pa.array(places, pa.int32())
+        for batch, texts in text_slices(batches, "text", 1 << 20):
+            # the words of all texts of the slice, one after the other
+            own = [normal_words(text, hashes) for text in texts]
+            ends = np.cumsum([len(w) for w in own])
+            words = np.concatenate([*own, np.zeros(0, np.uint64)])
+            end_of = np.repeat(ends, [len(w) for w in own])
+            at, hit = [], []
+            for span, values in seeds(words, spans, percent):
+                bits = _bit(values)
+                passes = np.flatnonzero((wanted[bits >> 5] >> (bits & 31).astype(np.uint32)) & np.uint32(1))
+                passes = passes[passes + span <= end_of[passes]]  # not across the end of a text
+                at.append(passes)
+                hit.append(values[passes])
+            at, hit = np.concatenate([*at, np.zeros(0, np.int64)]), np.concatenate([*hit, np.zeros(0, np.uint64)])
+            if not len(at):
+                continue
+            order = np.argsort(at, kind="stable")
+            at, hit = at[order], hit[order]
+            place = np.searchsorted(ends, at, side="right")
+            starts = (ends - [len(w) for w in own])[place]
+            cut = np.flatnonzero((np.diff(at) > 2 * AROUND) | (np.diff(place) > 0)) + 1
+            low, high = np.concatenate([[0], cut]), np.concatenate([cut, [len(at)]])
+            firsts = np.maximum(starts[low], at[low] - AROUND)
+            stops = np.minimum(ends[place[low]], at[high - 1] + longest + AROUND)
+            take = pa.array(place[low].astype(np.int32))
+            hits = pa.StructArray.from_arrays(
+                [pa.array(hit.view(np.int64)), pa.array((at - starts).astype(np.int32))], fields=list(hit_type)
+            )
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.arange(region, region + len(places))),
+                    pa.array(np.arange(region, region + len(low))),
                     batch.column("key").take(take),
                     batch.column("id").take(take),
-                    pa.array(firsts, pa.int32()),
-                    pa.array(words_of, pa.list_(pa.int64())),
-                    pa.array(hits_of, pa.list_(pa.struct([("hash", pa.int64()), ("at", pa.int32())]))),
+                    pa.array((firsts - starts[low]).astype(np.int32)),
+                    pa.array([words[i:j].view(np.int64) for i, j in zip(firsts, stops)], pa.list_(pa.int64())),
+                    pa.ListArray.from_arrays(pa.array(np.append(low, len(at)).astype(np.int32)), hits),
                 ],
                 names=["region", "key", "id", "first", "words", "hits"],
             )
-            region += len(places)
+            region += len(low)
 
     schema = f"region bigint, key string, id {kind}, first int, words array<bigint>, hits array<struct<hash: bigint, at: int>>"
     return rows.mapInArrow(found, schema)
@@ -213,7 +235,7 @@ def benchmark_overlaps(
     """The overlaps of documents with benchmark items.
 
     A document overlaps an item if in ``min_words`` neighbouring words (in all words of a
-    shorter item) ``percent`` per cent agree place by place, and a seed hits there. Returns a
+    shorter item) ``percent`` per cent agree place by place. Returns a
     row for each document and item, the longest overlap of the two: ``key`` (names the
     row), ``id``, ``item_id``, ``first_word`` (from 0), ``n_words``, ``n_equal``.
 
@@ -223,12 +245,12 @@ def benchmark_overlaps(
     """
     items = stored(_items(benchmark, item_column, item_text_column), "items")
     passages = items.groupBy("passage").agg(F.first("words").alias("words"))
-    lengths = items.where(F.size("words") < SPAN).select(F.size("words").alias("n")).distinct().collect()
-    short = tuple(sorted(row["n"] for row in lengths))  # SPAN - 1 lengths at most
-    seed_rows = stored(_seed_rows(passages, short), "seeds")
+    lengths = items.select(F.least(F.size("words"), F.lit(min_words)).alias("n")).distinct().collect()
+    spans = tuple(sorted(row["n"] for row in lengths))  # min_words lengths at most
+    seed_rows = stored(_seed_rows(passages, min_words, percent), "seeds")
     rows = only(df, {"id": id_column, "text": text_column}).withColumn("text", F.col("text").cast("string"))
     rows = rows.select("id", "text", row_key(F.col("id"), F.col("text")).alias("key"))
-    regions = stored(_regions(rows, _seed_filter(seed_rows), short), "regions")
+    regions = stored(_regions(rows, _seed_filter(seed_rows), spans, percent), "regions")
     hits = regions.select("region", F.inline("hits")).withColumnRenamed("at", "place")
     shifts = hits.join(seed_rows, "hash").select("region", "passage", (F.col("place") - F.col("at")).alias("shift")).distinct()
     pairs = shifts.groupBy("region", "passage").agg(F.collect_list("shift").alias("shifts"))

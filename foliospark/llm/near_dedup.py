@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.texts import bytes_of, only, slices, stored
+from foliospark.llm.texts import bytes_of, free_name, only, slices, stored
 from foliospark.llm.words import WordHashes, mixed, shingle_hashes
 
 REGISTERS = 128
@@ -152,38 +152,39 @@ def _full_sets(df: DataFrame, ids: DataFrame, width: int, id_column: str, text_c
     rows = rows.select(bit.alias("bit"), rows["text"].cast("string").alias("text"))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, bitmap = WordHashes(), wanted.value
+        hashes, bitmap, given = WordHashes(), wanted.value, set()
         for batch in batches:
             bits = batch.column("bit").to_numpy()
             mask = (bitmap[bits >> 5] >> (bits & 31).astype(np.uint32)) & np.uint32(1)
             batch = batch.filter(pa.array(mask.astype(bool)))
             for part in slices([batch], "text"):
-                sets = [s for s in _sets(bytes_of(part, "text"), width, hashes) if len(s)]
+                sets = {_key(s): s.tobytes() for s in _sets(bytes_of(part, "text"), width, hashes) if len(s)}
+                new = [k for k in sets if k not in given]
+                given = given | set(new) if len(given) < 100_000 else set(new)  # copies are mostly seen again soon
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                    names=["vertex", "shingles"],
+                    [pa.array(new, pa.binary()), pa.array([sets[k] for k in new], pa.binary())], names=["vertex", "shingles"]
                 )
 
-    return rows.mapInArrow(made, "vertex binary, shingles binary")
+    # rows with the same set give it once each; grouping keeps one
+    return rows.mapInArrow(made, "vertex binary, shingles binary").groupBy("vertex").agg(F.first("shingles").alias("shingles"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (``a``, ``b``) whose sets reach the similarity, once each."""
 
-    @F.pandas_udf("boolean")
-    def similar(left, right):
-        import pandas as pd
-
-        def enough(x, y):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(x) + len(y) - len(np.union1d(x, y))
-            return 100 * both >= percent * (len(x) + len(y) - both)
-
-        return pd.Series([enough(x, y) for x, y in zip(left, right)], dtype=bool)
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "left"):
+            fits = []
+            for x, y in zip(batch.column("left"), batch.column("right")):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(x) + len(y) - len(np.union1d(x, y))
+                fits.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(fits, pa.bool_()))
 
     left = sets.select(F.col("vertex").alias("a"), F.col("shingles").alias("left"))
     right = sets.select(F.col("vertex").alias("b"), F.col("shingles").alias("right"))
-    return pairs.join(left, "a").join(right, "b").where(similar("left", "right")).select("a", "b").distinct()
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
+    return both.mapInArrow(similar, "a binary, b binary").distinct()
 
 
 def _close_rows(keys: list[int], shingles: list[np.ndarray], owns: np.ndarray, components: np.ndarray, percent: int):
@@ -412,9 +413,10 @@ def keep_one(df: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     repeated = stored(verdicts.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "repeated")
     gone = stored(verdicts.where("NOT kept").select("id").distinct().join(repeated, "id", "left_anti"), "gone")
     own, text = df[f"`{id_column}`"], df[f"`{text_column}`"].cast("string")
+    name, key = free_name(df, "near_dup_id"), free_name(df, "near_dup_vertex")
     if repeated.isEmpty():
-        return df.join(gone, own == gone["id"], "left_anti")
-    rest = df.join(gone.union(repeated).withColumnRenamed("id", "near_dup_id"), own == F.col("near_dup_id"), "left_anti")
+        return df.join(gone.withColumnRenamed("id", name), own == F.col(name), "left_anti")
+    rest = df.join(gone.union(repeated).withColumnRenamed("id", name), own == F.col(name), "left_anti")
 
     @F.pandas_udf("binary")
     def vertex(texts):
@@ -423,9 +425,9 @@ def keep_one(df: DataFrame, id_column: str = "doc_id", text_column: str = "text"
         sets = _sets([(t or "").encode() for t in texts], width, WordHashes())
         return pd.Series([_key(s) if len(s) else None for s in sets])
 
-    again = df.join(repeated.withColumnRenamed("id", "near_dup_id"), own == F.col("near_dup_id"), "left_semi")
+    again = df.join(repeated.withColumnRenamed("id", name), own == F.col(name), "left_semi")
     again = again.dropDuplicates([id_column, text_column])
     staying = verdicts.where("kept").join(repeated, "id").distinct()
-    staying = staying.select(F.col("id").alias("near_dup_id"), F.col("vertex").alias("near_dup_vertex"))
-    same = (own == F.col("near_dup_id")) & vertex(text).eqNullSafe(F.col("near_dup_vertex"))
+    staying = staying.select(F.col("id").alias(name), F.col("vertex").alias(key))
+    same = (own == F.col(name)) & vertex(text).eqNullSafe(F.col(key))
     return rest.unionByName(again.join(staying, same, "left_semi"))

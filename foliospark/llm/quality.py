@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.texts import bytes_of, only, slices
+from foliospark.llm.texts import bytes_of, free_name, only, slices, text_slices
 
 SYMBOLS = b"#*$%&|<>"
 NO_LETTERS = bytes(i for i in range(128) if not chr(i).isalpha())
@@ -137,11 +137,13 @@ def estimate_cascade(
 ) -> list[Estimate]:
     """The rules in the order in which the cascade should ask them.
 
-    At most ``sample_rows`` rows are judged, in one task; their verdict patterns (which
-    rules reject) are counted there, so the driver gets a row a pattern. The verdicts of
-    the cascade do not depend on the sample. With an empty sample the order is as given.
+    About ``sample_rows`` rows are judged, where they lie: each is taken at a rate that follows
+    from the number of rows. Tasks count verdict patterns (which rules reject), so the driver
+    gets a row a pattern and task that has sampled rows. The verdicts of the cascade do not depend
+    on the sample. With an empty sample the order is as given.
     """
-    sample = only(df.sample(0.2, seed=7), {"text": text_column}).limit(sample_rows)
+    rate = sample_rows / max(1, df.count())
+    sample = only(df if rate >= 1 else df.sample(rate, seed=7), {"text": text_column})
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         patterns: Counter[int] = Counter()
@@ -155,7 +157,9 @@ def estimate_cascade(
                     seconds[i] += time.perf_counter() - start
                 patterns[pattern] += 1
         rows = [(p, n, seconds.tolist() if i == 0 else None) for i, (p, n) in enumerate(patterns.items())]
-        columns = list(zip(*rows)) or [(), (), ()]
+        if not rows:
+            return
+        columns = list(zip(*rows))
         types = (pa.int64(), pa.int64(), pa.list_(pa.float64()))
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(c), t) for c, t in zip(columns, types)], names=["pattern", "n", "seconds"]
@@ -165,7 +169,9 @@ def estimate_cascade(
     found = sample.mapInArrow(judged, "pattern bigint, n bigint, seconds array<double>").collect()
     total = sum(row["n"] for row in found)
     seconds = np.sum([row["seconds"] for row in found if row["seconds"]], axis=0) if found else None
-    left = {row["pattern"]: row["n"] for row in found}
+    left: Counter[int] = Counter()
+    for row in found:
+        left[row["pattern"]] += row["n"]
     waiting, order = list(range(len(rules))), []
     while waiting:
         reaching = sum(left.values())
@@ -217,9 +223,16 @@ def verdict_column(df: DataFrame) -> str:
 
 
 def keep_quality(df: DataFrame, rules: tuple[Rule, ...] = RULES, text_column: str = "text") -> DataFrame:
-    """The rows of ``df`` that the cascade keeps, with the columns of ``df``."""
-    judged, name = quality_verdicts(df, rules, text_column), verdict_column(df)
-    return judged.where(F.col(f"`{name}`.kept")).drop(name)
+    """The rows of ``df`` that the cascade keeps, with the columns of ``df``. A null text is an empty one."""
+    cascade = [e.rule.rejects for e in estimate_cascade(df, rules, text_column)]
+    judged = free_name(df, "quality_text")
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in text_slices(batches, judged):
+            good = [not any(rejects(m) for rejects in cascade) for m in map(Measures, texts)]
+            yield batch.drop_columns([judged]).filter(pa.array(good, pa.bool_()))
+
+    return df.withColumn(judged, df[f"`{text_column}`"].cast("string")).mapInArrow(kept, df.schema)
 
 
 def quality_measures(

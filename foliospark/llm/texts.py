@@ -40,6 +40,20 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             start = stop
 
 
+def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES):
+    """The batches in slices, each with the UTF-8 bytes of its texts."""
+    for batch in slices(batches, column, limit):
+        yield batch, bytes_of(batch, column)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or the first of ``name_``, ``name__``, ... that no column of ``df`` starts with."""
+    taken = [c.lower() for c in df.columns]
+    while any(c.startswith(name) for c in taken):
+        name += "_"
+    return name
+
+
 def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     """The texts of a batch, null as the empty text."""
     return batch.column(column).fill_null("").to_pylist()

@@ -11,18 +11,24 @@ _MULTIPLIERS = np.array(
 
 
 class WordHashes(dict):
-    """xxhash64 of words, remembered up to a bound."""
+    """xxhash64 of words, remembered up to a bound in bytes (about 100 a word, and its length)."""
 
-    def __init__(self, remember: int = 200_000):
+    def __init__(self, remember: int = 16 << 20):
         super().__init__()
-        self.remember = remember
+        self.remember, self.taken = remember, 0
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.remember:
-            self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word)
+        value = xxhash.xxh64_intdigest(word)
+        self.keep(word, value)
         return value
 
+    def keep(self, word: bytes, value: int) -> None:
+        self.taken += 100 + len(word)
+        if self.taken > self.remember:
+            self.clear()
+            self.taken = 100 + len(word)
+        self[word] = value
+
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
@@ -35,10 +41,18 @@ def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def multiplier(i: int) -> np.uint64:
-    """An odd number for the i-th word of a shingle."""
+def _odd_numbers(n: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return mixed(_MULTIPLIERS[i % 4 : i % 4 + 1], i)[0] | np.uint64(1)
+        return np.array([mixed(_MULTIPLIERS[i % 4 : i % 4 + 1], i)[0] | np.uint64(1) for i in range(n)], np.uint64)
+
+
+#: An odd number for the i-th word of a shingle.
+_ODD = _odd_numbers(64)
+
+
+def multiplier(i: int) -> np.uint64:
+    """The number by which the i-th word of a shingle is multiplied."""
+    return _ODD[i] if i < len(_ODD) else _odd_numbers(i + 1)[i]
 
 
 def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:

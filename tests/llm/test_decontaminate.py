@@ -1,8 +1,9 @@
 import string
+from itertools import combinations
 
 from cases import LONG, PROSE, SF_DIR, awkward, empty, given
 
-from foliospark.llm.decontaminate import benchmark_overlaps, decontaminate
+from foliospark.llm.decontaminate import benchmark_overlaps, decontaminate, masks
 from foliospark.llm.queries import QUERIES
 
 
@@ -64,3 +65,25 @@ def test_awkward_rows(spark):
     assert [r["text"] for r in rows if r["doc_id"] is None] == [None]  # the other overlaps
     assert decontaminate(empty(spark), items).collect() == []
     assert decontaminate(df, items.limit(0)).count() == 14
+
+
+def test_masks_miss_no_tolerated_pattern(spark):
+    """Every choice of words that may be replaced in 13 neighbouring ones, or in a shorter item."""
+    for span in range(1, 14):
+        tolerated = span - -(-span * 80 // 100)
+        for replaced in combinations(range(span), tolerated):
+            assert any(not set(picked) & set(replaced) for picked in masks(span, 80))
+        assert all(picked for picked in masks(span, 80))
+    docs, items, want = [], [], set()
+    for n in range(5, 17):
+        item = [f"word{n}x{i}" for i in range(n)]
+        items.append((n, " ".join(item)))
+        for replaced in combinations(range(n), 1 if n < 10 else 2):
+            text = " ".join("other" if i in replaced else w for i, w in enumerate(item))
+            docs.append((len(docs), f"some words before {text} and after"))
+            window = min(13, n)
+            if any(100 * sum(i not in replaced for i in range(a, a + window)) >= 80 * window for a in range(n - window + 1)):
+                want.add((docs[-1][0], n))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    found = benchmark_overlaps(df, spark.createDataFrame(items, "item_id int, text string"))
+    assert {(r["id"], r["item_id"]) for r in found.collect()} == want and len(want) == len(docs)

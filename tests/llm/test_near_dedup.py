@@ -96,3 +96,14 @@ def test_awkward_rows(spark):
     assert kept.columns == awkward(spark).columns
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 0, 1, 3, 4, 5, 6, 8, 9, 10, 11]
     assert near_duplicates(empty(spark)).collect() == [] and keep_one(empty(spark)).collect() == []
+
+
+def test_names_of_its_own_that_the_table_has_too(spark):
+    rows = [(1, "one two three four five six", 7, 8), (1, "one two three four five six", 7, 8), (2, "one two three four five six", 7, 8)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, near_dup_id int, NEAR_DUP_VERTEX int")
+    assert [tuple(r) for r in keep_one(df).collect()] == rows[:1]
+
+
+def test_a_set_is_stored_once(spark):
+    df = spark.range(5000).selectExpr("id AS doc_id", "concat('a b c d e f ', id % 2) AS text").repartition(7)
+    assert near_dedup._full_sets(df, df.select(df["doc_id"].alias("id")), 5, "doc_id", "text").count() == 2

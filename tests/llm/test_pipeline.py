@@ -4,20 +4,23 @@ import corpus_pipeline
 import tiktoken
 from cases import ROWS, SF_DIR, given
 from test_decontaminate import brute_force as overlapping
-from test_line_dedup import brute_force as without_chunks
+from test_line_dedup import brute_force as without_passages
 from test_near_dedup import brute_force as grouped
 
 import __spark_entry__ as contract
+from foliospark.llm import line_dedup
 from foliospark.llm.byte_bpe import read_ranks
 from foliospark.llm.quality import RULES, Measures
 
 
-def test_pipeline_equals_brute_force(spark):
+def test_pipeline_equals_brute_force(spark, monkeypatch):
     import public_tokenizers
 
+    monkeypatch.setattr(line_dedup, "NO_BOUNDARY", 0)
+
     docs = dict(given("documents", "doc_id, text"))
     docs = {i: t for i, t in docs.items() if not any(r.rejects(Measures(t.encode())) for r in RULES)}
-    changed = without_chunks(list(docs.items()))
+    changed = without_passages(list(docs.items()))
     docs = {i: t for i, (t, n) in changed.items() if not n or t.encode().strip(string.whitespace.encode())}
     docs = {i: docs[i] for i, (_, _, kept) in grouped(list(docs.items()), 5).items() if kept}
     leaked = {i for i, _ in overlapping(list(docs.items()), given("benchmark", "item_id, text"))}
