@@ -44,7 +44,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Encoder:
     """Encodes pieces by the ranks of a vocabulary, and decodes ids."""
 
-    def __init__(self, ranks: dict[bytes, int], remember: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], remember: int = 100_000):
         self.ranks = ranks
         self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():

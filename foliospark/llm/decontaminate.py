@@ -257,20 +257,34 @@ def benchmark_overlaps(
     words = regions.select("region", "key", "id", "first", F.col("words").alias("document"))
     both = pairs.join(words, "region").join(passages.withColumnRenamed("words", "item"), "passage")
 
-    @F.pandas_udf("struct<first_word: bigint, n_words: bigint, n_equal: bigint>")
-    def longest(document, item, first, shift_lists):
-        import pandas as pd
-
-        out = []
-        for d, i, f, shift_list in zip(document, item, first, shift_lists):
-            found = [overlap(d, i, int(s) - f, min_words, percent) for s in shift_list]
-            best = max((x for x in found if x), key=lambda x: (x[2], x[1], -x[0]), default=None)
-            out.append((best[0] + f, best[1], best[2]) if best else (None, None, None))
-        return pd.DataFrame(out, columns=["first_word", "n_words", "n_equal"], dtype="Int64")
-
-    found = both.withColumn("best", longest("document", "item", "first", "shifts")).where("best.n_words IS NOT NULL")
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def longest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            laid = (batch.column(c) for c in ("document", "item", "first", "shifts"))
+            keep, found = [], []
+            for i, (document, item, first, shift_list) in enumerate(zip(*laid)):
+                document, item, first = np.asarray(document.values), np.asarray(item.values), first.as_py()
+                tried = [overlap(document, item, shift - first, min_words, percent) for shift in shift_list.as_py()]
+                best = max((x for x in tried if x), key=lambda x: (x[2], x[1], -x[0]), default=None)
+                if best:
+                    keep.append(i)
+                    found.append((best[0] + first, *best[1:]))
+            columns = zip(*found) if found else [()] * 3
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *batch.take(pa.array(keep, pa.int32())).select(["key", "id", "passage"]).columns,
+                    *(pa.array(c, pa.int64()) for c in columns),
+                ],
+                names=["key", "id", "passage", "first_word", "n_words", "n_equal"],
+            )
+
+    laid = both.select("key", "id", "passage", "document", "item", "first", "shifts")
+    found = laid.mapInArrow(longest, f"key string, id {kind}, passage binary, first_word bigint, n_words bigint, n_equal bigint")
     best = found.groupBy("key", "id", "passage").agg(
-        F.max_by("best", F.struct(F.col("best.n_equal"), F.col("best.n_words"), -F.col("best.first_word"))).alias("best")
+        F.max_by(
+            F.struct("first_word", "n_words", "n_equal"), F.struct(F.col("n_equal"), F.col("n_words"), -F.col("first_word"))
+        ).alias("best")
     )
     named = best.join(items.select("passage", "item_id"), "passage")
     return named.select("key", "id", "item_id", "best.first_word", "best.n_words", "best.n_equal")
