@@ -6,8 +6,11 @@ from foliospark.functions.json_columns import (
     json_to_doubles,
     json_to_ints,
     parse_json,
+    parse_json_checked,
+    parse_variant,
     to_json_rooted,
     to_json_sorted,
+    variant_field,
 )
 
 __all__ = [
@@ -16,6 +19,9 @@ __all__ = [
     "json_to_doubles",
     "json_to_ints",
     "parse_json",
+    "parse_json_checked",
+    "parse_variant",
     "to_json_rooted",
     "to_json_sorted",
+    "variant_field",
 ]

@@ -63,6 +63,55 @@ def parse_json(col: Column | str, schema: T.DataType | str, mode: str = "FAILFAS
     return F.from_json(_column(col), schema, {"mode": mode})
 
 
+def parse_json_checked(col: Column | str, schema: T.StructType | str) -> Column:
+    """JSON text as ``struct<value, rejected: struct<text, reason>>``, parsed once.
+
+    Where the text is an object that fits ``schema``, ``value`` is that and ``rejected`` is NULL. Where it is
+    not, ``value`` is NULL and ``rejected`` has the text as it was and why: "no JSON", "no object", or
+    "does not fit the schema" (a value of another type, or a missing one in a field that is NOT NULL).
+    NULL gives NULL for both.
+    """
+    struct_type = _data_type(schema)
+    if not isinstance(struct_type, T.StructType):
+        raise ValueError("rejected texts are told apart for objects, so the schema is a struct")
+    raw = "_rejected"
+    while raw in struct_type.names:
+        raw += "_"
+    text = _column(col).cast("string")
+    wide = T.StructType([*struct_type.fields, T.StructField(raw, T.StringType())])
+    parsed = F.from_json(text, wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": raw})
+    shape = F.schema_of_variant(F.try_parse_json(text))
+    fields = [f.name for f in struct_type.fields]
+
+    def checked(p: Column) -> Column:
+        missing = [p[f.name].isNull() for f in struct_type.fields if not f.nullable]
+        bad = F.coalesce(p[raw].isNotNull(), F.lit(True))
+        for lacking in missing:
+            bad = bad | lacking
+        bad = text.isNotNull() & (bad | ~F.coalesce(F.startswith(shape, F.lit("OBJECT")), F.lit(False)))
+        reason = (
+            F.when(shape.isNull(), "no JSON")
+            .when(~F.startswith(shape, F.lit("OBJECT")), "no object")
+            .otherwise("does not fit the schema")
+        )
+        value = F.when(text.isNotNull() & ~bad, F.struct(*[p[n].alias(n) for n in fields]))
+        rejected = F.when(bad, F.struct(text.alias("text"), reason.alias("reason")))
+        return F.struct(value.alias("value"), rejected.alias("rejected"))
+
+    # as the one element of an array the parsed text is a variable, made once
+    return F.get(F.transform(F.array(parsed), checked), F.lit(0))
+
+
+def parse_variant(col: Column | str) -> Column:
+    """JSON text whose shape changes from row to row as a VARIANT; NULL for what is no JSON."""
+    return F.try_parse_json(_column(col).cast("string"))
+
+
+def variant_field(col: Column | str, path: str, kind: str) -> Column:
+    """The value at ``path`` (``$.a[0].b``) of a VARIANT as ``kind``; NULL where there is none or it does not fit."""
+    return F.try_variant_get(_column(col), path, kind)
+
+
 def to_json_sorted(
     col: Column | str, schema: T.DataType | str | None = None, pretty: bool = True
 ) -> Column:

@@ -7,9 +7,11 @@ package, so a cluster needs no copy of it on the executors.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +28,7 @@ _LINK_SUFFIXES = {"markdown": ".md", "html": ".html", "pdf": ".pdf"}
 RowFunction = Callable[[dict], dict]
 BatchFunction = Callable[[pa.RecordBatch], pa.RecordBatch]
 ReportingRowFunction = Callable[[list, dict], "dict | None"]
+GroupFunction = Callable[[list, dict, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 ReportingBatchFunction = Callable[[list, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
@@ -280,10 +283,90 @@ def map_partitions_tagged(
     result_type = T.StructType.fromDDL(schema)
     results = to_arrow_schema(result_type)
 
+    tag = _tagger(results)
+
     def run(batches):
         partition = TaskContext.get().partitionId()
         child = hashlib.md5(f"{run_id}:{partition}".encode()).hexdigest()
         report = []
+        yield from tag(fn(report, batches), child, report)
+
+    source = df if columns is None else df.select(*columns)
+    if slots is not None:
+        source = spread(source, slots)
+    return source.mapInArrow(run, _tagged_type(result_type))
+
+
+def map_groups_tagged(
+    df: DataFrame,
+    by: list[str],
+    fn: GroupFunction,
+    schema: str,
+    run_id: str,
+    order: list[str | Column] | None = None,
+    columns: list[str] | None = None,
+    pieces: int = 1,
+) -> DataFrame:
+    """``fn(report, key, batches)`` for every group of rows with equal ``by`` columns, one child report per group.
+
+    ``key`` is a dict of the group's ``by`` values; NULLs are equal, and so are NaNs. ``batches`` is an
+    iterator of Arrow batches with the group's rows (their ``by`` columns too), sorted by ``order``. A group may
+    span any number of batches: it flows through, and neither it nor its report is ever held as a
+    whole. ``fn`` need not read it to the end. Results and reports are as in :func:`map_partitions_tagged`,
+    with a ``child_id`` per group, the md5 of ``run_id:`` and the key as JSON, so it does not depend on
+    where a group is worked on. A group without output rows leaves no report.
+
+    Rows are placed by a hash of the key and sorted within each partition: one shuffle. All rows of a
+    key are one stream in one task. For functions whose results can be combined, ``pieces`` deals the rows of
+    each key out over so many groups by a hash of the row, each with its number as ``piece`` in
+    ``key`` (and in the JSON of its ``child_id``); a hot key is then worked on in as many tasks.
+
+    ``columns`` names what ``fn`` reads besides ``by`` and ``order``; only these are scanned.
+    """
+    result_type = T.StructType.fromDDL(schema)
+    results = to_arrow_schema(result_type)
+    tag = _tagger(results)
+    if pieces > 1 and "piece" in df.columns:
+        raise ValueError("piece is taken in the key")
+    names = {c for c in order or [] if isinstance(c, str)}
+    source = df if columns is None else df.select(*dict.fromkeys([*by, *columns, *sorted(names)]))
+    shown = source.columns
+    if pieces > 1:
+        piece = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in shown]), F.lit(pieces)).cast("int")
+        source, by = source.withColumn("piece", piece), [*by, "piece"]
+    child = "child_id"
+    while child in source.columns:
+        child += "_"
+    key_json = F.to_json(F.struct(*[F.col(f"`{c}`") for c in by]), {"ignoreNullFields": "false"})
+    source = source.withColumn(child, F.md5(F.concat(F.lit(f"{run_id}:"), key_json)))
+    placed = source.repartition(child).sortWithinPartitions(child, *(order or []))
+
+    def run(batches):
+        def stretches():
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                ids = batch.column(child)
+                changes = pc.not_equal(ids[1:], ids[:-1]).to_numpy(zero_copy_only=False).nonzero()[0]
+                starts = [0, *(changes + 1).tolist()]
+                for start, stop in zip(starts, [*starts[1:], batch.num_rows]):
+                    yield ids[start].as_py(), batch.slice(start, stop - start)
+
+        for child_id, group in itertools.groupby(stretches(), key=lambda x: x[0]):
+            first = next(group)[1]
+            key = first.slice(0, 1).select(by).to_pylist()[0]
+            rows = (batch.select(shown) for batch in itertools.chain([first], (b for _, b in group)))
+            report = []
+            yield from tag(fn(report, key, rows), child_id, report)
+
+    return placed.mapInArrow(run, _tagged_type(result_type))
+
+
+def _tagger(results: pa.Schema) -> Callable:
+    """The function that gives a stream of batches its child id and report. It is made for every
+    fan-out, so that it is shipped together with the user's function."""
+
+    def tag(stream, child, report):
         sent = 0
 
         def tagged(batch, last):
@@ -303,7 +386,7 @@ def map_partitions_tagged(
             )
 
         held = None
-        for batch in fn(report, batches):
+        for batch in stream:
             if batch.num_rows == 0:
                 continue
             if held is not None:
@@ -312,12 +395,13 @@ def map_partitions_tagged(
         if held is not None:
             yield tagged(held, last=True)
 
+    return tag
+
+
+def _tagged_type(result_type: T.StructType) -> T.StructType:
     if set(result_type.names) & {"child_id", "part", "lines"}:
         raise ValueError("child_id, part and lines are taken in the result")
-    source = df if columns is None else df.select(*columns)
-    if slots is not None:
-        source = spread(source, slots)
-    out_type = T.StructType(
+    return T.StructType(
         [
             *result_type.fields,
             T.StructField("child_id", T.StringType()),
@@ -325,7 +409,6 @@ def map_partitions_tagged(
             T.StructField("lines", T.ArrayType(T.StringType())),
         ]
     )
-    return source.mapInArrow(run, out_type)
 
 
 def report_index(df: DataFrame, distinct: bool = True) -> DataFrame:

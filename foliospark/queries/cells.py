@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.operators import preview, render_markdown
+from foliospark.operators import (
+    preview,
+    register_group_function,
+    register_row_function,
+    render_markdown,
+)
 from foliospark.plans import run_cell, run_notebook, run_script_with_params, run_sql_script
 from foliospark.plans.notebook import NOTEBOOK_REPORT
 from foliospark.queries.inputs import table, views
@@ -34,6 +39,40 @@ def cells_in_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_cell(spark, named)[0].frame
 
 
+def functions_in_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A code cell registers functions of rows and of groups, a SQL cell calls them on tables."""
+    views(spark, sf_dir, "folio_udtf", "orders")
+
+    def functions(session):
+        def in_cents(row):
+            if row["o_orderstatus"] == "P":
+                return None
+            return {"customer": row["o_custkey"], "order": row["o_orderkey"], "cents": round(row["o_totalprice"] * 100)}
+
+        def streak(state, row):
+            """The length of the run of rising orders that ends here."""
+            state["run"] = state.get("run", 0) + 1 if row["cents"] > state.get("cents", -1) else 1
+            state["cents"], state["best"] = row["cents"], max(state.get("best", 0), state["run"])
+            state["customer"] = row["customer"]
+            yield {"customer": row["customer"], "order": row["order"], "run": state["run"]}
+
+        def longest(state):
+            if state:
+                yield {"customer": state["customer"], "order": None, "run": state["best"]}
+
+        register_row_function(session, "folio_in_cents", in_cents, "customer bigint, order bigint, cents bigint")
+        register_group_function(session, "folio_streaks", dict, streak, "customer bigint, order bigint, run int", longest)
+
+    run_cell(spark, functions)
+    cell = """%sql
+        SELECT * FROM folio_streaks(
+            TABLE(SELECT * FROM folio_in_cents(TABLE(SELECT o_custkey, o_orderkey, o_orderstatus, o_totalprice FROM folio_udtf_orders)))
+            PARTITION BY customer ORDER BY order
+        )
+    """
+    return run_cell(spark, cell)[0].frame
+
+
 def sql_script(spark: SparkSession, sf_dir: str) -> DataFrame:
     r"""Several statements, an escaped semicolon and empty pieces between them."""
     views(spark, sf_dir, "folio_script", "events")
@@ -132,6 +171,7 @@ def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "cell_functions": functions_in_cells,
     "run_cell": cells_in_turn,
     "sql_script": sql_script,
     "script_order": script_order,
@@ -142,6 +182,21 @@ QUERIES = {
 }
 
 ORACLES = {
+    "cell_functions": """
+        WITH cents AS (
+            SELECT o_custkey AS customer, o_orderkey AS "order", CAST(round(o_totalprice * 100) AS BIGINT) AS cents,
+                   row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n
+            FROM orders WHERE o_orderstatus <> 'P'
+        ), breaks AS (
+            SELECT *, CASE WHEN cents > lag(cents) OVER (PARTITION BY customer ORDER BY n) THEN NULL ELSE n END AS begun
+            FROM cents
+        ), runs AS (
+            SELECT customer, "order",
+                   CAST(n - max(begun) OVER (PARTITION BY customer ORDER BY n ROWS UNBOUNDED PRECEDING) + 1 AS INTEGER) AS run
+            FROM breaks
+        )
+        SELECT * FROM runs UNION ALL SELECT customer, NULL, max(run) FROM runs GROUP BY customer
+    """,
     "run_cell": """
         SELECT c_custkey, c_name, count(*) AS n_orders,
                CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS spent

@@ -14,6 +14,7 @@ from foliospark.operators import (
     distribute,
     distribute_eval,
     map_eval,
+    map_groups_tagged,
     map_isolated,
     map_partitions_tagged,
     report_index,
@@ -223,7 +224,58 @@ def report_index_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def running_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer's orders in order of their keys, each with the sum so far in cents."""
+
+    def balances(report, key, batches):
+        total = 0
+        for batch in batches:
+            cents = pc.round(pc.multiply(batch.column("o_totalprice"), 100.0)).cast(pa.int64())
+            sums = pc.add(pc.cumulative_sum(cents), total)
+            total = sums[-1].as_py()
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("o_custkey"), batch.column("o_orderkey"), sums],
+                names=["o_custkey", "o_orderkey", "balance"],
+            )
+        report.append(f"customer {key['o_custkey']}: {total}")
+
+    return map_groups_tagged(
+        table(spark, sf_dir, "orders"),
+        ["o_custkey"],
+        balances,
+        "o_custkey bigint, o_orderkey bigint, balance bigint",
+        "running_balance",
+        order=["o_orderkey"],
+        columns=["o_totalprice"],
+    )
+
+
+def running_balance_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = running_balance(spark, sf_dir)
+    return found.drop("part").withColumn("lines", F.concat_ws("; ", "lines"))
+
+
+def hot_groups_in_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three return flags have a third of all line items each; partial sums of pieces are combined."""
+
+    def sums(report, key, batches):
+        lines, quantity = 0, 0.0
+        for batch in batches:
+            lines += batch.num_rows
+            quantity += pc.sum(batch.column("l_quantity")).as_py()
+        yield pa.RecordBatch.from_pydict({"flag": [key["l_returnflag"]], "n": [lines], "quantity": [quantity]})
+
+    parts = map_groups_tagged(
+        table(spark, sf_dir, "lineitem"), ["l_returnflag"], sums, "flag string, n bigint, quantity double",
+        "pieces", columns=["l_orderkey", "l_linenumber", "l_quantity"], pieces=16,
+    )
+    pieces = (F.count("*") > 1).alias("split_up")
+    return parts.groupBy("flag").agg(F.sum("n").alias("n"), F.sum("quantity").alias("quantity"), pieces)
+
+
 QUERIES = {
+    "map_groups_tagged": running_balance_query,
+    "map_groups_pieces": hot_groups_in_pieces,
     "spread": spread_orders,
     "map_isolated": map_isolated_query,
     "map_isolated_bad_values": map_isolated_bad_values,
@@ -240,6 +292,22 @@ QUERIES = {
 }
 
 ORACLES = {
+    "map_groups_tagged": """
+        WITH sums AS (
+            SELECT o_custkey, o_orderkey, o_orderkey = max(o_orderkey) OVER (PARTITION BY o_custkey) AS last,
+                   CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT))
+                        OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS balance
+            FROM orders
+        )
+        SELECT o_custkey, o_orderkey, balance,
+               md5('running_balance:{"o_custkey":' || o_custkey || '}') AS child_id,
+               CASE WHEN last THEN 'customer ' || o_custkey || ': ' || balance ELSE '' END AS lines
+        FROM sums
+    """,
+    "map_groups_pieces": """
+        SELECT l_returnflag AS flag, count(*) AS n, sum(l_quantity) AS quantity, true AS split_up
+        FROM lineitem GROUP BY l_returnflag
+    """,
     "spread": "SELECT * FROM orders",
     "map_isolated": """
         SELECT event_id AS key, md5('map_isolated:' || event_id) AS child_id,

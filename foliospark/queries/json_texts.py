@@ -11,8 +11,11 @@ from foliospark.functions import (
     json_to_doubles,
     json_to_ints,
     parse_json,
+    parse_json_checked,
+    parse_variant,
     to_json_rooted,
     to_json_sorted,
+    variant_field,
 )
 from foliospark.queries.inputs import table
 
@@ -56,6 +59,33 @@ def parse_json_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", props).select("event_id", "props.k")
 
 
+def _damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events with some texts cut off, of another shape, or with a value of another type."""
+    text = (
+        F.when(F.col("event_id") % 11 == 0, F.substring("props", 1, 4))
+        .when(F.col("event_id") % 13 == 0, F.concat(F.lit("["), "props", F.lit("]")))
+        .when(F.col("event_id") % 17 == 0, F.regexp_replace("props", r"(\d+)", '"n$1"'))
+        .when(F.col("event_id") % 19 == 0, F.lit(None).cast("string"))
+        .otherwise(F.col("props"))
+    )
+    return table(spark, sf_dir, "events").select("event_id", text.alias("text"))
+
+
+def json_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of whole texts, and what was rejected with the reason, in one pass."""
+    checked = parse_json_checked("text", "k int").alias("p")
+    return _damaged(spark, sf_dir).select("event_id", checked).select(
+        "event_id", F.col("p.value.k").alias("k"), F.col("p.rejected.text").alias("text"), F.col("p.rejected.reason").alias("reason")
+    )
+
+
+def json_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of texts of several shapes."""
+    parsed = _damaged(spark, sf_dir).select("event_id", parse_variant("text").alias("v"))
+    fields = {"number": ("$.k", "int"), "text": ("$.k", "string"), "inside": ("$[0].k", "bigint")}
+    return parsed.select("event_id", *[variant_field("v", *at).alias(name) for name, at in fields.items()])
+
+
 def json_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as a map whose entries were given out of order."""
     entries = F.create_map(
@@ -107,6 +137,8 @@ def json_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "json_checked": json_checked,
+    "json_variants": json_variants,
     "json_doubles": json_doubles,
     "json_ints": json_ints,
     "json_ints_truncated": json_ints_truncated,
@@ -118,6 +150,28 @@ QUERIES = {
 }
 
 ORACLES = {
+    "json_checked": """
+        SELECT event_id,
+               CASE WHEN event_id % 11 <> 0 AND event_id % 13 <> 0 AND event_id % 17 <> 0 AND event_id % 19 <> 0
+                    THEN CAST(n AS INTEGER) END AS k,
+               CASE WHEN event_id % 11 = 0 THEN left(props, 4) WHEN event_id % 13 = 0 THEN '[' || props || ']'
+                    WHEN event_id % 17 = 0 THEN replace(props, n, '"n' || n || '"') END AS text,
+               CASE WHEN event_id % 11 = 0 THEN 'no JSON' WHEN event_id % 13 = 0 THEN 'no object'
+                    WHEN event_id % 17 = 0 THEN 'does not fit the schema' END AS reason
+        FROM (SELECT *, regexp_extract(props, '[0-9]+') AS n FROM events)
+    """,
+    "json_variants": """
+        WITH kinds AS (
+            SELECT event_id, regexp_extract(props, '[0-9]+') AS n,
+                   CASE WHEN event_id % 11 = 0 THEN 'cut' WHEN event_id % 13 = 0 THEN 'list' WHEN event_id % 17 = 0 THEN 'text'
+                        WHEN event_id % 19 = 0 THEN 'null' ELSE 'plain' END AS kind
+            FROM events
+        )
+        SELECT event_id, CASE WHEN kind = 'plain' THEN CAST(n AS INTEGER) END AS number,
+               CASE WHEN kind = 'plain' THEN n WHEN kind = 'text' THEN 'n' || n END AS text,
+               CASE WHEN kind = 'list' THEN CAST(n AS BIGINT) END AS inside
+        FROM kinds
+    """,
     "json_doubles": """
         SELECT vec_id, CAST(unnest(range(len(embedding))) AS INTEGER) AS pos,
                unnest(CAST(embedding AS DOUBLE[])) AS x

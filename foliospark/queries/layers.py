@@ -9,7 +9,7 @@ from foliospark.operators import overlay
 from foliospark.queries.inputs import table
 from foliospark.shared_storage import fresh_folder
 from foliospark.sinks import save_layer
-from foliospark.sources import settings_layers
+from foliospark.sources import settings_in_force, settings_layers, settings_tree
 
 
 def customer_layers(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
@@ -66,6 +66,35 @@ def settings_in_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlay(settings_layers(spark, folders), ["scope", "key"])
 
 
+def settings_of_every_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree of settings files (all, region, nation, some customers), and what is in force for each customer."""
+    root = fresh_folder(spark, "settings-tree")
+    nations = table(spark, sf_dir, "nation").withColumnRenamed("n_nationkey", "nation")
+    regions = table(spark, sf_dir, "region").withColumnRenamed("r_regionkey", "region")
+    regions = regions.join(nations.withColumnRenamed("n_regionkey", "region"), "region")
+    customers = table(spark, sf_dir, "customer").withColumnsRenamed({"c_nationkey": "nation", "c_custkey": "customer"})
+    customers = customers.join(regions, "nation")
+
+    def written(rows: DataFrame, steps: list[str], **settings) -> None:
+        value = F.to_json(F.struct(*[v.alias(k) for k, v in settings.items()]), {"ignoreNullFields": "false"})
+        rows = rows.select(*steps, value.alias("value")).distinct()
+        rows.write.mode("append").partitionBy(*steps).text(root)
+
+    everywhere = regions.select(F.lit("standard").alias("tier"))
+    written(everywhere, [], tier=F.col("tier"), contact=F.lit("head office"))
+    written(regions, ["region"], contact=F.col("r_name"))
+    even = regions.where(F.col("n_name").rlike("[02468]$"))
+    written(even, ["region", "nation"], contact=F.col("n_name"), tier=F.lit("national"))
+    owners = customers.where("c_acctbal > 9500")
+    written(owners, ["region", "nation", "customer"], tier=F.lit("gold"), owner=F.col("c_name"))
+    debtors = customers.where("c_acctbal < -900")
+    written(debtors, ["region", "nation", "customer"], tier=F.lit(None).cast("string"))
+    steps = [F.concat(F.lit(f"{step}="), F.col(step)) for step in ("region", "nation", "customer")]
+    asked = customers.select("customer", F.concat_ws("/", *steps).alias("folder"))
+    found = settings_in_force(settings_tree(spark, root, "part-*"), asked)
+    return found.select(F.regexp_extract("folder", r"customer=(\d+)", 1).cast("bigint").alias("c_custkey"), "key", "value", "scope")
+
+
 _CUSTOMER_ORACLE = """
         WITH located AS (
             SELECT * FROM customer JOIN nation ON c_nationkey = n_nationkey
@@ -87,9 +116,28 @@ QUERIES = {
     "overlay": overlay_customers,
     "overlay_unique": overlay_unique,
     "settings_layers": settings_in_files,
+    "settings_tree": settings_of_every_customer,
 }
 
 ORACLES = {
+    "settings_tree": """
+        WITH located AS (
+            SELECT *, 'region=' || n_regionkey AS r, 'region=' || n_regionkey || '/nation=' || n_nationkey AS n,
+                   'region=' || n_regionkey || '/nation=' || n_nationkey || '/customer=' || c_custkey AS c
+            FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+        ), layers AS (
+            SELECT 0 AS depth, c_custkey, '' AS scope, 'tier' AS key, 'standard' AS value FROM located
+            UNION ALL SELECT 0, c_custkey, '', 'contact', 'head office' FROM located
+            UNION ALL SELECT 1, c_custkey, r, 'contact', r_name FROM located
+            UNION ALL SELECT 2, c_custkey, n, 'contact', n_name FROM located WHERE right(n_name, 1) IN ('0', '2', '4', '6', '8')
+            UNION ALL SELECT 2, c_custkey, n, 'tier', 'national' FROM located WHERE right(n_name, 1) IN ('0', '2', '4', '6', '8')
+            UNION ALL SELECT 3, c_custkey, c, 'tier', 'gold' FROM located WHERE c_acctbal > 9500
+            UNION ALL SELECT 3, c_custkey, c, 'owner', c_name FROM located WHERE c_acctbal > 9500
+            UNION ALL SELECT 3, c_custkey, c, 'tier', NULL FROM located WHERE c_acctbal < -900
+        )
+        SELECT c_custkey, key, value, scope FROM layers
+        QUALIFY row_number() OVER (PARTITION BY c_custkey, key ORDER BY depth DESC) = 1
+    """,
     "overlay": _CUSTOMER_ORACLE,
     "overlay_unique": _CUSTOMER_ORACLE,
     "settings_layers": """

@@ -36,6 +36,14 @@ def publish_fixed_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(folder)
 
 
+def publish_fixed_from_itself(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report replaced by what is computed from the report that is there."""
+    archive = fresh_folder(spark, "archive")
+    folder = publish_fixed(table(spark, sf_dir, "customer"), archive, overwrite=True)
+    rest = spark.read.parquet(folder).where("c_acctbal >= 0").withColumn("c_acctbal", F.col("c_acctbal") * 2)
+    return spark.read.parquet(publish_fixed(rest, archive, overwrite=True))
+
+
 def child_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report of every event, read back from the archive."""
     archive = fresh_folder(spark, "archive")
@@ -70,12 +78,17 @@ QUERIES = {
     "publish_run": publish_run_query,
     "publish_fixed_append": publish_fixed_append,
     "publish_fixed_overwrite": publish_fixed_overwrite,
+    "publish_fixed_from_itself": publish_fixed_from_itself,
     "child_reports": child_reports,
     "child_reports_partitions": child_reports_partitions,
     "child_report": child_report_query,
 }
 
 ORACLES = {
+    "publish_fixed_from_itself": """
+        SELECT c_custkey, c_name, c_nationkey, c_acctbal * 2 AS c_acctbal, c_mktsegment
+        FROM customer WHERE c_acctbal >= 0
+    """,
     "publish_run": "SELECT * FROM orders",
     "publish_fixed_append": "SELECT o_orderkey, o_orderstatus, o_orderdate FROM orders",
     "publish_fixed_overwrite": "SELECT * FROM customer WHERE c_acctbal < 0",

@@ -9,6 +9,8 @@ from urllib.parse import urlsplit
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliospark.shared_storage import delete_folder, replace_folder, restore_folder
+
 # The folder of run archives, a host that stands for none, and the
 # schemes whose addresses are complete without a host.
 _ARCHIVES = "reports"
@@ -80,10 +82,24 @@ def publish_fixed(
 ) -> str:
     """Write the report straight into its destination and return that folder.
 
-    ``overwrite`` deletes what is there first; otherwise the rows are added.
+    ``overwrite`` replaces what is there; otherwise the rows are added. The new rows are written
+    beside the folder and take its place when they are whole, so a write that fails or is lost
+    leaves the old ones, and ``df`` may read them. Of two replacements at a time the last one stays.
+    What a process lost in the very moment of the change has left aside is put back first.
     """
     folder = destination(archive, base, name, run_id)
-    df.write.mode("overwrite" if overwrite else "append").parquet(folder)
+    spark = df.sparkSession
+    restore_folder(spark, folder)
+    if not overwrite:
+        df.write.mode("append").parquet(folder)
+        return folder
+    new = f"{folder.rstrip('/')}.new-{uuid.uuid4().hex}"
+    try:
+        df.write.parquet(new)
+        replace_folder(spark, new, folder)
+    except BaseException:
+        delete_folder(spark, new)
+        raise
     return folder
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.shared_storage import has_folder, literal_path, path_exists
+from foliospark.shared_storage import Claim, has_folder, literal_path, path_exists
 
 
 def register_view(df: DataFrame, name: str) -> None:
@@ -25,7 +26,11 @@ def save_table(
 
 
 def materialize(
-    spark: SparkSession, path: str, builder: Callable[[SparkSession], DataFrame]
+    spark: SparkSession,
+    path: str,
+    builder: Callable[[SparkSession], DataFrame],
+    lease: float = 60,
+    wait: float = 1,
 ) -> DataFrame:
     """The table at ``path``; ``builder`` computes it only if it is not there yet.
 
@@ -33,10 +38,23 @@ def materialize(
     job left behind (it has a ``_temporary`` folder) is replaced; anything else at ``path``
     is somebody's data, and an error. A different builder does not replace a table that
     is there.
+
+    Of several sessions that ask for it at a time one builds and the others wait, looking again
+    every ``wait`` seconds. The builder holds a claim, the file ``<path>.claim``, which it renews. If it
+    fails, the next one builds; if it is lost, one of those that wait takes over ``lease`` seconds later.
     """
-    if not path_exists(spark, f"{path.rstrip('/')}/_SUCCESS"):
-        lost = path_exists(spark, f"{path.rstrip('/')}/_temporary")
-        if has_folder(spark, path) and not lost:
-            raise FileExistsError(f"{path} holds data that no finished write left there")
-        builder(spark).write.mode("overwrite").parquet(path)
+    folder = path.rstrip("/")
+    claim = Claim(spark, f"{folder}.claim", lease)
+    while not path_exists(spark, f"{folder}/_SUCCESS"):
+        if not claim.take():
+            time.sleep(wait)
+            continue
+        try:
+            if path_exists(spark, f"{folder}/_SUCCESS"):
+                break  # the one before was just done
+            if has_folder(spark, path) and not path_exists(spark, f"{folder}/_temporary"):
+                raise FileExistsError(f"{path} holds data that no finished write left there")
+            builder(spark).write.mode("overwrite").parquet(path)
+        finally:
+            claim.release()
     return spark.read.parquet(literal_path(path))

@@ -1,6 +1,6 @@
 """Where frames come from."""
 
-from foliospark.sources.settings import folder_levels, settings_layers
+from foliospark.sources.settings import folder_levels, settings_in_force, settings_layers, settings_tree
 from foliospark.sources.tables import (
     guid_source,
     slot_source,
@@ -11,7 +11,9 @@ from foliospark.sources.tables import (
 __all__ = [
     "folder_levels",
     "guid_source",
+    "settings_in_force",
     "settings_layers",
+    "settings_tree",
     "slot_source",
     "typed_rows",
     "warehouse_table",
