@@ -10,8 +10,10 @@ winning path is taken; a page without that path gives its own best container.
 
 from __future__ import annotations
 
+import hashlib
 import html as html_entities
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -58,6 +60,9 @@ AWAY = frozenset(
 )
 #: Words that speak for a container.
 TOWARDS = frozenset("article content entry post story text body main".split())
+#: Characters of the longest path that is kept as it is.
+LONGEST_PATH = 512
+_OPENS_TO_THE_END = re.compile(r"<!--|<!\[CDATA\[")
 _P = frozenset({"p"})
 _HOLDS = CONTAINERS | {"ul", "ol", "table", "dl"}
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE) for tag in RAW}
@@ -104,6 +109,39 @@ def _is_away(tag: str, own: dict[str, str], inside_article: bool) -> bool:
     return bool(names & AWAY) and tag not in ("main", "article") or bool(names & {"comment", "comments", "reply", "teaser", "related"})
 
 
+def path_of(parent: str, step: str) -> str:
+    """The path of a container; where it gets long, a digest stands for it, so that no path is."""
+    path = f"{parent}>{step}"
+    if len(path) > LONGEST_PATH:
+        path = "#" + hashlib.blake2b(path.encode("utf-8", "replace"), digest_size=16).hexdigest()
+    return path
+
+
+class Matching:
+    """The end tags of one name, found in one pass over the page."""
+
+    def __init__(self, page: str, tag: str):
+        self.page = page
+        self.starts, self.ends, self.level = [], [], [0]
+        self.closing: dict[int, list[int]] = defaultdict(list)  # tags that end a level, by the level after them
+        for i, m in enumerate(_same_tag(tag).finditer(page)):
+            self.starts.append(m.start())
+            self.ends.append(m.end())
+            self.level.append(self.level[-1] + (-1 if m[1] else 1))
+            if m[1]:
+                self.closing[self.level[-1]].append(i)
+
+    def past(self, start: int) -> int | None:
+        """Behind the end tag that closes an element begun before ``start``, if there is one."""
+        first = bisect_left(self.starts, start)
+        candidates = self.closing.get(self.level[first] - 1, [])
+        at = bisect_left(candidates, first)
+        if at == len(candidates):
+            return None
+        done = self.page.find(">", self.ends[candidates[at]])
+        return len(self.page) if done < 0 else done + 1
+
+
 def parse(page: str) -> tuple[list[Block], list[Node]]:
     """The blocks of text outside of what is put away, in page order, and the containers they stand in."""
     nodes = [Node("", -1, 1.0)]
@@ -111,6 +149,9 @@ def parse(page: str) -> tuple[list[Block], list[Node]]:
     stack: list[tuple[str, int, bool]] = []  # tag, container, in an article
     node, inside, links = 0, False, 0
     block: Block | None = None
+    open_at: dict[str, list[int]] = defaultdict(list)  # where in the stack the elements of a name are
+    open_blocks: list[str] = []
+    pairs: dict[str, Matching] = {}
 
     def text(value: str) -> None:
         nonlocal block
@@ -119,7 +160,7 @@ def parse(page: str) -> tuple[list[Block], list[Node]]:
         if block is None:
             if value.isspace():
                 return
-            block = Block(next((t for t, _, _ in reversed(stack) if t in BLOCKS), ""), node)
+            block = Block(open_blocks[-1] if open_blocks else "", node)
             blocks.append(block)
         value = html_entities.unescape(value) if "&" in value else value
         block.parts.append(value)
@@ -129,25 +170,26 @@ def parse(page: str) -> tuple[list[Block], list[Node]]:
     def pop_to(depth: int) -> None:
         nonlocal node, inside, block, links
         for tag, _, _ in stack[depth:]:
+            open_at[tag].pop()
             if tag in BLOCKS:
                 block = None
+                open_blocks.pop()
             elif tag == "a":
                 links -= 1
         del stack[depth:]
         node, inside = stack[-1][1:] if stack else (0, False)
 
-    def past(tag: str, start: int) -> int | None:
-        """Behind the end tag that closes an element begun before ``start``, if there is one."""
-        depth = 1
-        for m in _same_tag(tag).finditer(page, start):
-            depth += -1 if m[1] else 1
-            if not depth:
-                done = page.find(">", m.end())
-                return end if done < 0 else done + 1
-        return None
-
-    at, end = 0, len(page)
+    def innermost(tags) -> int:
+        return max((open_at[t][-1] for t in tags if open_at.get(t)), default=-1)
+
+    at, end, last_tag = 0, len(page), page.rfind(">")
     while at < end:
+        if at > last_tag:  # no tag ends any more
+            rest = _OPENS_TO_THE_END.search(page, at)
+            text(page[at : rest.start() if rest else end])
+            if rest and rest[0] != "<!--":
+                text(page[rest.end() :].removesuffix("]]>"))
+            break
         match = _TOKEN.search(page, at)
         if match is None:
             text(page[at:])
@@ -160,12 +202,9 @@ def parse(page: str) -> tuple[list[Block], list[Node]]:
                 text(match[0][9:].removesuffix("]]>"))
             continue
         if match["close"] or match["close2"]:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == tag:
-                    pop_to(depth)
-                    break
-                if stack[depth][0] in ("article", "body", "td") and tag not in BLOCKS:
-                    break
+            depth = innermost((tag,))
+            if depth >= 0 and (tag in BLOCKS or depth >= innermost(("article", "body", "td"))):
+                pop_to(depth)
             continue
         if tag in RAW:
             close = _RAW_END[tag].search(page, at)
@@ -185,18 +224,16 @@ def parse(page: str) -> tuple[list[Block], list[Node]]:
         if is_block:
             block = None
             closed = SELF_CLOSING.get(tag, _P)
-            for depth in range(len(stack) - 1, -1, -1):
-                above = stack[depth][0]
-                if above in closed or above == "p":
-                    pop_to(depth)
-                    if tag != "tr":
-                        break
-                elif above in _HOLDS:
+            while (depth := max(innermost(closed), innermost(_P))) >= max(0, innermost(_HOLDS)):
+                pop_to(depth)
+                if tag != "tr":
                     break
         rest = match["rest"] if match["tag"] else match["rest2"]
         own = _attributes(rest)
         if _is_away(tag, own, inside):
-            after = past(tag, at)
+            if tag not in pairs:
+                pairs[tag] = Matching(page, tag)
+            after = pairs[tag].past(at)
             # an element that is never closed ends with its start tag, as far as its text goes
             at = at if after is None else after
             continue
@@ -206,13 +243,16 @@ def parse(page: str) -> tuple[list[Block], list[Node]]:
             bonus = 3.0 if tag in ("article", "main") or own.get("itemprop") == "articleBody" else 1.0
             if bonus == 1.0 and own and _words(named + " " + own.get("id", "")) & TOWARDS:
                 bonus = 1.5
-            nodes.append(Node(f"{nodes[node].path}>{tag}{names}", node, bonus))
+            nodes.append(Node(path_of(nodes[node].path, tag + names), node, bonus))
             node = len(nodes) - 1
             inside = inside or tag in ("article", "main")
         if rest.endswith("/") and not is_block and tag != "a":
             continue
         if tag == "a":
             links += 1
+        open_at[tag].append(len(stack))
+        if is_block:
+            open_blocks.append(tag)
         stack.append((tag, node, inside))
     for b in blocks:
         b.text = " ".join("".join(b.parts).split())
@@ -220,15 +260,16 @@ def parse(page: str) -> tuple[list[Block], list[Node]]:
 
 
 def scores(blocks: list[Block], nodes: list[Node]) -> dict[str, float]:
-    """How much of the text each path holds, nearer containers first."""
-    found: dict[str, float] = defaultdict(float)
+    """How much of the text each path holds: of a container's score half counts for the one around it."""
+    held = [0.0] * len(nodes)
     for block in blocks:
-        size = len(block.text) - 2 * block.link_chars
-        share, node = 1.0, block.node
-        while node >= 0:
-            if size > 0:
-                found[nodes[node].path] += share * size * nodes[node].bonus
-            share, node = share / 2, nodes[node].parent
+        held[block.node] += max(0, len(block.text) - 2 * block.link_chars)
+    found: dict[str, float] = defaultdict(float)
+    for i in range(len(nodes) - 1, -1, -1):  # a container comes after the one around it
+        if held[i] > 0:
+            found[nodes[i].path] += held[i] * nodes[i].bonus
+            if nodes[i].parent >= 0:
+                held[nodes[i].parent] += held[i] / 2
     return found
 
 

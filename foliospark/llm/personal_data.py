@@ -14,7 +14,8 @@ from __future__ import annotations
 import re
 import string
 from collections import Counter
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 from itertools import groupby
 
 import numpy as np
@@ -116,15 +117,31 @@ def other_candidates(text: str, taken: list[Span]) -> list[Span]:
     found += [("ssn", *m.span()) for m in _SSN.finditer(text)]
     found += [("iban", *m.span()) for m in _IBAN.finditer(text)]
     free: list[Span] = []
-    order = {"iban": 0, "ssn": 1, "secret": 2}
-    used = sorted((a, b) for _, a, b in taken)
-    for span in sorted(found, key=lambda s: (order[s[0]], s[1])):
-        if not any(a < span[2] and span[1] < b for a, b in used):
-            used.append(span[1:])
-            free.append(span)
+    used = _united((a, b) for _, a, b in taken)
+    for kind in ("iban", "ssn", "secret"):
+        starts = [a for a, _ in used]
+        new = []
+        for span in found:
+            if span[0] == kind:
+                before = bisect_left(starts, span[2]) - 1
+                if before < 0 or used[before][1] <= span[1]:
+                    new.append(span)
+        free += new
+        used = _united([*used, *((a, b) for _, a, b in new)])
     return sorted(free, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 
+def _united(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans in order, those that overlap as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def votes(text: str, span: Span) -> str:
     """The labelers' votes (``y``, ``n``, ``-``), then a class of the length and of the sign after the span."""
     kind, start, end = span

@@ -1,9 +1,11 @@
 import html
+import random
 import re
+import time
 
 from cases import SF_DIR, given
 
-from foliospark.llm.main_text import extract, main_texts, parse
+from foliospark.llm.main_text import LONGEST_PATH, Matching, best_path, extract, main_texts, parse, scores, text_at
 from foliospark.llm.queries import QUERIES
 
 
@@ -39,6 +41,38 @@ def test_broken_pages():
     parse("<p " + "\"'" * 100_000)
 
 
+def test_long_and_broken_pages_take_no_quadratic_time():
+    n = 1 << 20
+    pages = {
+        "menus never closed": "<nav>x" * (n // 6), "nested": "<div>x" * (n // 6), "stray end tags": "<div>" * (n // 11) + "</b>" * (n // 11),
+        "inline around items": "<b><li></li>" * (n // 12), "end tags behind a barrier": "<b><article>" + "<i>" * (n // 7) + "</b>" * (n // 7),
+        "tags without end": "<a " * (n // 3), "nested with classes": "<div class='abc'>x" * (n // 18), "rules": "<b><hr>x" * (n // 8),
+        "closed": "<div><p>x" * (n // 20) + "</div>" * (n // 20),
+    }
+    for name, page in pages.items():
+        start = time.process_time()
+        blocks, nodes = parse(page)
+        found = scores(blocks, nodes)
+        text_at(blocks, nodes, best_path(found) or "")
+        assert time.process_time() - start < 10, name
+        assert sum(map(len, found)) <= (LONGEST_PATH + 1) * len(found)
+
+
+def test_end_tags_are_matched_as_by_counting():
+    chance = random.Random(4)
+    for _ in range(300):
+        page = "".join(chance.choice(["<nav>", "</nav>", "<nav a='<nav>'>", "</NAV", "x", "<p>", ">"]) for _ in range(30))
+        pairs = Matching(page, "nav")
+        for m in re.finditer("<nav[^>]*>", page):
+            depth, want = 1, None
+            for t in re.compile(r"<(/?)nav(?=[\s/>])", re.I).finditer(page, m.end()):
+                depth += -1 if t[1] else 1
+                if not depth:
+                    want = page.find(">", t.end()) + 1 or len(page)
+                    break
+            assert pairs.past(m.end()) == want
+
+
 def test_hosts_agree_on_a_path(spark):
     """One page's own best container is not its article; its host's other pages put it right."""
     usual = "<body><div class='page-{0}'><p>{1}</p></div><div class='links'><p>{2}</p></div></body>"

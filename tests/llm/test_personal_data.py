@@ -1,10 +1,11 @@
 import hashlib
 import random
 import re
+import time
 
 from cases import SF_DIR, awkward, empty, given
 
-from foliospark.llm.personal_data import base_spans, personal_data, reliabilities
+from foliospark.llm.personal_data import base_spans, other_candidates, personal_data, reliabilities
 from foliospark.llm.queries import QUERIES
 
 PATTERNS = {
@@ -53,6 +54,28 @@ def test_long_runs_take_no_quadratic_time():
         base_spans(text)
 
 
+def test_other_kinds_equal_brute_force_in_linear_time():
+    chance = random.Random(6)
+    pieces = ["123-45-6789", "DE89370400440532013000", "a" * 19 + "7", "0123456789abcdef" * 2, "x@y.zz", " ", "-", "9", "GB00", "=", "/"]
+    patterns = {"iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])", "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+                "secret": r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{20,}"}
+    for _ in range(2000):
+        text = "".join(chance.choice(pieces) for _ in range(chance.randint(1, 12)))
+        taken = base_spans(text)
+        used, want = [s[1:] for s in taken], []
+        for kind, pattern in patterns.items():
+            for m in re.finditer(pattern, text):
+                mixed = re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])
+                if (kind != "secret" or mixed) and all(b <= m.start() or m.end() <= a for a, b in used):
+                    used.append(m.span())
+                    want.append((kind, *m.span()))
+        assert sorted(other_candidates(text, taken)) == sorted(want), text
+    for text in ("123-45-6789 " * 80_000, ("a.b@c.de token=" + "0123456789abcdef" * 2 + " ") * 20_000):
+        start = time.process_time()
+        assert len(other_candidates(text, base_spans(text))) >= 20_000
+        assert time.process_time() - start < 10
+
+
 def test_reliabilities_follow_agreement():
     # the first two labelers agree, the third votes by chance
     patterns = {"yyn---mp": 45, "yyy---mp": 45, "nnn---mp": 45, "nny---mp": 45, "yny---mp": 5, "nyn---mp": 5}
