@@ -103,7 +103,7 @@ def pairs_above(x: np.ndarray, q: np.ndarray, thresholds: np.ndarray) -> tuple[n
     positive = thresholds > 0
     reach = np.where(positive[:, None], rest_q / np.where(positive, thresholds, 1)[:, None], np.inf).max(axis=0)
     reach[-1] = 0  # nothing follows the last step
-    with np.errstate(invalid="ignore"):
+    with np.errstate(invalid="ignore", over="ignore"):
         covered = np.nan_to_num(rest_x * reach, nan=np.inf) * (1 + 1e-9) < 1
     covered[:, -1] = True
     indexed = covered.argmax(axis=1)  # the steps of a row that are in the index
