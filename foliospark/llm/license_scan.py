@@ -10,13 +10,14 @@ windows with a similarity of 0.8 meet in a band with a probability over 0.9999.
 window's minima are all those of its one shingle, so it has one band.
 
 A window that meets a template is verified: the share of the template's shingles that stand in
-the text around it has to reach the threshold. The templates are a list of fixed size,
+the text around it has to reach the threshold. Where two templates rest on the same words, the
+one that is contained more is reported. The templates are a list of fixed size,
 so their bands are broadcast. Only column expressions are used.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliospark.llm.texts import only
@@ -78,6 +79,38 @@ TEMPLATES = (
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
+    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
+    ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
+    (
+        "BSD-3-Clause",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+        "products derived from this software without specific prior written permission.",
+    ),
+    ("Apache-2.0", "Released under the Apache License, Version 2.0."),
+    ("GPL-2.0", "Released under the GNU General Public License, version 2."),
+    ("GPL-3.0", "Released under the GNU General Public License, version 3."),
+    ("LGPL-2.1", "Licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-2.1", "Released under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", "Released under the GNU Lesser General Public License, version 3."),
+    ("GPL-3.0", "The GNU General Public License is a free, copyleft license for software and other kinds of works."),
+    (
+        "AGPL-3.0",
+        "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, "
+        "specifically designed to ensure cooperation with the community in the case of network server software.",
+    ),
+    (
+        "Zlib",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held "
+        "liable for any damages arising from the use of this software.",
+    ),
 )
 
 
@@ -133,8 +166,9 @@ def license_notices(
     in the text within a template's length of a window that met it. Returns a row per document
     and template: ``key`` (names the document, by its text if it has no id), ``id``,
     ``license``, ``template`` (number in ``templates``), ``contained`` (share of the
-    shingles), ``first_word`` (where the window starts; the first of the best). Where two
-    templates meet in one place, the one that is contained less is left out. Templates of less than five words are
+    shingles), ``first_word`` (where the window starts; the first of the best). A place of a
+    template is left out if at least half of its shingles there are shingles of one that is
+    contained more; its other places stay, and so do notices side by side. Templates of less than five words are
     not searched. Null and empty texts have no notices. Rows that repeat an id give one row.
     """
     spark = df.sparkSession
@@ -150,21 +184,19 @@ def license_notices(
     near = met.join(F.broadcast(known), "template")
     before = F.greatest(F.col("start") - F.col("n_words"), F.lit(0))
     around = F.slice(F.col("words"), before + 1, 2 * F.col("n_words") + F.lit(2 * WIDE + WIDTH))
-    near = near.select("id", "digest", "license", "template", "start", "shingles", around.alias("around")).distinct()
-    found = F.size(F.array_intersect(F.col("shingles"), shingles_of(F.col("around"))))
-    share = found / F.size("shingles")
-    good = near.where(100 * found >= percent * F.size("shingles")).select("id", "digest", "license", "template", "start", share.alias("contained"))
-    best = good.groupBy("id", "digest", "license", "template").agg(F.max(F.struct(F.col("contained"), (-F.col("start")).alias("back"))).alias("best"))
-    # one list entry a template at most
-    entry = F.struct("license", "template", F.col("best.contained").alias("contained"), (-F.col("best.back")).alias("first_word"))
-    lists = best.groupBy("id", "digest").agg(F.collect_list(entry).alias("all"))
-
-    def beaten(x: Column) -> Column:
-        def beats(y: Column) -> Column:
-            return (y["contained"] > x["contained"]) & (F.abs(y["first_word"] - x["first_word"]) <= 2 * WIDE)
-
-        return F.exists("all", beats)
-
-    left = F.filter("all", lambda x: ~beaten(x))
+    near = near.select("id", "digest", "license", "template", "start", "shingles", before.alias("before"), around.alias("around"))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("around") - WIDTH, F.lit(0)))
+    near = near.where(F.size("around") >= WIDTH).withColumn("here", F.transform(starts, lambda i: _shingle(F.col("around"), i)))
+    share = F.size(F.array_intersect("shingles", "here")) / F.size("shingles")
+    stands = F.transform("here", lambda s, i: F.when(F.array_contains("shingles", s), F.col("before") + i))
+    found = near.select("id", "digest", "license", "template", "start", share.alias("contained"), F.array_compact(stands).alias("hits"))
+    good = found.where(F.round(F.col("contained") * 1_000_000) >= percent * 10_000).distinct()
     key = F.coalesce(F.concat(F.lit("id:"), F.col("id").cast("string")), F.concat(F.lit("text:"), F.col("digest")))
-    return lists.select(key.alias("key"), "id", F.inline(left))
+    good = good.select(key.alias("key"), "id", "license", "template", "start", "contained", F.explode("hits").alias("hit"))
+    # the most contained template on each shingle of a text
+    top = F.max("contained").over(Window.partitionBy("key", "hit"))
+    places = good.withColumn("beaten", (top > F.col("contained")).cast("int")).groupBy("key", "id", "license", "template", "start", "contained")
+    left = places.agg(F.sum("beaten").alias("beaten"), F.count("*").alias("hits")).where("2 * beaten < hits")
+    best = F.max(F.struct("contained", (-F.col("start")).alias("back"))).alias("best")
+    out = left.groupBy("key", "id", "license", "template").agg(best)
+    return out.select("key", "id", "license", "template", F.col("best.contained").alias("contained"), (-F.col("best.back")).alias("first_word"))

@@ -17,21 +17,53 @@ def shingles(words):
     return {tuple(words[i : i + WIDTH]) for i in range(len(words) - WIDTH + 1)}
 
 
+def licenses_of(text):
+    """Brute force: hits of each template, split into places where they are far apart; a place counts
+    unless half of its hits are those of a template that is contained more."""
+    words, places = plain_words(text), []
+    at = [tuple(words[i : i + WIDTH]) for i in range(len(words) - WIDTH + 1)]
+    for number, (name, template) in enumerate(TEMPLATES):
+        own, n = shingles(plain_words(template)), len(plain_words(template))
+        hits = [i for i, s in enumerate(at) if s in own]
+        while hits:
+            here = [i for k, i in enumerate(hits) if all(b - a <= n for a, b in zip(hits[:k], hits[1 : k + 1]))]
+            hits = hits[len(here) :]
+            share = len({at[i] for i in here}) / len(own)
+            if share >= 0.8:
+                places.append((name, number, share, here))
+    found = set()
+    for name, number, share, here in places:
+        beaten = {i for _, _, more, there in places if more > share for i in there}
+        if 2 * len(beaten & set(here)) < len(here):
+            found.add((name, number))
+    return found
+
+
 def test_license_query_finds_what_brute_force_finds(spark):
     got = {(r["doc_id"], r["license"]) for r in QUERIES["op2_license_scan"](spark, SF_DIR).collect()}
-    want = set()
-    for doc_id, text in given("documents", "doc_id, text"):
-        words = plain_words(text)
-        best = {}
-        for name, template in TEMPLATES:
-            own = shingles(plain_words(template))
-            share = max((len(own & shingles(words[i : i + 40])) / len(own) for i in range(0, len(words), 10)), default=0)
-            if own and share >= 0.8:
-                best[name] = max(share, best.get(name, 0))
-        want |= {(doc_id, name) for name, share in best.items() if share == max(best.values())}
+    want = {(i, name) for i, text in given("documents", "doc_id, text") for name, _ in licenses_of(text)}
     assert got == want and want
 
 
+def test_notices_side_by_side(spark):
+    texts = [
+        "The work is licensed under the GNU General Public License, version 3. Released under the MIT License.",
+        "Licensed under CC BY-NC-SA 4.0.",
+        "Released under the BSD 3-Clause License, or licensed under the GNU Lesser General Public License, version 3, as you like.",
+        "This project is licensed under the MIT License. " * 50 + "Licensed under the MIT License.",
+        # the second place of a template stands, the first is the longer notice's
+        "This project is licensed under the MIT License. " + LONG[:2000] + " All of it is licensed under the MIT License.",
+        "This work is licensed under the GNU General Public License, version 2. "
+        "This work was licensed under the GNU General Public License, version 3.",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {(r["id"], r["license"], r["template"]) for r in license_notices(df).collect()}
+    assert got == {(i, *x) for i, text in enumerate(texts) for x in licenses_of(text)}
+    names = {i: {name for j, name, _ in got if j == i} for i in range(len(texts))}
+    assert names[0] == {"GPL-3.0", "MIT"} and names[1] == {"CC-BY-NC-SA-4.0"} and names[2] == {"BSD-3-Clause", "LGPL-3.0"}
+    assert {t for i, _, t in got if i == 3} >= {2} and {t for i, _, t in got if i == 4} >= {1, 2}
+
+
 def test_licenses_in_changed_and_long_texts(spark):
     mit, apache = TEMPLATES[3][1], TEMPLATES[5][1]
     changed = mit.replace("free of charge", "free of any charge")
