@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from foliospark.operators import overlay
 from foliospark.queries.inputs import table
 from foliospark.shared_storage import fresh_folder
-from foliospark.sinks import save_layer
-from foliospark.sources import settings_in_force, settings_layers, settings_tree
+from foliospark.sinks import apply_layer, save_layer, save_overlay, save_table, saved_overlay
+from foliospark.sources import settings_in_force, settings_layers, settings_tree, warehouse_table
 
 
 def customer_layers(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
@@ -44,6 +44,26 @@ def overlay_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlay(customer_layers(spark, sf_dir), ["c_custkey"], unique=True)
 
 
+def overlay_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same layers, saved in buckets of the customers: overlaying them shuffles nothing."""
+    saved = []
+    for depth, layer in enumerate(customer_layers(spark, sf_dir)):
+        name = f"folio_layer_{depth}"
+        save_table(layer, name, fresh_folder(spark, "layer"), "overwrite", ["c_custkey"], 16)
+        saved.append(warehouse_table(spark, name))
+    return overlay(saved, ["c_custkey"], unique=True, not_null=True)
+
+
+def overlay_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outermost layer is saved, the deeper ones are laid over it where it is."""
+    path = fresh_folder(spark, "overlay")
+    first, *deeper = customer_layers(spark, sf_dir)
+    save_overlay(first, path, ["c_custkey"], 16)
+    for layer in deeper:
+        apply_layer(layer, path, ["c_custkey"])
+    return saved_overlay(spark, path)
+
+
 def settings_in_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three layers of settings per nation, written, read back and resolved.
 
@@ -115,6 +135,8 @@ _CUSTOMER_ORACLE = """
 QUERIES = {
     "overlay": overlay_customers,
     "overlay_unique": overlay_unique,
+    "overlay_bucketed": overlay_bucketed,
+    "overlay_applied": overlay_applied,
     "settings_layers": settings_in_files,
     "settings_tree": settings_of_every_customer,
 }
@@ -140,6 +162,8 @@ ORACLES = {
     """,
     "overlay": _CUSTOMER_ORACLE,
     "overlay_unique": _CUSTOMER_ORACLE,
+    "overlay_bucketed": _CUSTOMER_ORACLE,
+    "overlay_applied": _CUSTOMER_ORACLE,
     "settings_layers": """
         WITH layers AS (
             SELECT 0 AS depth, 'nations/' || c_nationkey AS scope, c_name AS key,

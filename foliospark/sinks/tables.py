@@ -6,6 +6,7 @@ import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from foliospark.shared_storage import Claim, has_folder, literal_path, path_exists
 
@@ -16,10 +17,26 @@ def register_view(df: DataFrame, name: str) -> None:
 
 
 def save_table(
-    df: DataFrame, name: str, path: str | None = None, mode: str = "errorifexists"
+    df: DataFrame,
+    name: str,
+    path: str | None = None,
+    mode: str = "errorifexists",
+    bucket_by: list[str] | None = None,
+    buckets: int = 200,
 ) -> None:
-    """Write ``df`` as the Parquet warehouse table ``name``, its files below ``path``."""
+    """Write ``df`` as the Parquet warehouse table ``name``, its files below ``path``.
+
+    ``bucket_by`` deals the rows out to ``buckets`` files by a hash of these columns and sorts them in each.
+    Tables with the same buckets are joined, grouped and overlaid (``overlay(unique=True, not_null=True)``)
+    by these columns without a shuffle. The write shuffles once; choose ``buckets`` so that a file fits
+    a task's memory, as all rows of a key are in one of them.
+    """
+    if bucket_by:
+        # a task holds one bucket, so that each has one file and not one per task
+        df = df.repartition(buckets, *[F.col(f"`{column}`") for column in bucket_by])
     writer = df.write.format("parquet").mode(mode)
+    if bucket_by:
+        writer = writer.bucketBy(buckets, *bucket_by).sortBy(*bucket_by)
     if path is not None:
         writer = writer.option("path", path)
     writer.saveAsTable(name)
