@@ -10,6 +10,7 @@ from foliospark.operators.fanout import (
     report_index,
     slot_count,
     spread,
+    spread_by_weight,
 )
 from foliospark.operators.overlay import overlay
 from foliospark.operators.preview import preview, render_markdown
@@ -30,4 +31,5 @@ __all__ = [
     "report_index",
     "slot_count",
     "spread",
+    "spread_by_weight",
 ]

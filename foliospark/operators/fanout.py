@@ -10,6 +10,7 @@ import hashlib
 import itertools
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from foliospark.operators.overlay import _free_name
 from foliospark.sources.tables import slot_source
 
 # The word an index line starts with, and the forms a child report
@@ -76,6 +78,58 @@ def spread(df: DataFrame, n: int | None = None, cache: bool = False) -> DataFram
     return spread_out.persist() if cache else spread_out
 
 
+def spread_by_weight(df: DataFrame, weight: Column | str, n: int | None = None) -> DataFrame:
+    """The rows dealt out over ``n`` partitions of the same weight.
+
+    ``spread`` evens the number of rows; where some take a function much longer than others (long texts,
+    large orders), give what they cost as ``weight``. No partition is heavier than 1.01 times the mean
+    and one row. That one hundredth is shared by all rows alike, so that rows without a weight are
+    dealt out as well; NULL, NaN, infinite and negative weights are none. Neighbours stay together.
+
+    Two passes: the first, a job of its own, reads the weights and sums them by task, a number each; the second
+    knows from these sums how much lies before each row, and sends it to its partition: one shuffle. Rows
+    that come to tasks in another way in the second pass, as after a shuffle that adaptive execution plans anew, are all
+    dealt out too, but less evenly.
+    """
+    n = slot_count(df.sparkSession) if n is None else n
+    given = (F.col(weight) if isinstance(weight, str) else weight).cast("double")
+    usable = F.when((given > 0) & (given < float("inf")), given).otherwise(0.0)
+    schema = df.schema
+    name, slot = _free_name("_weight", df.columns), _free_name("_slot", df.columns)
+    weighed = df.withColumn(name, usable)
+
+    def summed(batches):
+        rows, total = 0, 0.0
+        for batch in batches:
+            rows += batch.num_rows
+            total += float(np.sum(batch.column(0).to_numpy()))
+        names = ["task", "rows", "total"]
+        task = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_arrays([pa.array([task]), pa.array([rows]), pa.array([total])], names=names)
+
+    sums = weighed.select(name).mapInArrow(summed, "task bigint, rows bigint, total double")
+    sums = sorted(map(tuple, sums.collect()))  # one row a task
+    all_rows, total = sum(rows for _, rows, _ in sums), sum(weights for _, _, weights in sums)
+    share = (0.01 * total or 1.0) / max(all_rows, 1)
+    ends = list(itertools.accumulate((weights + share * rows for _, rows, weights in sums), initial=0.0))
+    before, quota = {task: end for (task, _, _), end in zip(sums, ends)}, ends[-1] / n
+
+    def dealt(batches):
+        at = before.get(TaskContext.get().partitionId(), 0.0)
+        for batch in batches:
+            weights = batch.column(batch.num_columns - 1).to_numpy() + share
+            passed = at + np.cumsum(weights)
+            slots = np.clip((passed - weights / 2) // quota, 0, n - 1).astype(np.int32)
+            if batch.num_rows:
+                at = passed[-1]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(slots)], names=[*batch.schema.names[:-1], slot])
+
+    if not all_rows:
+        return spread(df, n)
+    rows = weighed.mapInArrow(dealt, T.StructType([*schema.fields, T.StructField(slot, T.IntegerType())]))
+    return rows.repartitionById(n, F.col(slot)).drop(slot)
+
+
 def map_isolated(
     df: DataFrame,
     fn: ReportingRowFunction,

@@ -20,6 +20,7 @@ from foliospark.operators import (
     report_index,
     slot_count,
     spread,
+    spread_by_weight,
 )
 from foliospark.queries.inputs import table
 
@@ -30,6 +31,18 @@ def spread_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "orders"))
 
 
+def spread_documents_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents over 16 partitions, none of which has many more characters than the mean."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    slots = spread_by_weight(documents, "n_chars", 16).groupBy(F.spark_partition_id().alias("slot"))
+    shares = slots.agg(F.count("*").alias("rows"), F.sum("n_chars").alias("chars"), F.max("n_chars").alias("longest"))
+    return shares.agg(
+        F.sum("rows").alias("n_docs"),
+        F.sum("chars").alias("n_chars"),
+        (F.max("chars") <= F.sum("chars") / 16 * 1.1 + F.max("longest")).alias("even"),
+    )
+
+
 def checked_events(spark: SparkSession, sf_dir: str, run_id: str) -> DataFrame:
     """Every event through a function that refuses error events."""
 
@@ -277,6 +290,7 @@ QUERIES = {
     "map_groups_tagged": running_balance_query,
     "map_groups_pieces": hot_groups_in_pieces,
     "spread": spread_orders,
+    "spread_by_weight": spread_documents_by_length,
     "map_isolated": map_isolated_query,
     "map_isolated_bad_values": map_isolated_bad_values,
     "map_isolated_long_errors": map_isolated_long_errors,
@@ -309,6 +323,7 @@ ORACLES = {
         FROM lineitem GROUP BY l_returnflag
     """,
     "spread": "SELECT * FROM orders",
+    "spread_by_weight": "SELECT count(*) AS n_docs, sum(n_chars)::BIGINT AS n_chars, true AS even FROM documents",
     "map_isolated": """
         SELECT event_id AS key, md5('map_isolated:' || event_id) AS child_id,
                CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status,
