@@ -97,8 +97,11 @@ def settings_of_every_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def written(rows: DataFrame, steps: list[str], **settings) -> None:
         value = F.to_json(F.struct(*[v.alias(k) for k, v in settings.items()]), {"ignoreNullFields": "false"})
-        rows = rows.select(*steps, value.alias("value")).distinct()
-        rows.write.mode("append").partitionBy(*steps).text(root)
+        rows = rows.select(*steps, value.alias("value"))
+        if steps:  # a file takes its time however small it is, so all cores write, and tasks put theirs in place
+            rows = rows.repartition(spark.sparkContext.defaultParallelism, *steps)
+        files = rows.distinct().write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+        files.mode("append").partitionBy(*steps).text(root)
 
     everywhere = regions.select(F.lit("standard").alias("tier"))
     written(everywhere, [], tier=F.col("tier"), contact=F.lit("head office"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 from urllib.parse import urlsplit
 
@@ -79,11 +81,9 @@ def settings_tree(spark: SparkSession, root: str, file_name: str = SETTINGS_FILE
     """
     if not path_exists(spark, root):
         return spark.createDataFrame([], _LAYER_SCHEMA)
-    files = (
-        spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", file_name)
-        .text(literal_path(root), wholetext=True)
-    )
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", file_name)
+    with _listing_tasks(spark, spark.sparkContext.defaultParallelism):
+        files = reader.text(literal_path(root), wholetext=True)
     # a path is shown as an address: without its scheme and host, and with % forms, but + is itself
     shown = F.regexp_replace("_metadata.file_path", r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
     path = F.url_decode(F.regexp_replace(shown, r"\+", "%2B"))
@@ -97,6 +97,18 @@ def settings_tree(spark: SparkSession, root: str, file_name: str = SETTINGS_FILE
     return last.select(scope, F.size("steps").alias("depth"), "key", "value")
 
 
+@contextmanager
+def _listing_tasks(spark: SparkSession, n: int) -> Iterator[None]:
+    """Folders are listed by ``n`` tasks a job at most, where Spark would have a task for each folder."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(n, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def settings_in_force(layers: DataFrame, folders: DataFrame, folder: str = "folder") -> DataFrame:
     """The settings in force in each of many folders: ``(folder, key, value, scope)``.
 

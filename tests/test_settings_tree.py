@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+from foliospark.queries import layers
 from foliospark.sources import settings_in_force, settings_tree
 
 
@@ -73,3 +74,46 @@ def test_many_folders_in_one_plan(spark, tmp_path):
         return settings_in_force(layers, asked)._jdf.queryExecution().optimizedPlan().toString()
 
     assert plan(10_000).count("Relation") == 1 and len(plan(10_000)) - len(plan(10)) < 50
+
+
+def test_many_folders_are_listed_by_few_tasks(spark, tmp_path):
+    for n in range(100):
+        write(tmp_path, f"f{n}", {"k": str(n)})
+    name, context = "spark.sql.sources.parallelPartitionDiscovery.parallelism", spark.sparkContext
+    before = spark.conf.get(name)
+    context.setJobGroup("listing of a tree", "")
+    try:
+        tree = settings_tree(spark, str(tmp_path))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    stages = [s for job in tracker.getJobIdsForGroup("listing of a tree") for s in tracker.getJobInfo(job).stageIds]
+    assert stages and max(tracker.getStageInfo(s).numTasks for s in stages) <= context.defaultParallelism
+    assert spark.conf.get(name) == before
+    assert sorted(r["value"] for r in tree.collect()) == sorted(str(n) for n in range(100))
+
+
+def test_all_cores_write_the_tree(spark, tmp_path, monkeypatch):
+    """The files of few customers are little data, but each takes its time."""
+    monkeypatch.setattr(layers, "fresh_folder", lambda spark, purpose: str(tmp_path / "tree"))
+    tables = {
+        "region": ([(0, "R")], "r_regionkey int, r_name string"),
+        "nation": ([(1, "N1", 0), (2, "N2", 0)], "n_nationkey int, n_name string, n_regionkey int"),
+        "customer": (
+            [(k, f"C{k}", 1 + k % 2, 9600.0 if k % 3 else -950.0) for k in range(60)],
+            "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double",
+        ),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    found = {(r["c_custkey"], r["key"]): r["value"] for r in layers.settings_of_every_customer(spark, str(tmp_path)).collect()}
+    want = {}
+    for k in range(60):
+        national = k % 2  # N2 has customers with odd keys
+        want[k, "contact"] = "N2" if national else "R"
+        want[k, "tier"] = "gold" if k % 3 else None
+        if k % 3:
+            want[k, "owner"] = f"C{k}"
+    assert found == want
+    files = list((tmp_path / "tree").glob("region=*/nation=*/customer=*/part-*"))
+    assert len(files) == 60 and len({f.name.split("-")[1] for f in files}) > 1
