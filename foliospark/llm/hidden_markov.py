@@ -16,8 +16,9 @@ states are spread as its form's are has (count + 1) / (N_f + V_f + 1) of it.
 
 Baum-Welch counts come from all training texts, each a sequence from its first word to its end:
 tasks run the scaled forward and backward recursions over their texts, and Spark sums the
-expected counts by symbol, in the last round by word too. The first rounds, on a sample taken
-from all of the table, only choose where to start from. The score of a text is the log10 of its
+expected counts by symbol, in the last round by word too. Training starts from what all texts say
+of neighbours: Spark counts which form follows which, and expectation-maximisation on that matrix,
+of the same size for any corpus, finds states. The score of a text is the log10 of its
 exact likelihood, by the scaled forward recursion. For it, texts are numbered in slices; each
 slice asks for its distinct other words once and gets what the table knows of them.
 """
@@ -27,7 +28,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
-from itertools import chain, compress
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -78,28 +79,28 @@ class Model:
 
 
 class WordIndex(dict):
-    """The symbol of a frequent word; ``-1 - form`` of any other."""
+    """The symbol of a frequent word; other words are numbered on from there as they are met."""
 
     def __init__(self, frequent: dict[bytes, int]):
         super().__init__((word, FORMS + i) for word, i in frequent.items())
+        self.n_frequent = len(frequent)
 
     def __missing__(self, word: bytes) -> int:
-        return -1 - form(word)
+        self[word] = number = FORMS + len(self)
+        return number
 
     def numbers(self, texts: list[list[bytes]]) -> np.ndarray:
         """Of all words of all texts, one after the other."""
         return np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), np.int64, sum(map(len, texts)))
 
+    def symbols(self, texts: list[list[bytes]], forms: np.ndarray) -> np.ndarray:
+        """As ``numbers``, with the form of any word that is not frequent; none is remembered."""
+        found = np.fromiter(map(self.get, chain.from_iterable(texts), repeat(-1)), np.int64, len(forms))
+        return np.where(found < 0, forms, found)
 
-def symbols_of(numbers: np.ndarray) -> np.ndarray:
-    return np.where(numbers < 0, -1 - numbers, numbers)
-
-
-def others_in(texts: list[list[bytes]], numbers: np.ndarray, known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Where words that are not frequent stand, and their numbers in ``known``, which grows by new ones."""
-    places = np.flatnonzero(numbers < 0)
-    words = compress(chain.from_iterable(texts), (numbers < 0).tolist())
-    return places, np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(places))
+    def others(self, start: int = 0) -> list[bytes]:
+        """The words met that are not frequent, in the order of their numbers, from the one at ``start``."""
+        return list(islice(self, self.n_frequent + start, None))
 
 
 def tokens_of(text: bytes) -> list[bytes]:
@@ -129,6 +130,39 @@ def word_counts(df: DataFrame) -> DataFrame:
     return df.select("text").mapInArrow(counted, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def forms_in(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The forms of all tokens of all texts, one after the other, and the places of the ends."""
+    space = np.zeros(256, bool)
+    space[list(b" \t\n\v\f\r")] = True
+    signs = np.frombuffer(b"".join([t + b" . " for t in texts]), np.uint8)  # the point stands for the end
+    edges = np.flatnonzero(np.diff(space[signs], prepend=True))  # words begin and end by turns
+    begins, ends = edges[::2], edges[1::2]
+    forms = np.minimum(ends - begins, 15) << 5 | signs[ends - 1] & 31
+    last = np.searchsorted(begins, np.cumsum([len(t) + 3 for t in texts]) - 2)
+    forms[last] = form(END)
+    return forms, last
+
+
+def form_pairs(df: DataFrame) -> np.ndarray:
+    """How often each form (column) follows each other one (row) in all texts of ``df`` (``text``), ends
+    included; the last row counts the forms that texts begin with."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((FORMS + 1) * FORMS, np.int64)
+        for batch in slices(batches, "text"):
+            forms, last = forms_in(bytes_of(batch, "text"))
+            before = np.concatenate([[FORMS], forms[:-1]])
+            before[last[:-1] + 1] = FORMS
+            total += np.bincount(before * FORMS + forms, minlength=len(total))
+        pairs = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs, pa.int32()), pa.array(total[pairs])], names=["pair", "n"])
+
+    rows = df.select("text").mapInArrow(counted, "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros((FORMS + 1) * FORMS)  # its size does not depend on the texts
+    total[rows.column("pair").to_numpy()] = rows.column("n").to_numpy()
+    return total.reshape(FORMS + 1, FORMS)
+
+
 def segments(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sequences, laid end to end, cut into runs of ``size``: where each begins, its length, its sequence."""
     runs = -(-lengths // size)
@@ -147,21 +181,23 @@ def run_matrices(symbols: np.ndarray, lengths: np.ndarray, model: Model, size: i
     order = np.argsort(-sizes, kind="stable")
     begins, sizes = begins[order], sizes[order]
     starts = begins == (np.cumsum(lengths) - lengths)[owner[order]]
-    emits, states = model.emits.T, len(model.start)
-    before = np.where(starts[:, None, None], np.eye(states), model.moves)
-    matrices = before * emits[symbols[begins]][:, None, :]
+    emits, moves, longest = model.emits.T, np.ascontiguousarray(model.moves.T), int(sizes[0])
+    # runs are the last axis, on which numpy is fast
+    before = np.where(starts, np.eye(len(moves))[:, :, None], model.moves[:, :, None])
+    matrices = before * emits[symbols[begins]].T
     logs = np.zeros(len(begins))
-    for t in range(int(sizes[0])):
-        n = int(np.searchsorted(-sizes, -t, side="left"))
-        if t:
-            moved = matrices[:n].reshape(-1, states) @ model.moves
-            matrices[:n] = moved.reshape(n, states, states) * emits[symbols[begins[:n] + t]][:, None, :]
-        scale = matrices[:n].max(axis=(1, 2))
-        matrices[:n] /= scale[:, None, None]
-        logs[:n] += np.log10(scale)
+    for t in range(1, longest + 1):
+        n = len(begins)
+        if t < longest:
+            n = int(np.searchsorted(-sizes, -t, side="left"))
+            matrices[:, :, :n] = (moves @ matrices[:, :, :n]) * emits[symbols[begins[:n] + t]].T
+        if t % 8 == 0 or t == longest:  # eight steps are far from the least number there is
+            scale = matrices[:, :, :n].max(axis=(0, 1))
+            matrices[:, :, :n] /= scale
+            logs[:n] += np.log10(scale)
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
-    return matrices[place], logs[place], owner
+    return matrices.transpose(2, 0, 1)[place], logs[place], owner
 
 
 def in_turn(owner: np.ndarray, n: int, backwards: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -230,37 +266,38 @@ def expected_counts(
     before, after, first = states_between(symbols, lengths, model, size)
     begins, sizes, _ = segments(lengths, size)
     order = np.argsort(-sizes, kind="stable")
-    begins, sizes, before, first = begins[order], sizes[order], before[order].astype(np.float32), first[order]
+    begins, sizes, first = begins[order], sizes[order], first[order]
     longest, states = int(sizes[0]), len(model.start)
     active = np.searchsorted(-sizes, -np.arange(longest), side="left")
     at = np.concatenate([[0], np.cumsum(active)])
     places = np.concatenate([begins[: active[t]] + t for t in range(longest)])
     flat = symbols[places]
-    # single precision is enough for counts, and twice as fast
-    emits = np.ascontiguousarray(model.emits.T, np.float32)[flat]
-    forth, back = model.moves.astype(np.float32), np.ascontiguousarray(model.moves.T, np.float32)
-    scales, alphas = np.empty(len(flat), np.float32), np.empty((len(flat), states), np.float32)
-    alpha = np.where(first[:, None], before, before @ forth)
+    # single precision is enough for counts, and a row a state is what numpy is fast on
+    before, beta = (np.ascontiguousarray(x[order].T, np.float32) for x in (before, after))
+    emits = np.take(model.emits.astype(np.float32), flat, axis=1)
+    back, forth = model.moves.astype(np.float32), np.ascontiguousarray(model.moves.T, np.float32)
+    scales, alphas = np.empty(len(flat), np.float32), np.empty((states, len(flat)), np.float32)
+    alpha = np.where(first, before, forth @ before)
     for t in range(longest):
         here = slice(at[t], at[t + 1])
-        alpha = (alpha if t == 0 else alpha[: active[t]] @ forth) * emits[here]
-        scales[here] = scale = alpha.sum(axis=1)
-        alpha = alpha / scale[:, None]
-        alphas[here] = alpha
-    beta, moves = after[order].astype(np.float32), np.zeros((states, states))
-    posterior = np.empty_like(alphas)
+        alpha = (alpha if t == 0 else forth @ alpha[:, : active[t]]) * emits[:, here]
+        scales[here] = scale = alpha.sum(axis=0)
+        alpha /= scale
+        alphas[:, here] = alpha
+    moves, posterior = np.zeros((states, states)), alphas
     for t in range(longest - 1, -1, -1):
-        here, now = slice(at[t], at[t + 1]), beta[: active[t]]
-        posterior[here] = alphas[here] * now
-        ahead = emits[here] * now / scales[here][:, None]
+        here, now = slice(at[t], at[t + 1]), beta[:, : active[t]]
+        ahead = emits[:, here] * now
+        ahead /= scales[here]
+        posterior[:, here] *= now  # from here on the place of alpha has the posterior
         if t:
-            moves += (alphas[at[t - 1] : at[t - 1] + active[t]].T @ ahead) * model.moves
-            beta[: active[t]] = ahead @ back
+            moves += (alphas[:, at[t - 1] : at[t - 1] + active[t]] @ ahead.T) * model.moves
+            beta[:, : active[t]] = back @ ahead
         else:
-            moves += (before[~first].T @ ahead[~first]) * model.moves
+            moves += (before[:, ~first] @ ahead[:, ~first].T) * model.moves
     counted, n = (flat, model.emits.shape[1]) if labels is None else (labels[places], n_labels)
-    emitted = np.stack([np.bincount(counted, posterior[:, k], n) for k in range(states)])
-    return posterior[: active[0]][first].sum(axis=0, dtype=np.float64), moves, emitted
+    emitted = np.stack([np.bincount(counted, posterior[k], n) for k in range(states)])
+    return posterior[:, : active[0]][:, first].sum(axis=1, dtype=np.float64), moves, emitted
 
 
 def expected_rows(df: DataFrame, model: Model, by_word: bool) -> DataFrame:
@@ -280,30 +317,30 @@ def expected_rows(df: DataFrame, model: Model, by_word: bool) -> DataFrame:
 
     def expectations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, total = Model(**shared.value), None
-        index, known = WordIndex(current.frequent), {}
+        index, symbols_of = WordIndex(current.frequent), np.arange(n_symbols)
         n, found = np.zeros(0, np.int64), np.zeros((0, states))
         for batch in slices(batches, "text"):
-            tokens = [tokens_of(t) for t in bytes_of(batch, "text")]
-            numbers, lengths = index.numbers(tokens), np.array([len(t) for t in tokens])
-            symbols = symbols_of(numbers)
+            texts = bytes_of(batch, "text")
+            tokens = [tokens_of(t) for t in texts]
+            lengths = np.array([len(t) for t in tokens])
             if by_word:
-                places, others = others_in(tokens, numbers, known)
-                labels = symbols.copy()
-                labels[places] = n_symbols + others
-                start, moves, emitted = expected_counts(symbols, lengths, current, labels, n_symbols + len(known))
-                more = len(known) - len(n)
-                n = np.append(n, np.zeros(more, np.int64)) + np.bincount(others, minlength=len(known))
-                found = np.vstack([found, np.zeros((more, states))]) + emitted[:, n_symbols:].T
+                numbers = index.numbers(tokens)
+                new = index.others(len(symbols_of) - n_symbols)
+                symbols_of = np.append(symbols_of, np.array([form(w) for w in new], np.int64))
+                start, moves, emitted = expected_counts(symbols_of[numbers], lengths, current, numbers, len(symbols_of))
+                n = np.append(n, np.zeros(len(new), np.int64)) + np.bincount(numbers, minlength=len(symbols_of))[n_symbols:]
+                found = np.vstack([found, np.zeros((len(new), states))]) + emitted[:, n_symbols:].T
                 emitted = emitted[:, :n_symbols]
-                if len(known) > _FLUSH:
-                    yield batch_of(np.full(len(known), -1), known.keys(), n, found)
-                    known, n, found = {}, n[:0], found[:0]
             else:
-                start, moves, emitted = expected_counts(symbols, lengths, current)
+                start, moves, emitted = expected_counts(index.symbols(tokens, forms_in(texts)[0]), lengths, current)
             round_ = np.vstack([start[None, :], moves, emitted.T])
             total = round_ if total is None else total + round_
-        if known:
-            yield batch_of(np.full(len(known), -1), known.keys(), n, found)
+            if len(n) > _FLUSH:
+                yield batch_of(np.full(len(n), -1), index.others(), n, found)
+                index, symbols_of = WordIndex(current.frequent), symbols_of[:n_symbols]
+                n, found = n[:0], found[:0]
+        if len(n):
+            yield batch_of(np.full(len(n), -1), index.others(), n, found)
         if total is not None:
             keep = np.flatnonzero(total.any(axis=1))
             yield batch_of(keep, [None] * len(keep), np.zeros(len(keep), np.int64), total[keep])
@@ -404,28 +441,52 @@ def first_model(counts: DataFrame, states: int, max_frequent: int, seed: int = 1
     )
 
 
+def started(model: Model, pairs: np.ndarray, rounds: int, seed: int = 1) -> Model:
+    """``model`` with the states that ``rounds`` rounds of expectation-maximisation find in ``pairs`` (of :func:`form_pairs`).
+
+    A pair's likelihood is that of two neighbours in a hidden Markov model over forms. Each symbol's
+    training count is then spread over the states as its form is.
+    """
+    states, random = len(model.start), np.random.default_rng(seed)
+    begun, follow = pairs[FORMS], pairs[:FORMS]
+    emits = (pairs.sum(axis=0) + 1) * random.uniform(0.5, 1.5, (states, FORMS))
+    emits, start, joint = emits / emits.sum(axis=1, keepdims=True), model.start, model.moves / states
+    for _ in range(rounds):
+        first = start[:, None] * emits
+        first *= begun / first.sum(axis=0)
+        ratio = follow / (emits.T @ joint @ emits)
+        # every state, move and form counts a little more, so none is lost
+        found = first + emits * (joint @ emits @ ratio.T + joint.T @ emits @ ratio) + 0.01 / FORMS
+        start, joint = first.sum(axis=1) + 0.01, joint * (emits @ ratio @ emits.T) + 0.01
+        start, joint, emits = start / start.sum(), joint / joint.sum(), found / found.sum(axis=1, keepdims=True)
+    spread = emits * joint.sum(axis=1)[:, None]
+    of_symbols = np.array([*range(FORMS), *map(form, model.frequent)], np.int64)
+    share = np.concatenate([model.form_tokens + model.form_words + 1, model.counts + 1.0])
+    emits = share * (spread / spread.sum(axis=0))[:, of_symbols]
+    return replace(
+        model, start=start, moves=joint / joint.sum(axis=1, keepdims=True), emits=emits / emits.sum(axis=1, keepdims=True)
+    )
+
+
 def train(
     df: DataFrame,
     counts: DataFrame,
     states: int = 4,
     max_frequent: int = 1 << 16,
-    sample_rows: int = 1000,
-    sample_rounds: int = 8,
+    pair_rounds: int = 200,
     rounds: int = 2,
+    sample_rounds: int | None = None,
 ) -> tuple[Model, DataFrame]:
     """A model of the texts of ``df`` (``text``), and the table of its other words.
 
-    ``sample_rounds`` rounds over about ``sample_rows`` rows, sampled where they lie, find a
-    starting point; ``rounds`` rounds (one at least) over all rows make the parameters. The table has
+    ``pair_rounds`` rounds over the counts of neighbouring forms in all texts find a starting point;
+    ``rounds`` rounds (one at least) over all rows make the parameters. ``sample_rounds`` is what older
+    callers call ``pair_rounds``; nothing is sampled. The table has
     ``word``, ``n`` (training count) and ``shares`` (of its states) of every word that is not frequent.
     """
     model = first_model(counts, states, max_frequent)
-    n_rows = df.count()
-    if n_rows:
-        rate = min(1.0, sample_rows / n_rows)
-        sample = stored(df.select("text").sample(rate, seed=5).repartition(8), "sample")
-        for _ in range(sample_rounds):
-            model = renewed(model, expected_rows(sample, model, False))
+    if model.n_tokens:
+        model = started(model, form_pairs(df), pair_rounds if sample_rounds is None else sample_rounds)
         for _ in range(rounds - 1):
             model = renewed(model, expected_rows(df, model, False))
     last = expected_rows(df, model, True).withColumn("shares", F.when(F.col("row") < 0, shares_of(states)))
@@ -475,14 +536,13 @@ def score_texts(
     n_symbols, states = model.emits.shape[1], len(model.start)
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, number = WordIndex(shared.value["frequent"]), TaskContext.get().partitionId() << 33
+        number = TaskContext.get().partitionId() << 33
         for batch in slices(batches, "text", SCORED_BYTES):
-            tokens, known = [tokens_of(t) for t in bytes_of(batch, "text")], {}
-            numbers = index.numbers(tokens)
-            places, others = others_in(tokens, numbers, known)
-            symbols = numbers.astype(np.int32)
+            tokens, index = [tokens_of(t) for t in bytes_of(batch, "text")], WordIndex(shared.value["frequent"])
+            symbols = index.numbers(tokens).astype(np.int32)
+            known = index.others()
             # words are numbered as they are met, so where one is new its number need not be written
-            symbols[places] = np.where(np.diff(np.maximum.accumulate(others), prepend=-1) > 0, -1, n_symbols + others)
+            symbols[np.diff(np.maximum.accumulate(symbols).clip(n_symbols - 1), prepend=n_symbols - 1) > 0] = -1
             forms = pa.array([form(w) for w in known], pa.int16())
             ends = np.cumsum([0, *map(len, tokens)])
             rest = np.full(len(tokens) - 1, len(known))  # the slice's words are on its first row
@@ -493,7 +553,7 @@ def score_texts(
                 batch.column("id"),
                 batch.column("held_out"),
                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(symbols)),
-                pa.ListArray.from_arrays(once, pa.array(known.keys(), pa.binary())),
+                pa.ListArray.from_arrays(once, pa.array(known, pa.binary())),
                 pa.ListArray.from_arrays(once, forms),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["slice", "row", "id", "held_out", "symbols", "words", "forms"])

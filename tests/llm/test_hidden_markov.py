@@ -9,11 +9,15 @@ from cases import SF_DIR, awkward, empty, given
 from foliospark.llm.hidden_markov import (
     FORMS,
     Model,
+    WordIndex,
     emissions_of,
     expected_counts,
     form,
+    form_pairs,
+    forms_in,
     log_likelihoods,
     score_texts,
+    tokens_of,
     train,
     unpacked,
     word_counts,
@@ -138,3 +142,45 @@ def test_awkward_rows(spark):
     rows = score_texts(nothing, held_out=share).collect()
     assert [(r["held_out"], r["train_tokens"], r["n_known"]) for r in rows] == [(True, 0, 0)] * 2
     assert all(math.isfinite(r["score"]) for r in rows)
+
+
+TEXTS = ["A b\tc", "", None, "\x0b\x0c", " . .x ", "é\u00a0ö\x1c ÄÖ.", "word " * 300, "a" * 40 + "\n.", "Ab ab AB"]
+
+
+def test_words_are_numbered_as_they_are_met():
+    texts = [(t or "").encode() for t in TEXTS]
+    tokens = [tokens_of(t) for t in texts]
+    forms, ends = forms_in(texts)
+    assert forms.tolist() == [form(w) for t in tokens for w in t]
+    assert ends.tolist() == list(np.cumsum([len(t) for t in tokens]) - 1)
+    index = WordIndex({b"word": 0, b" ": 1})
+    assert index.symbols(tokens, forms).tolist() == [
+        {b"word": FORMS, b" ": FORMS + 1}.get(w, form(w)) for t in tokens for w in t
+    ]
+    met = list(dict.fromkeys(w for t in tokens for w in t if w not in (b"word", b" ")))
+    numbers = {b"word": FORMS, b" ": FORMS + 1} | {w: FORMS + 2 + i for i, w in enumerate(met)}
+    assert index.numbers(tokens).tolist() == [numbers[w] for t in tokens for w in t]
+    assert index.others() == met and index.others(3) == met[3:]
+
+
+def test_the_start_counts_neighbours_in_all_texts(spark):
+    df = spark.createDataFrame([(t,) for t in TEXTS * 3], "text string").repartition(4)
+    want = np.zeros((FORMS + 1, FORMS))
+    for text in TEXTS * 3:
+        before = FORMS
+        for word in tokens_of((text or "").encode()):
+            want[before, form(word)] += 1
+            before = form(word)
+    assert np.array_equal(form_pairs(df), want)
+
+
+def test_training_does_not_depend_on_where_rows_lie(spark):
+    """Of 2,400 rows none is left out, so their order and partitions change nothing."""
+    chance = np.random.default_rng(3)
+    kinds = ["the a of in".split(), "run sees goes".split(), [f"word{i}s" for i in range(200)]]
+    texts = [" ".join(str(chance.choice(kinds[(i + k) % 3])) for i in range(12)) for k in range(2400)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
+    turned = spark.createDataFrame([(t,) for t in reversed(texts)], "text string").coalesce(1)
+    one, other = (train(rows, word_counts(rows), states=2, max_frequent=50)[0] for rows in (df, turned))
+    assert np.allclose(one.start, other.start, atol=1e-3) and np.allclose(one.moves, other.moves, atol=1e-3)
+    assert np.allclose(one.emits, other.emits, atol=1e-3)
